@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.functions.basis import literal
 from vecspark.functions.vectors import sq_euclidean
 from vecspark.operators.search import assign_nearest
 from vecspark.plans.rank import with_rank
@@ -64,9 +65,10 @@ def label_means(df: DataFrame, label: str, dim: int | None = None) -> DataFrame:
 
 def total_sq_radius(df: DataFrame, dim: int | None = None) -> DataFrame:
     """Sum of squared distances to the plain mean of all rows."""
-    mean = weighted_centroid(df.select("vec"), dim=dim).select(F.col("vec").alias("_mean"))
-    return (df.select("vec").join(F.broadcast(mean))  # the mean is a single row
-            .agg(F.sum(sq_euclidean("vec", "_mean")).alias("sq_radius")))
+    mean = weighted_centroid(df.select("vec"), dim=dim).first()
+    if mean is None:
+        return df.agg(F.lit(0.0).alias("sq_radius"))
+    return df.agg(F.sum(sq_euclidean("vec", literal(mean["vec"]))).alias("sq_radius"))
 
 
 def cluster_counts(points: DataFrame, centroids: DataFrame) -> DataFrame:
