@@ -12,6 +12,7 @@ from vecspark.functions.vectors import sq_euclidean
 from vecspark.operators.search import assign_nearest
 from vecspark.plans.rank import with_rank
 from vecspark.schema import dimension
+from vecspark.session import materialize
 
 #: Up to this dimension one aggregate column per coordinate beats exploding rows.
 WIDE = 64
@@ -142,21 +143,36 @@ def nonzero(df: DataFrame) -> DataFrame:
     return df.select("id", F.posexplode("vec").alias("dim", "val")).filter(F.col("val") != 0)
 
 
-def summary_quartiles(df: DataFrame, col: str, by: list[str] = (), *, accuracy: int | None = None) -> DataFrame:
-    """Mean, deviation and quartiles of a column.
+def summary_quartiles(df: DataFrame, col: str, by: list[str] | str = (), *,
+                      accuracy: int | None = None) -> DataFrame:
+    """Count, mean, deviation, least value, quartiles and greatest value of a column.
 
-    Without ``by`` the quartiles come from a mergeable sketch; its rank error
-    is at most rows / ``accuracy``. ``accuracy=None`` takes the exact
-    percentile, whose state is the set of distinct values: for columns with
-    bounded cardinality only.
+    Exact quartiles (interpolated) are read off global ranks, so no group has
+    to fit one task. With ``accuracy`` they come from a mergeable summary
+    instead, whose rank error is at most rows / accuracy.
     """
-    c = F.col(col)
-    q = (F.percentile(c, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))) if accuracy is None else
-         F.percentile_approx(c, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy))
-    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"),
-                              F.stddev_samp(c).alias("sd"), q.alias("_q"))
-    names = ["q0", "q1", "q2", "q3", "q4"]
-    return out.select(*by, "n", "mean", "sd", *[F.col("_q")[i].alias(x) for i, x in enumerate(names)])
+    by = [by] if isinstance(by, str) else list(by)
+    shares = [0.0, 0.25, 0.5, 0.75, 1.0]
+    rows = df.select(*by, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    base = [F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd")]
+    if accuracy is not None:
+        out = rows.groupBy(*by).agg(*base, F.percentile_approx("_x", shares, accuracy).alias("_q"))
+        return out.select(*by, "n", "mean", "sd", *[F.col("_q")[i].alias(f"q{i}") for i in range(5)])
+    moments = materialize(rows.groupBy(*by).agg(*base))
+    ranked = with_rank(rows.withColumn("_tie", F.monotonically_increasing_id()), ["_x", "_tie"], "_pos", by)
+    spot = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.col("n") - 1))
+    wanted = (moments.select(*by, F.posexplode(spot).alias("_i", "_at"))
+              .select(*by, "_i", F.explode(F.array(
+                  F.struct(F.floor("_at").alias("_pos"), (1 - (F.col("_at") - F.floor("_at"))).alias("_w")),
+                  F.struct((F.floor("_at") + 1).alias("_pos"), (F.col("_at") - F.floor("_at")).alias("_w")),
+              )).alias("_s")).select(*by, "_i", "_s._pos", "_s._w").filter("_w > 0"))
+    # matched on position, so a crowded group does not crowd a task
+    found = ranked.join(wanted, [*by, "_pos"]).groupBy(*by).agg(
+        *[F.sum(F.when(F.col("_i") == i, F.col("_x") * F.col("_w"))).alias(f"q{i}") for i in range(5)])
+    if by:
+        return moments.join(found, by)
+    one = F.lit(0).alias("_one")
+    return moments.select("*", one).join(found.select("*", one), "_one").drop("_one")
 
 
 def total_weight(df: DataFrame) -> DataFrame:

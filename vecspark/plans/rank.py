@@ -21,13 +21,15 @@ def with_rank(df: DataFrame, order: list, name: str = "pos", by: list[str] = ())
     keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
     numbered = materialize(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id()))
-    sizes = numbered.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = (Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part")
+        .withColumn("__rank_part", F.spark_partition_id())
+        .withColumn("__rank_row", F.monotonically_increasing_id()))
+    sizes = numbered.groupBy(*by, "__rank_part").agg(F.count("*").alias("__rank_n"), F.min("__rank_row").alias("__rank_first"))
+    before = (Window.partitionBy(*(by or [F.lit(0)])).orderBy("__rank_part")
               .rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.select(*by, "_part", "_first",
-                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return (numbered.join(F.broadcast(shifts), [*by, "_part"])
-            .withColumn(name, F.col("_shift") + F.col("_row") - F.col("_first"))
-            .drop("_part", "_row", "_first", "_shift"))
+    shifts = sizes.select(*by, "__rank_part", "__rank_first",
+                          F.coalesce(F.sum("__rank_n").over(before), F.lit(0)).alias("__rank_shift"))
+    # without `by` this table has one row per partition; with it, as many rows as
+    # (group, partition) pairs, which nothing bounds: then the planner decides
+    return (numbered.join(shifts if by else F.broadcast(shifts), [*by, "__rank_part"])
+            .withColumn(name, F.col("__rank_shift") + F.col("__rank_row") - F.col("__rank_first"))
+            .drop("__rank_part", "__rank_row", "__rank_first", "__rank_shift"))
