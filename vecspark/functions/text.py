@@ -28,27 +28,28 @@ def tokenize_message(text) -> Column:
     return F.filter(F.split(F.lower(_col(text)), MESSAGE_BREAK), lambda x: x != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def message_lines(text) -> Column:
     return F.split(_col(text), "\r?\n")
 
 
 def _head_length(lines: Column) -> Column:
     """Number of lines before the first empty line."""
-    blank = F.array_position(lines, "")
-    return F.when(blank > 0, blank.cast("int") - 1).otherwise(F.size(lines))
+    return _let(F.array_position(lines, ""),
+                lambda blank: F.when(blank > 0, blank.cast("int") - 1).otherwise(F.size(lines)))
 
 
-def header_lines(text, allowed: list[str]) -> Column:
-    """Header lines whose lower-cased name is listed."""
-    lines = message_lines(text)
+def _headers_of(lines: Column, allowed: list[str]) -> Column:
     names = [h.strip().lower() for h in allowed]
     heads = F.slice(lines, F.lit(1), _head_length(lines))
     return F.filter(heads, lambda s: F.lower(F.substring_index(s, ":", 1)).isin(names))
 
 
-def body_lines(text, include_quotes: bool = False, strict: bool = False) -> Column:
-    """Lines from the first empty line on, without quoted ones unless kept."""
-    lines = message_lines(text)
+def _body_of(lines: Column, include_quotes: bool, strict: bool) -> Column:
     body = F.slice(lines, _head_length(lines) + 1, F.size(lines))
     if include_quotes:
         return body
@@ -56,11 +57,23 @@ def body_lines(text, include_quotes: bool = False, strict: bool = False) -> Colu
     return F.filter(body, lambda s: ~s.rlike(pattern))
 
 
+def header_lines(text, allowed: list[str]) -> Column:
+    """Header lines whose lower-cased name is listed."""
+    return _let(message_lines(text), lambda lines: _headers_of(lines, allowed))
+
+
+def body_lines(text, include_quotes: bool = False, strict: bool = False) -> Column:
+    """Lines from the first empty line on, without quoted ones unless kept."""
+    return _let(message_lines(text), lambda lines: _body_of(lines, include_quotes, strict))
+
+
 def parse_message(text, headers: list[str], include_quotes: bool = False, strict: bool = False) -> Column:
     """The part of a message that counts: values of the listed headers, then the body."""
-    values = F.transform(header_lines(text, headers),
-                         lambda s: F.substring(s, F.instr(s, ":") + 1, F.length(s)))
-    return F.array_join(F.concat(values, body_lines(text, include_quotes, strict)), "\n")
+    def kept(lines: Column) -> Column:
+        values = F.transform(_headers_of(lines, headers),
+                             lambda s: F.substring(s, F.instr(s, ":") + 1, F.length(s)))
+        return F.array_join(F.concat(values, _body_of(lines, include_quotes, strict)), "\n")
+    return _let(message_lines(text), kept)
 
 
 def label_from_path(path) -> Column:

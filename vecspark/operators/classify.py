@@ -40,6 +40,13 @@ def with_features(points: DataFrame, centroids: DataFrame | tuple) -> DataFrame:
     return points.withColumn("features", array_to_vector(centroid_distance_features("vec", centroids)))
 
 
+def _labelled(points: DataFrame, label: str, labels: DataFrame) -> DataFrame:
+    """``(id, vec, label_id)``. A common label would crowd a shuffled join; the label
+    table is sent along once adaptive execution has measured that it is small."""
+    return (points.select("id", "vec", F.col(label).alias("label"))
+            .join(labels, "label").select("id", "vec", "label_id"))
+
+
 def train_on_distances(points: DataFrame, label: str, centroids: DataFrame, *, reg: float = 1e-3,
                        max_iter: int = 100) -> tuple[PipelineModel, DataFrame]:
     """Multinomial logistic regression with an L1 prior on centroid distances.
@@ -47,8 +54,8 @@ def train_on_distances(points: DataFrame, label: str, centroids: DataFrame, *, r
     Returns the model and the label table ``(label, label_id)`` it was trained with.
     """
     labels = label_ids(points, label)
-    rows = with_features(points.join(labels, F.col(label) == labels["label"])
-                         .select("id", "vec", F.col("label_id").cast("double").alias("label_id")), centroids)
+    rows = with_features(_labelled(points, label, labels).withColumn(
+        "label_id", F.col("label_id").cast("double")), centroids)
     lr = LogisticRegression(featuresCol="features", labelCol="label_id", family="multinomial",
                             elasticNetParam=1.0, regParam=reg, maxIter=max_iter)
     return Pipeline(stages=[lr]).fit(rows), labels
@@ -57,8 +64,7 @@ def train_on_distances(points: DataFrame, label: str, centroids: DataFrame, *, r
 def score(model: PipelineModel, points: DataFrame, label: str, labels: DataFrame,
           centroids: DataFrame) -> DataFrame:
     """``(id, label_id, predicted, max_score, log_likelihood, scores)`` per point."""
-    rows = with_features(points.join(labels, F.col(label) == labels["label"])
-                         .select("id", "vec", "label_id"), centroids)
+    rows = with_features(_labelled(points, label, labels), centroids)
     p = vector_to_array("probability")
     return model.transform(rows).select(
         "id", "label_id", F.col("prediction").cast("int").alias("predicted"),

@@ -116,21 +116,30 @@ def search(queries: DataFrame, refs: DataFrame, k: int, method: str = "exact", *
     return methods[method](queries, refs, k, **options)
 
 
-def centroid_arrays(centroids: DataFrame | tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Centroid ids and matrix on the driver, in id order, after a size check."""
+def bounded_centroids(centroids: DataFrame | tuple) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centroid ids and matrix on the driver, in id order; None when they
+    exceed the broadcast bound."""
     if isinstance(centroids, tuple):
         return centroids
-    n, d = centroids.count(), dimension(centroids)
-    if n * d * 8 > session.BROADCAST_BYTES:
-        raise ValueError(f"{n} centroids of dimension {d} exceed the broadcast bound; "
-                         "use knn(points, centroids, 1)")
-    cols = fetch(centroids.select("centroid_id", "vec"))
-    if not n:
+    rows = centroids.select("centroid_id", "vec")
+    head = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not head["n"]:
         raise ValueError("no centroids given")
+    if head["n"] * head["d"] * 8 > session.BROADCAST_BYTES:
+        return None
+    cols = fetch(rows)
     order = np.argsort(cols["centroid_id"], kind="stable")
     return cols["centroid_id"][order], cols["vec"][order]
 
 
+def centroid_arrays(centroids: DataFrame | tuple) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`bounded_centroids`, but too many centroids are an error."""
+    arrays = bounded_centroids(centroids)
+    if arrays is None:
+        raise ValueError("the centroids exceed the broadcast bound; use knn(points, centroids, 1)")
+    return arrays
+
+
 def nearest_column(vec: str | Column, ids: np.ndarray, centers: np.ndarray,
                    metric: str | Metric = "euclidean") -> Column:
     """Struct column ``(centroid_id, distance)`` for a bounded set of centroids."""
@@ -154,15 +163,14 @@ def assign_nearest(points: DataFrame, centroids: DataFrame | tuple,
     all their columns and nothing is shuffled. A larger table goes through
     the k = 1 search.
     """
-    if isinstance(centroids, DataFrame):
-        n, d = centroids.count(), dimension(centroids)
-        if n * d * 8 > session.BROADCAST_BYTES:
-            refs = centroids.select(F.col("centroid_id").cast("bigint").alias("id"), "vec")
-            hits = knn(points, refs, 1, metric).select(
-                F.col("query_id").alias("id"), F.col("neighbor_id").cast("int").alias("centroid_id"),
-                "distance")
-            return points.join(hits, "id")
-    ids, mat = centroid_arrays(centroids)
+    arrays = bounded_centroids(centroids)
+    if arrays is None:
+        refs = centroids.select(F.col("centroid_id").cast("bigint").alias("id"), "vec")
+        hits = knn(points, refs, 1, metric).select(
+            F.col("query_id").alias("id"), F.col("neighbor_id").cast("int").alias("centroid_id"),
+            "distance")
+        return points.join(hits, "id")
+    ids, mat = arrays
     return (points.withColumn("_near", nearest_column("vec", ids, mat, metric))
             .select(*points.columns, "_near.centroid_id", "_near.distance"))
 

@@ -65,9 +65,9 @@ def tfidf(docs: DataFrame, scorer: str | Callable = "linear", tokens: Column | N
     documents, also those without a term.
     """
     score = get_scorer(scorer)
-    terms = session.materialize(dictionary(doc_freq(docs, tokens, id_col, text_col)))
+    tf = session.materialize(term_freq(docs, tokens, id_col, text_col))  # texts are parsed once
+    terms = dictionary(doc_freq_of(tf))
     n = F.lit(float(docs.select(id_col).count()))
-    tf = term_freq(docs, tokens, id_col, text_col)
     return join_terms(tf, terms).select(
         "doc_id", "term", "dim",
         score(F.col("tf").cast("double"), F.col("df").cast("double"), n).alias("val"))
@@ -100,7 +100,8 @@ def hashed_vectors(docs: DataFrame, code: str, dim: int, *, headers: list[str] =
     weight = term_weight(F.col("tf"))
     if needs_df:
         n = docs.select(id_col).count()
-        tf = join_terms(tf, session.materialize(doc_freq(docs, words, id_col)))
+        tf = session.materialize(tf)  # texts are parsed once
+        tf = join_terms(tf, session.materialize(doc_freq_of(tf)))
         weight = corpus_weight(weight, F.col("df"), F.lit(n), floor_ratio)
     else:
         weight = corpus_weight(weight, None, None, floor_ratio)

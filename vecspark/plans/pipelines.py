@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vecspark.functions.basis import make_basis, project
 from vecspark.operators import stats
@@ -60,11 +59,12 @@ def evaluate_clustering(points: DataFrame, label: str, k: int, *, dims: int | No
     streaming = streaming if streaming is not None else two_stage(pts, k, max_iter=max_iter, seed=seed)
     out = {"label_spread": stats.cluster_spread(pts, label), "ball": ball, "streaming": streaming,
            "comparison": stats.compare_centroids(streaming, ball)}
+    means = stats.label_means(pts, label)
     for name, c in (("ball", ball), ("streaming", streaming)):
         hit = assign_nearest(pts, c)
         out[f"{name}_counts"] = stats.cluster_counts(pts, c)
         out[f"{name}_spread"] = stats.cluster_spread(hit, "centroid_id")
         out[f"{name}_labels"] = stats.label_distribution(hit, label)
-        out[f"{name}_closest"] = stats.closest_label(c, stats.label_means(pts, label))
-    out["mean_label_spread"] = stats.mean_spread(out["label_spread"].select(F.col("spread")))
+        out[f"{name}_closest"] = stats.closest_label(c, means)
+    out["mean_label_spread"] = stats.mean_spread(out["label_spread"])
     return out
