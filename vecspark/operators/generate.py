@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.uniform import gaussian
+from vecspark.functions.vectors import UNROLL
 
 
-def _noise(d: int, seed: int, spread: float) -> list[Column]:
-    return [gaussian(seed, "id", F.lit(j)) * F.lit(float(spread)) for j in range(d)]
+def _noise(d: int, seed: int, spread: float) -> Column:
+    """Array of d normal draws keyed by (id, coordinate)."""
+    if d <= UNROLL:
+        return F.array(*[gaussian(seed, "id", F.lit(j)) * F.lit(float(spread)) for j in range(d)])
+    return F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
+                       lambda j: gaussian(seed, F.col("id"), j) * F.lit(float(spread)))
 
 
 def hypercube_at(ids: DataFrame, d: int, radius: float = 0.01, seed: int = 0) -> DataFrame:
@@ -21,7 +26,7 @@ def hypercube_at(ids: DataFrame, d: int, radius: float = 0.01, seed: int = 0) ->
         raise ValueError("d must be between 1 and 30")
     corner = F.pmod(F.col("id"), F.lit(1 << d))
     bits = [F.shiftright(corner, d - 1 - j).bitwiseAND(F.lit(1)).cast("double") for j in range(d)]
-    vec = F.array(*[b + z for b, z in zip(bits, _noise(d, seed, radius))])
+    vec = F.zip_with(F.array(*bits), _noise(d, seed, radius), lambda b, z: b + z)
     return ids.select("id", vec.alias("vec"), F.lit(1.0).alias("weight"), corner.alias("corner"))
 
 
@@ -38,7 +43,7 @@ def hypercube_corners(spark: SparkSession, d: int) -> DataFrame:
 
 def normal_at(ids: DataFrame, d: int, seed: int = 0) -> DataFrame:
     """For every id, a standard normal vector."""
-    return ids.select("id", F.array(*_noise(d, seed, 1.0)).alias("vec"), F.lit(1.0).alias("weight"))
+    return ids.select("id", _noise(d, seed, 1.0).alias("vec"), F.lit(1.0).alias("weight"))
 
 
 def normal_points(spark: SparkSession, n: int, d: int, seed: int = 0) -> DataFrame:
@@ -58,7 +63,7 @@ def blob_points(spark: SparkSession, blobs: list[tuple[list[float], int]], sprea
         blob = F.when(F.col("id") < ends[i], F.lit(i)).otherwise(blob)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c, _ in blobs])
     rows = spark.range(total).withColumn("blob", blob.cast("int")).withColumn("_c", centres[F.col("blob")])
-    vec = F.array(*[F.col("_c")[j] + z for j, z in enumerate(_noise(d, seed, spread))])
+    vec = F.zip_with("_c", _noise(d, seed, spread), lambda c, z: c + z)
     return rows.select("id", vec.alias("vec"), F.lit(1.0).alias("weight"), "blob")
 
 

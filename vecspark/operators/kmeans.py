@@ -18,6 +18,7 @@ from vecspark.functions.basis import literal
 from vecspark.functions.uniform import uniform
 from vecspark.functions.vectors import get_metric, sq_euclidean
 from vecspark.operators.search import assign_nearest, centroid_arrays
+from vecspark.operators.stats import weighted_centroid
 from vecspark.schema import CENTROIDS, dimension
 
 #: Seeding stores each point's distance to the seeds after this many rounds.
@@ -57,13 +58,11 @@ def seed_kmeanspp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     pts = with_weight(points)
     dim = dimension(pts)
     _check_size(k, dim)
-    head = pts.agg(F.count("*").alias("n"), F.sum("weight").alias("w"),
-                   F.array(*[F.sum(F.col("weight") * F.col("vec")[i]) for i in range(dim)])
-                   .alias("s")).first() if dim else None
-    if head is None or head["n"] < 2:
+    if len(pts.take(2)) < 2:
         raise ValueError("seeding needs at least two points")
-    total = head["w"]
-    center = literal([x / total for x in head["s"]])
+    head = weighted_centroid(pts, dim=dim).first()
+    total = head["weight"]
+    center = literal(head["vec"])
     to_center = sq_euclidean("vec", center)
     radius = pts.agg(F.sum(F.col("weight") * to_center)).first()[0]
     rate = F.col("weight") * (F.lit(radius) + F.lit(total) * to_center)

@@ -2,59 +2,127 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.basis import make_basis, project
 from vecspark.functions.vectors import Metric
 from vecspark.operators.search import knn, rerank, top_k_per_query
-from vecspark.plans.rank import with_rank
 from vecspark.schema import dimension
 from vecspark.session import materialize
 
 #: Shares of pending and removed rows beyond which an index is rebuilt.
 PENDING_SHARE = 0.05
 REMOVED_SHARE = 0.02
+#: Queries placed within one slice by one task.
+SLICE_QUERIES = 1 << 20
 
 
-def projection_index(refs: DataFrame, basis: np.ndarray) -> DataFrame:
-    """``(p, v, id)``: every row's value along every basis row."""
-    if not 1 <= len(basis) < 100:
-        raise ValueError("use 1 to 99 projections")
-    return refs.select("id", F.posexplode(project("vec", basis)).alias("p", "v"))
+@dataclass
+class ProjectionIndex:
+    """Rank index over ``refs``: every row's position along every projection.
+
+    ``table`` holds ``(p, v, id, pos)``, stored in (p, v, id) order. ``slices``
+    describes its partitions on the driver: for each projection the least value,
+    the first position and the number of each slice, in order; there is one entry
+    per stored partition and projection boundary, so it does not grow with rows.
+    """
+
+    basis: np.ndarray
+    table: DataFrame
+    slices: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
 
+def _projected(rows: DataFrame, basis: np.ndarray) -> DataFrame:
+    return rows.select("id", F.posexplode(project("vec", basis)).alias("p", "v"))
 
-def _positions(index: DataFrame, queries: DataFrame, basis: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Rank of each reference along each projection, and for each query the
-    number of references with a smaller value.
 
-    References and queries are ranked in one ordering. A query sorts before
-    references of equal value, so the references in front of it are exactly
-    those below it; queries are discounted by their own count. Both counts
-    come from range partitions that split on (value, id), so a value shared by
-    very many rows still spreads over tasks.
+def build_index(refs: DataFrame, basis: np.ndarray) -> ProjectionIndex:
+    """Project, order and number the references once, for any number of searches.
+
+    Range partitions split on (p, v, id): a value shared by very many rows still
+    spreads over tasks. Positions are row numbers inside a partition, shifted by
+    the sizes of the partitions before it.
+    """
+    if not 1 <= len(basis) < 100:
+        raise ValueError("use 1 to 99 projections")
+    keys = ["p", "v", "id"]
+    laid = materialize(_projected(refs, basis).repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .withColumn("part", F.spark_partition_id())
+                       .withColumn("row", F.monotonically_increasing_id()))
+    rows = (laid.groupBy("p", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"),
+                                          F.min("v").alias("least")).orderBy("p", "part").collect())
+    slices: dict[int, tuple] = {}
+    shifts, seen = [], {}
+    for r in rows:
+        start = seen.get(r["p"], 0)
+        seen[r["p"]] = start + r["n"]
+        shifts.append((r["p"], r["part"], start - r["first"]))
+        slices.setdefault(r["p"], ([], [], []))
+        for held, x in zip(slices[r["p"]], (r["least"], start, r["part"])):
+            held.append(x)
+    slices = {p: tuple(np.array(x) for x in v) for p, v in slices.items()}
+    shift = refs.sparkSession.createDataFrame(shifts, "p int, part int, shift bigint")
+    table = (laid.join(F.broadcast(shift), ["p", "part"])
+             .select("p", "part", "v", "id", (F.col("row") + F.col("shift")).alias("pos")))
+    return ProjectionIndex(basis, table, slices)
+
+
+def query_positions(index: ProjectionIndex, queries: DataFrame) -> DataFrame:
+    """``(p, query_id, qpos)``: how many references lie below the query on each projection.
+
+    The slice that holds a query's place follows from the slices' least values;
+    within it the smaller values are counted by binary search. Slices asked by
+    very many queries (copies of one query, say) are answered in several tasks.
     """
-    r = index.select("p", "v", F.lit(1).alias("is_ref"), "id")
-    q = projection_index(queries, basis).select("p", "v", F.lit(0).alias("is_ref"), "id")
-    both = r.unionByName(q)
-    keys = ["p", "v", "is_ref", "id"]
-    laid = materialize(both.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                       .withColumn("part", F.spark_partition_id()))
-    before = Window.partitionBy("p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (laid.groupBy("p", "part").agg(F.sum("is_ref").alias("n"))
-              .select("p", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
-    upto = (Window.partitionBy("p", "part").orderBy("v", "is_ref", "id")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (laid.join(F.broadcast(shifts), ["p", "part"])
-              .withColumn("pos", F.col("shift") + F.coalesce(F.sum("is_ref").over(upto), F.lit(0))))
-    return (placed.filter("is_ref = 1").select("p", "id", "pos"),
-            placed.filter("is_ref = 0").select("p", "id", "pos"))
-
-
-def projection_candidates(queries: DataFrame, refs: DataFrame, basis: np.ndarray,
+    spark = queries.sparkSession
+    slices = index.slices
+
+    @F.arrow_udf("struct<start:bigint,part:int>")
+    def locate(p: pa.Array, v: pa.Array) -> pa.Array:
+        ps, vs = p.to_numpy(), v.to_numpy()
+        start, part = np.zeros(len(ps), np.int64), np.full(len(ps), -1, np.int32)
+        for i in np.unique(ps):
+            least, starts, parts = slices[int(i)]
+            mine = ps == i
+            at = np.searchsorted(least, vs[mine], side="left") - 1
+            hit = at >= 0
+            where = np.flatnonzero(mine)[hit]
+            start[where], part[where] = starts[at[hit]], parts[at[hit]]
+        return pa.StructArray.from_arrays([pa.array(start), pa.array(part)], names=["start", "part"])
+
+    placed = materialize(_projected(queries, index.basis).withColumn("_at", locate("p", "v"))
+                         .select("p", F.col("id").alias("query_id"), "v", "_at.start", "_at.part"))
+    asked = placed.filter("part >= 0").groupBy("p", "part").count().collect()
+    lanes = F.broadcast(spark.createDataFrame(
+        [(r["p"], r["part"], -(-r["count"] // SLICE_QUERIES)) for r in asked], "p int, part int, lanes int"))
+    keys = ["p", "part", "lane"]
+    ask = (placed.join(lanes, ["p", "part"])
+           .withColumn("lane", F.pmod(F.xxhash64("query_id"), "lanes").cast("int"))
+           .select(*keys, "query_id", "v", "start"))
+    held = (index.table.join(lanes, ["p", "part"])
+            .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+            .select(*keys, F.col("v").alias("ref")))
+
+    def count_below(left: pa.Table, right: pa.Table) -> pa.Table:
+        refs = np.sort(right.column("ref").to_numpy())
+        below = np.searchsorted(refs, left.column("v").to_numpy(), side="left")
+        return pa.table({"p": left.column("p"), "query_id": left.column("query_id"),
+                         "qpos": pa.array(left.column("start").to_numpy() + below, pa.int64())})
+
+    found = (ask.groupBy(*keys).cogroup(held.groupBy(*keys))
+             .applyInArrow(count_below, schema="p int, query_id bigint, qpos bigint"))
+    ahead = placed.filter("part < 0").select("p", "query_id", F.lit(0).cast("bigint").alias("qpos"))
+    return found.unionByName(ahead)
+
+
+def projection_candidates(queries: DataFrame, refs: DataFrame | None, basis: np.ndarray,
                           search_size: int, window: str = "half_open", *,
-                          index: DataFrame | None = None) -> DataFrame:
+                          index: ProjectionIndex | None = None) -> DataFrame:
     """``(query_id, neighbor_id)`` pairs that share a rank window on some projection.
 
     ``half_open`` takes ``search_size`` references at or above the query's
@@ -65,28 +133,34 @@ def projection_candidates(queries: DataFrame, refs: DataFrame, basis: np.ndarray
     if window not in ("half_open", "closed"):
         raise ValueError("window must be 'half_open' or 'closed'")
     s = search_size
-    r, q = _positions(index if index is not None else projection_index(refs, basis), queries, basis)
-    r = r.select("p", F.col("id").alias("neighbor_id"), "pos",
-                 F.floor(F.col("pos") / s).alias("slot"))
-    q = q.select("p", F.col("id").alias("query_id"), F.col("pos").alias("qpos"))
+    index = index or build_index(refs, basis)
+    if not index.slices:
+        return _no_pairs(queries)
+    r = index.table.select("p", F.col("id").alias("neighbor_id"), "pos",
+                           F.floor(F.col("pos") / s).alias("slot"))
     high = F.col("qpos") + s - (0 if window == "closed" else 1)
-    q = q.withColumn("slot", F.explode(F.sequence(F.floor((F.col("qpos") - s) / s),
-                                                  F.floor(high / s))))
+    q = query_positions(index, queries).withColumn(
+        "slot", F.explode(F.sequence(F.floor((F.col("qpos") - s) / s), F.floor(high / s))))
     # a slot holds at most `s` references, so only the query side of this join
     # can be crowded; adaptive skew handling splits that side
-    hits = q.join(r, ["p", "slot"]).filter(
+    hits = r.join(q, ["p", "slot"]).filter(
         (F.col("pos") >= F.col("qpos") - s) & (F.col("pos") <= high))
     return hits.select("query_id", "neighbor_id").distinct()
 
 
 def knn_projection(queries: DataFrame, refs: DataFrame, k: int, search_size: int = 20, *,
                    basis: np.ndarray | None = None, projections: int = 4, seed: int = 0,
-                   window: str = "half_open", index: DataFrame | None = None,
+                   window: str = "half_open", index: ProjectionIndex | None = None,
                    metric: str | Metric = "euclidean") -> DataFrame:
-    """Nearest references among those close in rank along random projections."""
+    """Nearest references among those close in rank along random projections.
+
+    Pass an ``index`` from :func:`build_index` to search the same references again.
+    """
     if k < 1:
         raise ValueError("k must be positive")
-    if basis is None:
+    if index is not None:
+        basis = index.basis
+    elif basis is None:
         d = dimension(refs)
         if not d:
             return rerank(_no_pairs(refs), queries, refs, k, metric)
@@ -95,8 +169,8 @@ def knn_projection(queries: DataFrame, refs: DataFrame, k: int, search_size: int
     return rerank(pairs, queries, refs, k, metric)
 
 
-def _no_pairs(refs: DataFrame) -> DataFrame:
-    return refs.sparkSession.createDataFrame([], "query_id bigint, neighbor_id bigint")
+def _no_pairs(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "query_id bigint, neighbor_id bigint")
 
 
 def needs_reindex(n_indexed: int, n_pending: int, n_removed: int) -> bool:

@@ -18,11 +18,10 @@ from vecspark.functions.uniform import uniform
 from vecspark.functions.vectors import get_metric
 from vecspark.operators.kmeans import ball_kmeans, with_weight
 from vecspark.plans.rank import with_rank
+from vecspark.schema import dimension
 
-#: Rows of one shard when rows are sharded by hash.
-SHARD_ROWS = 1 << 18
-#: Rows of one group in a merge.
-MERGE_ROWS = 1 << 16
+#: Size of one shard when rows are sharded by hash, and of one group in a merge.
+SHARD_BYTES = 64 << 20
 
 _SCHEMA = ("kind string, shard bigint, no int, weight double, vec array<double>, "
            "n_seen bigint, kappa int, cutoff double, n_centroids int")
@@ -103,7 +102,8 @@ def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float =
     if sharding != "hash":
         raise ValueError("sharding must be 'split' or 'hash'")
     if shards is None:
-        shards = max(1, -(-points.count() // SHARD_ROWS))
+        size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+        shards = max(1, -(-size["n"] * (size["d"] or 1) * 8 // SHARD_BYTES))
     keyed = pts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     return Sketch(session.materialize(_grouped(keyed, kappa, cutoff, m, opts)))
 
@@ -141,9 +141,10 @@ def merge_sketches(sk: Sketch, kappa: int, *, limit: int, metric: str = "euclide
     while True:
         head = sk.state.agg(F.sum("n_centroids").alias("n"), F.count("*").alias("shards"),
                             F.max("n_centroids").alias("most"), F.min("cutoff").alias("cut")).first()
+        dim = dimension(sk.table.filter("kind = 'centroid'"))
         if not head["n"] or head["n"] <= limit or head["shards"] <= 1:
             return sk
-        fan = max(2, MERGE_ROWS // head["most"])
+        fan = max(2, SHARD_BYTES // (8 * max(1, dim) * head["most"]))
         level += 1
         packed = (with_rank(sk.state.select("shard"), ["shard"], "at")
                   .select("shard", F.floor(F.col("at") / fan).alias("group")))

@@ -27,8 +27,8 @@ from vecspark import session
 from vecspark.functions import kernels
 from vecspark.functions.uniform import random_order
 
-#: Rows per side of one task's pair of blocks.
-BLOCK_ROWS = 1 << 15
+#: Size of one side of a task's pair of blocks.
+BLOCK_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 #: Multiplications that justify spreading a small input over more tasks.
 HEAVY = 2e8
@@ -111,6 +111,11 @@ def _regroup(batches, rows: int):
         yield pa.Table.from_batches(held)
 
 
+def block_rows(dim: int) -> int:
+    """Rows of dimension ``dim`` that make one block."""
+    return max(64, min(1 << 16, BLOCK_BYTES // (8 * max(1, dim))))
+
+
 def fetch(df: DataFrame) -> dict:
     """Bring a side whose size was checked to the driver as NumPy columns."""
     return columns_of(df.toArrow())
@@ -131,19 +136,22 @@ def pair_blocks(queries: DataFrame, refs: DataFrame, job: PairJob, dim: int, *,
     Returns the output rows and whether each query's rows are already final
     (True only when every task saw all references).
     """
+    same = queries is refs
     queries, refs = queries.select(*job.q_cols), refs.select(*job.r_cols)
     nq = nr = None
     if layout == "auto":
         nr, width = refs.count(), 8.0 * (dim + 2)
-        if nr * width <= session.BROADCAST_BYTES:
-            layout, nq = "refs", queries.count()
+        nq = nr if same else queries.count()
+        small_refs, small_queries = (n * width <= session.BROADCAST_BYTES for n in (nr, nq))
+        # both small: few queries against many references work better where the references lie
+        if small_refs and not (small_queries and nq * 64 < nr):
+            layout = "refs"
         else:
-            nq = queries.count()
-            layout = "queries" if nq * width <= session.BROADCAST_BYTES else "cells"
+            layout = "queries" if small_queries else "cells"
     if layout == "refs":
         return _refs_to_queries(queries, refs, job, dim, nq, nr), True
     if layout == "queries":
-        return _queries_to_refs(queries, refs, job), False
+        return _queries_to_refs(queries, refs, job, dim), False
     if layout == "cells":
         return _cells(queries, refs, job, dim, space), False
     raise ValueError(f"unknown layout {layout!r}")
@@ -166,14 +174,15 @@ def _refs_to_queries(queries, refs, job, dim, nq, nr):
     return queries.mapInArrow(search, job.schema)
 
 
-def _queries_to_refs(queries, refs, job):
+def _queries_to_refs(queries, refs, job, dim):
     sc = queries.sparkSession.sparkContext
     shared = sc.broadcast(fetch(queries))
     names, types = _arrow_types(queries.sparkSession, job.schema)
+    rows = block_rows(dim)
 
     def search(batches):
         held = None
-        for table in _regroup(batches, BLOCK_ROWS):
+        for table in _regroup(batches, rows):
             out = job.run(shared.value, job.prepare(columns_of(table)))
             held = out if held is None else job.merge([held, out])
         if held is not None:
@@ -190,8 +199,9 @@ def _cells(queries, refs, job, dim, space):
         visiting = queries.withColumn("cell", F.lit(0))
         plan = [(0, refs.count(), queries.count())]
     else:
-        celled, visiting, plan = _prune(queries, refs, space)
-    rows = [(int(c), -(-int(r) // BLOCK_ROWS), -(-int(q) // BLOCK_ROWS)) for c, r, q in plan if r and q]
+        celled, visiting, plan = _prune(queries, refs, space, dim)
+    size = block_rows(dim)
+    rows = [(int(c), -(-int(r) // size), -(-int(q) // size)) for c, r, q in plan if r and q]
     splits = F.broadcast(spark.createDataFrame(rows, "cell int, r_parts int, q_parts int"))
     keys = ["cell", "r_part", "q_part"]
     q_side = (visiting.join(splits, "cell")
@@ -214,11 +224,11 @@ def _cells(queries, refs, job, dim, space):
             .applyInArrow(meet, schema=job.schema))
 
 
-def _prune(queries, refs, space: Space):
+def _prune(queries, refs, space: Space, dim: int):
     """Cells around sampled pivots, and the cells each query cannot skip."""
     spark = refs.sparkSession
     n = refs.count()
-    want = int(min(MAX_PIVOTS, max(4, space.depth, 4 * n // BLOCK_ROWS, n ** 0.5)))
+    want = int(min(MAX_PIVOTS, max(4, space.depth, 4 * n // block_rows(dim), n ** 0.5)))
     drawn = fetch(refs.select("id", space.column)
                   .orderBy(random_order(7), "id").limit(want))[space.column]
     pivots = np.unique(drawn, axis=0)
