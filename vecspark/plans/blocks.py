@@ -207,7 +207,8 @@ def _cells(queries, refs, job, dim, space):
     q_side = (visiting.join(splits, "cell")
               .withColumn("q_part", F.pmod(F.xxhash64("id", F.lit(17)), "q_parts").cast("int"))
               .withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)))
-              .select(*keys, *job.q_cols))
+              # fresh column identities: both sides may stem from one DataFrame
+              .select(*[F.col(c).alias(c) for c in (*keys, *job.q_cols)]))
     r_side = (celled.join(splits, "cell")
               .withColumn("r_part", F.pmod(F.xxhash64("id", F.lit(23)), "r_parts").cast("int"))
               .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))

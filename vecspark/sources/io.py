@@ -14,9 +14,15 @@ from vecspark.schema import CENTROIDS, KEYED_VECTORS, dimension
 
 
 def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file below ``path``: ``(path, text)``."""
-    return (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    """One row per file below ``path``: ``(path, text)``, empty files included.
+
+    The text source passes over empty files, so these are added from the file listing.
+    """
+    full = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    empty = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .filter("length = 0").select(F.col("_metadata.file_path").alias("path"), F.lit("").alias("text")))
+    return full.unionByName(empty)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
