@@ -16,13 +16,19 @@ from vecspark.schema import CENTROIDS, KEYED_VECTORS, dimension
 def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``: ``(path, text)``, empty files included.
 
-    The text source passes over empty files, so these are added from the file listing.
+    Spark's sources pass over empty files. They are the listed files that a scan
+    of file names alone does not report; no content is read to find them.
     """
-    full = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-    empty = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .filter("length = 0").select(F.col("_metadata.file_path").alias("path"), F.lit("").alias("text")))
-    return full.unionByName(empty)
+    def plain(c):
+        return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    full = texts.select(plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    listed = spark.createDataFrame([(f,) for f in texts.inputFiles()], "path string").select(
+        plain(F.col("path")).alias("path"))
+    named = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(plain(F.col("_metadata.file_path")).alias("path")))
+    return full.unionByName(listed.join(named, "path", "left_anti").withColumn("text", F.lit("")))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
