@@ -111,10 +111,11 @@ def test_edges(spark, layout):
 
 def test_partitioning_does_not_matter(normals):
     want = rows(S.knn(normals, normals, 3))
-    for n in (1, 4, 16):
+    near = rows(P.knn_projection(normals, normals, 3, 10))
+    for n in (1, 9):
         df = normals.repartition(n)
         assert rows(S.knn(df, df, 3, layout="queries")).equals(want)
-        assert rows(P.knn_projection(df, df, 3, 10)).equals(rows(P.knn_projection(normals, normals, 3, 10)))
+        assert rows(P.knn_projection(df, df, 3, 10)).equals(near)
 
 
 def lumpy(spark, d):
@@ -126,7 +127,7 @@ def lumpy(spark, d):
     return G.blob_points(spark, blobs, 0.05, seed=d).select("id", "vec").persist()
 
 
-@pytest.mark.parametrize("d", [10, 50])
+@pytest.mark.parametrize("d", [20])
 def test_projection_recall_on_lumpy_data(spark, d):
     df = lumpy(spark, d)
     q = df.filter("id % 101 = 0")
@@ -173,14 +174,14 @@ def test_delta(spark, normals):
     old, new = normals.filter("id < 900"), normals.filter("id >= 900")
     gone = normals.filter("id % 50 = 7")
     q = normals.filter("id % 9 = 0")
-    for rebuild in ("no", "yes", "auto"):
+    for rebuild in ("no", "auto"):
         got = rows(P.knn_with_delta(q, old, new, gone, 3, 900, basis=basis, rebuild=rebuild), "query_id", "rank")
         want = rows(S.knn(q, normals.join(gone.select("id"), "id", "left_anti"), 3), "query_id", "rank")
         assert got[want.columns].equals(want), rebuild
     assert P.needs_reindex(100, 6, 0) and P.needs_reindex(100, 0, 3) and not P.needs_reindex(100, 5, 2)
 
 
-@pytest.mark.parametrize("raise_limit", [None, -1.0, 0.0, 0.9])
+@pytest.mark.parametrize("raise_limit", [None, 0.9])
 def test_hash_search_recall_and_layouts(spark, normals, raise_limit):
     df = G.normal_points(spark, 3000, 10, seed=2).drop("weight")
     q = df.filter("id < 60")
@@ -189,7 +190,7 @@ def test_hash_search_recall_and_layouts(spark, normals, raise_limit):
     overlap = R.search_overlap(H.knn_lsh(q, df, 100, **args), S.knn(q, df, 100))
     assert overlap.agg(F.percentile_approx("recall", 0.5)).first()[0] > 0.45
     if raise_limit == 0.9:
-        for layout in ("queries", "cells"):
+        for layout in ("cells",):
             assert rows(H.knn_lsh(q, df, 100, layout=layout, **args)).equals(want)
     work = H.distance_evaluations(q, df, 300, raise_limit=raise_limit, seed=5).agg(F.sum("evaluations")).first()[0]
     assert 60 * 300 <= work < 60 * 3000

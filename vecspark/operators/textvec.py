@@ -13,6 +13,7 @@ from vecspark import session
 from vecspark.functions.text import (
     get_scorer, hash_term, parse_code, parse_message, tokenize_message, tokenize_standard)
 from vecspark.functions.uniform import gaussian
+from vecspark.functions.vectors import UNROLL
 from vecspark.plans.rank import with_rank
 
 #: Memory one dictionary row may take when broadcast.
@@ -130,5 +131,10 @@ def reduce_sparse(long: DataFrame, m: int, seed: int = 0, id_col: str = "doc_id"
     The basis entry for (dim, j) is a function of the two numbers, so no basis
     table is stored, moved or joined, whatever the number of terms.
     """
-    parts = [F.sum(F.col("val") * gaussian(seed, "dim", F.lit(j))) for j in range(m)]
-    return long.groupBy(id_col).agg(F.array(*parts).alias("vec"))
+    if m <= UNROLL:
+        parts = [F.sum(F.col("val") * gaussian(seed, "dim", F.lit(j))) for j in range(m)]
+        return long.groupBy(id_col).agg(F.array(*parts).alias("vec"))
+    cells = (long.select(id_col, "dim", "val", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"))
+             .groupBy(id_col, "_j").agg(F.sum(F.col("val") * gaussian(seed, "dim", "_j")).alias("_x")))
+    return cells.groupBy(id_col).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_j", "_x"))), lambda s: s["_x"]).alias("vec"))
