@@ -65,38 +65,62 @@ def seed_kmeanspp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     center = literal(head["vec"])
     to_center = sq_euclidean("vec", center)
     radius = pts.agg(F.sum(F.col("weight") * to_center)).first()[0]
-    rate = F.col("weight") * (F.lit(radius) + F.lit(total) * to_center)
-
-    chosen: list = []
-    state, kept = pts.withColumn("near", F.lit(float("inf"))), 0
-    while True:
-        race = state.withColumn("rate", rate).filter(F.col("rate") > 0)
-        arrival = -F.log(uniform(seed, F.lit(len(chosen)), "id")) / F.col("rate")
-        won = race.agg(F.min(F.struct(arrival.alias("t"), "id", "vec", "weight")).alias("w")).first()["w"]
-        if won is None:
-            break
+
+    first = pts.withColumn("near", F.lit(radius) + F.lit(total) * to_center)
+    chosen, kept = [], 0
+    won = _draw(first, np.zeros((0, dim)), seed, 0)
+    state = pts.withColumn("near", F.lit(float("inf")))
+    while won is not None:
         chosen.append(won)
         if len(chosen) == k:
             break
         fresh = np.array([c["vec"] for c in chosen[kept:]], dtype=float)
-        near = F.least("near", _least_sq("vec", fresh))
-        if len(chosen) - kept >= SEED_ROUNDS_KEPT:
-            state = session.materialize(state.withColumn("near", near))
-            kept, near = len(chosen), F.col("near")
-        rate = F.col("weight") * near
+        if len(fresh) > SEED_ROUNDS_KEPT:
+            state = session.materialize(state.withColumn("near", _least_sq("vec", "near", fresh[:-1])))
+            kept, fresh = len(chosen) - 1, fresh[-1:]
+        won = _draw(state, fresh, seed, len(chosen))
     rows = [(i, float(c["weight"]), list(c["vec"]), c["id"]) for i, c in enumerate(chosen)]
     return spark.createDataFrame(rows, "centroid_id int, weight double, vec array<double>, id bigint")
 
 
-def _least_sq(vec: str, centers: np.ndarray):
+def _nearest_sq(x: np.ndarray, near: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    for c in centers if len(x) else ():
+        near = np.minimum(near, kernels.paired_sqeuclidean(x, np.broadcast_to(c, x.shape)))
+    return near
+
+
+def _least_sq(vec: str, near: str, centers: np.ndarray):
+    """The lesser of ``near`` and the squared distance to the nearest of ``centers``."""
     @F.arrow_udf("double")
-    def least(col: pa.Array) -> pa.Array:
-        x = kernels.to_matrix(col)
-        best = np.full(len(x), np.inf)
-        for c in centers if len(x) else ():
-            best = np.minimum(best, kernels.paired_sqeuclidean(x, np.broadcast_to(c, x.shape)))
-        return pa.array(best)
-    return least(vec)
+    def least(col: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array(_nearest_sq(kernels.to_matrix(col), known.to_numpy(), centers))
+    return least(vec, near)
+
+
+def _draw(state: DataFrame, fresh: np.ndarray, seed: int, round_: int):
+    """Winner of one race at rates weight x squared distance: every task sends its
+    earliest arrival, the earliest of those wins."""
+    def race(batches):
+        best = None
+        for b in batches:
+            ids, w, near, u = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+            rate = w * _nearest_sq(kernels.to_matrix(b.column(1)), near, fresh)
+            at = np.flatnonzero(rate > 0)
+            if not len(at):
+                continue
+            t = -np.log(u[at]) / rate[at]
+            i = np.lexsort((ids[at], t))[0]
+            if best is None or (t[i], ids[at[i]]) < best[0]:
+                best = (t[i], ids[at[i]]), b.slice(at[i], 1)
+        if best is not None:
+            (t, _), row = best
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t]), row.column(0), row.column(1), row.column(2)], names=["t", "id", "vec", "weight"])
+
+    u = uniform(seed, F.lit(round_), "id")
+    return (state.select("id", "vec", "weight", "near", u.alias("u"))
+            .mapInArrow(race, "t double, id bigint, vec array<double>, weight double")
+            .agg(F.min(F.struct("t", "id", "vec", "weight")).alias("w")).first()["w"])
 
 
 def _gaps(vecs: np.ndarray) -> np.ndarray:

@@ -148,6 +148,10 @@ def pair_blocks(queries: DataFrame, refs: DataFrame, job: PairJob, dim: int, *,
             layout = "refs"
         else:
             layout = "queries" if small_queries else "cells"
+    elif layout in ("refs", "queries"):
+        side = refs if layout == "refs" else queries
+        if side.count() * 8.0 * (dim + 2) > session.BROADCAST_BYTES:
+            raise ValueError(f"layout {layout!r} needs a side below the broadcast bound")
     if layout == "refs":
         return _refs_to_queries(queries, refs, job, dim, nq, nr), True
     if layout == "queries":
