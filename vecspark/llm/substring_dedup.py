@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from vecspark.llm.text import only
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 128
 #: text behind each bucket of keys, and least number of buckets
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
+#: keys of candidates behind each bucket of a level, and least number of those
+LEVEL_BYTES, LEAST_LEVEL_BUCKETS = 4 << 20, 32
 #: windows a task gathers before it hands them on
 GATHER = 1 << 21
 #: bits of a window's first key beyond those that choose its bucket
@@ -63,7 +65,7 @@ def _double(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _ODD[0][0] + mix(second * _ODD[1][1]))
 
 
-def _bucketed(bits: int):
+def bucketed(bits: int):
     """Each window's first key, with the bucket as its leading bits."""
     return lambda keys: keys >> np.uint64(64 - REST_BITS - bits)
 
@@ -71,13 +73,15 @@ def _bucketed(bits: int):
 ENTRY = "dest long, kind int, block long, keys binary, blocks binary"
 
 
-def _first_keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows for the buckets: keys of single documents here, and keys already seen twice here.
+def first_keys(batches: Iterator[pa.RecordBatch], keys_of: Callable[[bytes], np.ndarray], bits: int,
+               within: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets: keys of single documents here, and keys already seen twice here (``within``: also twice in
+    one document).
 
     A key that two documents of this task share is known to be repeated: the blocks of those documents are told
     straight away (kind 1), and its bucket gets one mark. So a bucket holds one entry for each key and task.
     """
-    shape, rest = _bucketed(bits), np.uint64(REST_BITS)
+    shape, rest = bucketed(bits), np.uint64(REST_BITS)
 
     def flush(keys, owner, block):
         v = shape(np.concatenate(keys))
@@ -86,7 +90,7 @@ def _first_keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> It
         v, d = v[order], d[order]
         starts, _ = runs(v)
         ends = np.append(starts[1:], len(v))
-        many = d[starts] != d[ends - 1]  # a stable sort keeps the documents in order within a key
+        many = ends - starts > 1 if within else d[starts] != d[ends - 1]  # a stable sort keeps the documents in order within a key
         b = np.asarray(block, np.int64)
         where, mark = v[starts], np.where(many, -1, b[d[starts]])
         out = [(dest, 0, None, pack(where[x:y]), pack_ints(mark[x:y])) for dest, x, y in cut((where >> rest).astype(np.int64))]
@@ -104,7 +108,7 @@ def _first_keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> It
     keys, owner, block, n = [], [], [], 0
     for batch in batches:
         for text, blk in zip(batch.column("text"), batch.column("block").to_pylist()):
-            k = _window_keys(_hashes((text.as_py() or "").encode().split()), length, 0)
+            k = keys_of((text.as_py() or "").encode())
             if len(k):
                 keys.append(k)
                 owner.append(len(k))
@@ -117,7 +121,7 @@ def _first_keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> It
         yield flush(keys, owner, block)
 
 
-def _met(table: pa.Table) -> pa.Table:
+def met(table: pa.Table) -> pa.Table:
     """In one bucket: tell each block which of its keys other tasks have too."""
     kind = np.asarray(table.column("kind"))
     direct, rest = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 0))
@@ -137,7 +141,7 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out_block, pa.int64()), "keys": pa.array(out_keys, pa.binary())})
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed before they travel."""
     c = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -153,7 +157,7 @@ STATE = ("uid long, block long, doc_id long, rank long, n_words long, kept_sha25
 def _candidates(docs: pa.Table, told: pa.Table, length: int, bits: int) -> pa.Table:
     """One block: documents without a repeated key are done, the others keep their candidate windows."""
     known = np.unique(joined(column(told, "keys"), unpack, np.uint64))
-    shape, d = _bucketed(bits), zstandard.ZstdDecompressor()
+    shape, d = bucketed(bits), zstandard.ZstdDecompressor()
     rows = []
     # arrival order of shuffled rows may change when a task is repeated: numbering follows the content
     ids = docs.column("doc_id").to_pylist()
@@ -199,6 +203,12 @@ def _level_entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
             names=["dest", "block", "keys", "lo", "span"])
 
 
+def _with_bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _level_entries(batches, bits)
+    return run
+
+
 def _level_met(table: pa.Table) -> pa.Table:
     """In one bucket: keys with two documents, and the first of them, back to each block that has the key."""
     ks = [unpack(x) for x in blobs(table.column("keys"))]
@@ -277,6 +287,15 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                               names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest", "spans", "z"])
 
 
+def in_blocks(d: DataFrame) -> tuple[DataFrame, int]:
+    """Adds the block of each document; how many bits choose a bucket. Both follow the size of the texts."""
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(LEAST_BLOCKS, size // BLOCK_BYTES)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return (d.withColumn("block", F.pmod(key, F.lit(n)).cast("long")),
+            int(max(LEAST_BUCKETS, size // BUCKET_BYTES)).bit_length())
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 13) -> DataFrame:
     """Words of each document that lie in a window of ``min_words`` words which a document of smaller id also has.
 
@@ -294,22 +313,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     travel, blocks of documents do so at each level: a window of a third of all documents is one entry for each task.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
-    d = only(docs, id_col, text_col)
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
-    bits = int(max(LEAST_BUCKETS, size // BUCKET_BYTES)).bit_length()
-    d = d.withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")),
-                                     F.lit(n_blocks)).cast("long"))
-    told = (d.select("block", "text").mapInArrow(lambda it: _first_keys(it, min_words, bits), ENTRY)
-            .groupBy("dest").applyInArrow(_met, "block long, keys binary"))
-    packed = d.mapInArrow(_squeeze, "block long, doc_id long, z binary")
+    d, first_bits = in_blocks(only(docs, id_col, text_col))
+    told = (d.select("block", "text").mapInArrow(
+        lambda it: first_keys(it, lambda t: _window_keys(_hashes(t.split()), min_words, 0), first_bits), ENTRY)
+            .groupBy("dest").applyInArrow(met, "block long, keys binary"))
+    packed = d.mapInArrow(squeeze, "block long, doc_id long, z binary")
     base = tables.store(packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        lambda x, y: _candidates(x, y, min_words, bits), STATE).where("uid IS NOT NULL"))
+        lambda x, y: _candidates(x, y, min_words, first_bits), STATE).where("uid IS NOT NULL"))
     tables.sweep()
     state = base.where("pos IS NOT NULL").select("uid", "block", "rank", "pos", "keys")
     levels, length = [], min_words
     while True:
-        told = (state.mapInArrow(lambda it: _level_entries(it, bits), "dest long, block long, keys binary, lo binary, span binary")
+        n = state.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+        bits = int(max(LEAST_LEVEL_BUCKETS, n // LEVEL_BYTES)).bit_length()
+        told = (state.mapInArrow(_with_bits(bits), "dest long, block long, keys binary, lo binary, span binary")
                 .groupBy("dest").applyInArrow(_level_met, "block long, keys binary, lo binary"))
         found = tables.store(state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
             _extender(length), LEVEL))
@@ -317,9 +334,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         levels.append(found.where("any_late").select("uid", F.lit(length).cast("long").alias("length"),
                                                      *(["late"] if not levels else [])))
         state = found.where("pos IS NOT NULL").select("uid", "block", "rank", "pos", "keys")
+        length *= 2
         if state.isEmpty():
             break
-        length *= 2
     longest = levels[0].select("uid", "length")
     for x in levels[1:]:
         longest = longest.union(x)
