@@ -165,6 +165,19 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
     return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text", *, min_score: float = 0.502) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told: neither ``und`` nor a tie of two languages
+    (a score below ``min_score``; 0.5 is an exact tie). If there is no labelled text, every text with a letter stays."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(texts)
+        for b in batches:
+            said = [(t, model(t)) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([x[1] >= min_score if texts else bool(t and model.words(t)) for t, x in said], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

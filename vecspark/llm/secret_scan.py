@@ -45,9 +45,13 @@ def _matches(d: DataFrame, name: str, pattern: str) -> DataFrame:
     return d.withColumn(name, _found(f"{name}_m", f"{name}_p")).drop(f"{name}_p")
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, assign, access, hex): spans of the base kinds, starts and ends in code points, end exclusive."""
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, whole_row: bool = False) -> DataFrame:
+    """(doc_id, text, assign, access, hex): spans of the base kinds, starts and ends in code points, end exclusive.
+    ``whole_row`` adds ``row``, a struct of the other columns."""
     d = only(docs, id_col, text_col)
+    if whole_row:
+        d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
+                        F.struct(F.lit(0).alias("__"), *[docs[c] for c in docs.columns if c != text_col]).alias("row"))
     d = _matches(d, "assign", ASSIGN).withColumn(
         "v", F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))))
     d = d.withColumn("assign", F.filter("assign", lambda s, i: F.length(F.get(F.col("v"), i)) >= 8)).drop("v", "assign_m")
@@ -96,7 +100,8 @@ def train(tokens: DataFrame, *, prior: float = 0.5) -> list[float]:
 
 
 def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", *,
-                 min_token: int = MIN_TOKEN, min_llr: float = MIN_LLR, min_mean: float = MIN_MEAN) -> DataFrame:
+                 min_token: int = MIN_TOKEN, min_llr: float = MIN_LLR, min_mean: float = MIN_MEAN,
+                 whole_row: bool = False) -> DataFrame:
     """Spans of secrets in each text.
 
     Base kinds come from fixed patterns. A token of ``min_token`` symbols or more that overlaps none of them is a
@@ -105,7 +110,7 @@ def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
     Returns (doc_id, text, spans): ``spans`` has (start, rank, kind, end) by start and kind, in code points, end
     exclusive. One row for each row of ``docs``, nothing moves between tasks. A null text has no spans.
     """
-    d = base_spans(docs, id_col, text_col)
+    d = base_spans(docs, id_col, text_col, whole_row=whole_row)
     d = _matches(d, "run", f"[{TOKEN_CHARS}]{{{min_token},}}")
     k, table = len(ALPHABET), F.array(*[F.lit(round(x, 6)) for x in model])
     known = F.concat("assign", "access", "hex")
@@ -121,7 +126,7 @@ def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
         x["llr"] >= min_mean * (x["s"]["end"] - x["s"]["start"] - 1))), lambda x: x["s"]), F.expr(f"cast(array() AS {_SPANS})")))
     tagged = [F.expr(f"transform({kind}, s -> named_struct('start', s.start, 'rank', {r}, 'kind', '{kind}', 'end', s.end))")
               for r, kind in enumerate(KINDS)]
-    return d.select("doc_id", "text", F.sort_array(F.concat(*tagged)).alias("spans"))
+    return d.select("doc_id", "text", F.sort_array(F.concat(*tagged)).alias("spans"), *(["row"] if whole_row else []))
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
@@ -134,6 +139,21 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def without_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text",
+                    length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with their columns, secrets replaced by a mark; a length column follows the new text."""
+    found = scan_secrets(docs, model, id_col, text_col, whole_row=True).withColumn("new", redact(F.col("text"), F.col("spans")))
+    cols = []
+    for c, kind in docs.dtypes:
+        if c == text_col:
+            cols.append(F.col("new").cast(kind).alias(c))
+        elif c == length_col:
+            cols.append(F.when(F.size("spans") > 0, F.length("new").cast(kind)).otherwise(F.col("row").getField(c)).alias(c))
+        else:
+            cols.append(F.col("row").getField(c).alias(c))
+    return found.select(*cols)
+
+
 @query("op8_secret_scan")
 def op8(spark, sf):
     docs = documents(spark, sf)

@@ -286,15 +286,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = Tables(docs.sparkSession)
     each = tables.store(fingerprints(docs, id_col, text_col, shingle=shingle))
-    classes = tables.store(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = tables.store(links(tables, classes.select("fp"), max_bits))
+    first = tables.store(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    member = first.join(classes(tables, first.select("fp"), max_bits), "fp")
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    return each.join(member.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def classes(tables: Tables, fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of distinct fingerprints: those with the same root are joined by links."""
+    edges = tables.store(links(tables, fps, max_bits))
     tables.sweep()
     roots = components(tables, edges)
-    member = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, max_bits: int = 8) -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns: the one of least id (no id comes last; of equal
+    ids, the least hash of the text). Rows repeated with the same id and text are one row.
+
+    Fingerprints of five-word shingles that differ in at most 8 of 64 bits agree in 0.875 of them or more.
+    """
+    tables = Tables(docs.sparkSession)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    d = docs.select(*[docs[c].alias(n) for c, n in names.items()]).withColumns({
+        "id": F.coalesce(F.col(names[id_col]).cast("long"), F.lit((1 << 63) - 1)),
+        "h": F.xxhash64(F.coalesce(F.col(names[text_col]).cast("string"), F.lit("")))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([_fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
+            yield pa.record_batch([b.column("id"), b.column("h"), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
+    each = tables.store(d.select("id", "h", F.col(names[text_col]).cast("string").alias("text"))
+                        .mapInArrow(run, "id long, h long, fp long"))
+    first = tables.store(each.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first")))
+    member = first.join(classes(tables, first.select("fp"), max_bits), "fp")
+    chosen = member.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h")
+    return (d.join(chosen, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+            .select(*[F.col(n).alias(c) for c, n in names.items()]))
 
 
 @query("op2_simhash_dedup")
