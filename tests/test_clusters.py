@@ -148,8 +148,15 @@ def test_sketch_edges(spark):
     assert Z.sketch(same.filter("id < 0"), 5).centroids.count() == 0
     with pytest.raises(ValueError):
         Z.sketch(same, 5, sharding="odd")
-    sk = Z.sketch_rows(spark, np.eye(4), 10)
-    assert sk.centroids.count() == 4
+
+
+def test_hash_sketch_ignores_order_and_partitions(spark):
+    """Also when ids repeat: the draws follow the rows' content."""
+    rng = np.random.default_rng(2)
+    df = vectors(spark, rng.integers(0, 9, (400, 3)), ids=[i // 4 for i in range(400)])
+    key = lambda d: sorted((r["weight"], *r["vec"]) for r in
+                           Z.sketch(d, 20, 0.5, sharding="hash", shards=3, seed=1).centroids.collect())
+    assert key(df.coalesce(1)) == key(df.orderBy(F.desc("id"), "vec").repartition(5))
 
 
 def test_sketcher_is_bounded_and_keeps_weight():
@@ -180,7 +187,7 @@ def test_tree_merge(spark, cube4, monkeypatch):
     merged = Z.merge_sketches(sk, 60, limit=100)
     assert merged.centroids.count() <= max(100, 60)
     assert abs(total_weight(merged.centroids).first()[0] - 10000) < 1e-6
-    c = Z.cluster_at_scale(cube4, 16, kappa=100, limit=150, seed=3)
+    c = Z.cluster_at_scale(cube4, 16, kappa=100, seed=3)
     assert c.count() == 16 and abs(total_weight(c).first()[0] - 10000) < 1e-6
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows, vectors
+from vecspark import session
 from vecspark.functions.basis import make_basis
 from vecspark.operators import generate as G
 from vecspark.operators import hash_search as H
@@ -61,10 +62,32 @@ def test_distances_increase(normals, method):
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_grid(spark, layout):
-    grid = [[0.125 * (i & 4), i & 2, i & 1] for i in range(8)]
-    df = vectors(spark, grid)
-    got = rows(S.knn(df, df, 3, layout=layout), "query_id", "rank")
-    assert got["distance"].to_numpy().reshape(8, 3).tolist() == [[0.0, 0.5, 1.0]] * 8
+    """Three by four points, 3 apart in a row and 4 between rows: a corner sees 0, 3, 4, 5."""
+    df = vectors(spark, [[3.0 * col, 4.0 * line] for line in range(3) for col in range(4)])
+    got = rows(S.knn(df, df, 4, layout=layout), "query_id", "rank")
+    distance = {q: part["distance"].tolist() for q, part in got.groupby("query_id")}
+    assert distance[0] == distance[11] == [0.0, 3.0, 4.0, 5.0]
+    assert distance[1] == distance[2] == [0.0, 3.0, 3.0, 4.0]
+    assert distance[5] == [0.0, 3.0, 3.0, 4.0]
+
+
+def test_rows_that_are_no_vectors_are_refused(spark):
+    for bad in ([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0, 8.0]], [[1.0, 2.0], None], [[1.0, None], [2.0, 3.0]]):
+        df = spark.createDataFrame(list(enumerate(bad)), "id bigint, vec array<double>").coalesce(1)
+        with pytest.raises(Exception, match="different lengths|is null"):
+            S.knn(df, df, 1, layout="queries").collect()
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 8])
+def test_assignment_is_by_row_when_ids_repeat(spark, monkeypatch, bound):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", bound)
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (1, [10.0, 10.0])], "id bigint, vec array<double>")
+    centroids = spark.createDataFrame([(0, [0.0, 1.0]), (1, [10.0, 9.0])], "centroid_id int, vec array<double>")
+    got = S.assign_nearest(points, centroids).collect()
+    assert sorted((r["vec"][0], r["centroid_id"]) for r in got) == [(0.0, 0), (10.0, 1)]
+    for layout in LAYOUTS:
+        with pytest.raises(ValueError, match="not unique"):
+            S.knn(points, points, 1, layout=layout)
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells of one distance matrix; larger inputs are worked off in row chunks.
 MATRIX_CELLS = 1 << 22
 
 
 def to_matrix(col) -> np.ndarray:
-    """List column -> (rows, dim) double matrix."""
+    """List column -> (rows, dim) double matrix. Null or ragged rows are an error: a reshape would cut them anew."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
     if n == 0:
         return np.zeros((0, 0))
-    flat = col.flatten().to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    if col.null_count or flat.null_count:
+        raise ValueError("a vector or one of its coordinates is null")
+    if len(flat) % n or not pc.all(pc.equal(col.value_lengths(), len(flat) // n)).as_py():
+        raise ValueError("vectors of different lengths")
+    flat = flat.to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=np.float64).reshape(n, -1)
 
 

@@ -68,6 +68,12 @@ def _space(metric: Metric, k: int) -> Space | None:
     return None
 
 
+def _unique_ids(queries: DataFrame) -> None:
+    repeated = queries.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").first()
+    if repeated is not None:
+        raise ValueError(f"query id {repeated['id']} is not unique")
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str | Metric = "euclidean",
         *, layout: str = "auto") -> DataFrame:
     """The k nearest references of every query, by exact distance.
@@ -75,10 +81,12 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str | Metric = "euc
     Both inputs are ``(id, vec)``; the result is
     ``(query_id, neighbor_id, distance, rank)`` with ties broken by
     ``neighbor_id``. A query that is also a reference finds itself at 0. With
-    fewer than k references all of them are returned.
+    fewer than k references all of them are returned. Query ids must be unique:
+    the result could not tell two queries of one id apart.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    _unique_ids(queries)
     metric = get_metric(metric)
     job = TopK(["id", "vec"], ["id", "vec"], NEIGHBORS, k=k, metric=metric)
     dim = dimension(refs)
@@ -166,10 +174,12 @@ def assign_nearest(points: DataFrame, centroids: DataFrame | tuple,
     arrays = bounded_centroids(centroids)
     if arrays is None:
         refs = centroids.select(F.col("centroid_id").cast("bigint").alias("id"), "vec")
-        hits = knn(points, refs, 1, metric).select(
-            F.col("query_id").alias("id"), F.col("neighbor_id").cast("int").alias("centroid_id"),
+        # rows, not ids, are assigned: ids may repeat. The stored key is the same in both reads.
+        keyed = session.materialize(points.withColumn("_row", F.monotonically_increasing_id()))
+        hits = knn(keyed.select(F.col("_row").alias("id"), "vec"), refs, 1, metric).select(
+            F.col("query_id").alias("_row"), F.col("neighbor_id").cast("int").alias("centroid_id"),
             "distance")
-        return points.join(hits, "id")
+        return keyed.join(hits, "_row").drop("_row")
     ids, mat = arrays
     return (points.withColumn("_near", nearest_column("vec", ids, mat, metric))
             .select(*points.columns, "_near.centroid_id", "_near.distance"))
@@ -183,9 +193,9 @@ def nearest_other(rows: DataFrame, metric: str | Metric = "euclidean", *,
             .groupBy(F.col("query_id").alias("id")).agg(F.min("distance").alias("distance")))
 
 
-def min_pair_distance(rows: DataFrame, n: int | None = 100,
+def min_pair_distance(rows: DataFrame, n: int | None = None,
                       metric: str | Metric = "euclidean", *, positive: bool = False) -> DataFrame:
-    """Least distance between two of the first ``n`` rows by id (all when None).
+    """Least distance between two rows; with ``n``, between two of the first ``n`` rows by id.
 
     With ``positive`` copies are left out first, so the answer can serve as a
     distance cutoff.

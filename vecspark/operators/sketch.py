@@ -41,7 +41,7 @@ class Sketch:
     def centroids(self) -> DataFrame:
         """``(id, vec, weight)``: weighted points that stand for the input."""
         return self.table.filter("kind = 'centroid'").select(
-            (F.col("shard") * F.lit(1 << 24) + F.col("no")).alias("id"), "vec", "weight")
+            (F.col("shard") * F.lit(1 << 40) + F.col("no")).alias("id"), "vec", "weight")
 
     @property
     def state(self) -> DataFrame:
@@ -77,6 +77,11 @@ def _rows(sk: Sketcher, shard: int) -> pa.Table:
     return pa.concat_tables(tables) if tables else _ARROW.empty_table()
 
 
+def row_uniform(seed: int):
+    """A draw for each row that follows from its content: ids may repeat, and rows alike in all may be swapped."""
+    return uniform(seed, F.xxhash64("id", "vec", "weight"))
+
+
 def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float = 1.3,
            log_factor: float = 10.0, overshoot: float = 0.5, metric: str = "euclidean",
            sharding: str = "split", shards: int | None = None, seed: int = 0) -> Sketch:
@@ -88,7 +93,7 @@ def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float =
     """
     m = get_metric(metric)
     opts = {"beta": beta, "log_factor": log_factor, "overshoot": overshoot, "seed": seed}
-    pts = with_weight(points).withColumn("u", uniform(seed, "id"))
+    pts = with_weight(points).withColumn("u", row_uniform(seed))
     if sharding == "split":
         def run(batches):
             shard = TaskContext.get().partitionId()
@@ -111,7 +116,7 @@ def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float =
 def _grouped(keyed: DataFrame, kappa: int, cutoff: float, metric, opts: dict) -> DataFrame:
     """Sketch every shard of ``(shard, id, vec, weight, u)`` in id order."""
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by("id")
+        rows = rows.combine_chunks().sort_by([("id", "ascending"), ("u", "ascending")])
         shard = rows.column("shard")[0].as_py()
         sk = Sketcher(kappa, cutoff, metric, key=shard, **opts)
         sk.add(kernels.to_matrix(rows.column("vec")), rows.column("weight").to_numpy(),
@@ -122,13 +127,6 @@ def _grouped(keyed: DataFrame, kappa: int, cutoff: float, metric, opts: dict) ->
             .groupBy("shard").applyInArrow(run, schema=_SCHEMA))
 
 
-def sketch_rows(spark, vectors, kappa: int, cutoff: float = 1e-5, **options) -> Sketch:
-    """Sketch matrix rows: weight 1, id = row number."""
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
-    return sketch(df, kappa, cutoff, **options)
-
-
 def merge_sketches(sk: Sketch, kappa: int, *, limit: int, metric: str = "euclidean",
                    seed: int = 0, **opts) -> Sketch:
     """Sketch the centroids of neighbouring shards together until at most ``limit`` remain.
@@ -149,7 +147,7 @@ def merge_sketches(sk: Sketch, kappa: int, *, limit: int, metric: str = "euclide
         packed = (with_rank(sk.state.select("shard"), ["shard"], "at")
                   .select("shard", F.floor(F.col("at") / fan).alias("group")))
         rows = (sk.table.filter("kind = 'centroid'").join(packed, "shard")
-                .select((F.col("shard") * F.lit(1 << 24) + F.col("no")).alias("id"), "vec", "weight",
+                .select((F.col("shard") * F.lit(1 << 40) + F.col("no")).alias("id"), "vec", "weight",
                         F.col("group").alias("shard"))
                 .withColumn("u", uniform(seed, F.lit(f"level{level}"), "id")))
         sk = Sketch(session.materialize(_grouped(rows, kappa, head["cut"], m,
@@ -164,11 +162,11 @@ def sketch_size(k: int, n: int) -> int:
 def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cutoff: float = 1e-5,
                      max_iter: int = 20, trim: float | None = 0.9, merge: str = "ball",
                      sharding: str = "split", shards: int | None = None, seed: int = 0,
-                     limit: int = 1 << 20, metric: str = "euclidean", n: int | None = None,
+                     metric: str = "euclidean", n: int | None = None,
                      **opts) -> DataFrame:
     """Sketch every shard, then reduce the sketches: ``(centroid_id, weight, vec)``.
 
-    ``ball`` ends with ball k-means on the sketch, ``streaming`` sketches all
+    ``ball`` ends with ball k-means on the whole distributed sketch, ``streaming`` sketches all
     shards into one, ``union`` returns the centroids of all shards as they are.
     """
     if merge not in ("ball", "streaming", "union"):
@@ -178,7 +176,6 @@ def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cut
         kappa = kappa or sketch_size(k, n)
     sk = sketch(points, kappa, cutoff, metric=metric, sharding=sharding, shards=shards, seed=seed, **opts)
     if merge == "ball":
-        sk = merge_sketches(sk, kappa, limit=limit, metric=metric, seed=seed, **opts)
         return ball_kmeans(sk.centroids, k, max_iter, trim, seed=seed)
     if merge == "streaming":
         sk = merge_sketches(sk, max(kappa, sketch_size(k, n)), limit=1, metric=metric, seed=seed, **opts)

@@ -16,7 +16,7 @@ from vecspark.functions.uniform import gaussian
 from vecspark.functions.vectors import UNROLL
 from vecspark.plans.rank import with_rank
 
-#: Memory one dictionary row may take when broadcast.
+#: Memory one dictionary row may take when broadcast, besides the term's own bytes.
 TERM_BYTES = 96
 #: A frequent term's rows are joined in this many tasks.
 TERM_LANES = 32
@@ -46,7 +46,8 @@ def doc_freq_of(tf: DataFrame) -> DataFrame:
 def join_terms(tf: DataFrame, per_term: DataFrame) -> DataFrame:
     """Attach a per-term table. A common word owns a large share of all rows, so
     the join either broadcasts the dictionary (size checked) or salts the term."""
-    if per_term.count() * TERM_BYTES <= session.BROADCAST_BYTES:
+    size = per_term.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+    if size[0] * TERM_BYTES + (size[1] or 0) <= session.BROADCAST_BYTES:
         return tf.join(F.broadcast(per_term), "term")
     salted = per_term.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(TERM_LANES - 1))))
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_LANES)).cast("int")

@@ -23,6 +23,9 @@ def work_dir(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()  # SparkContext.setCheckpointDir
+    if given.isDefined():
+        return given.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = sc.applicationId

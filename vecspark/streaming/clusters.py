@@ -33,7 +33,7 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
     m = get_metric(metric)
     weight = F.col("weight") if "weight" in stream.columns else F.lit(1.0)
     keyed = stream.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id",
-                          "vec", weight.alias("weight"), uniform(seed, "id").alias("u"))
+                          "vec", weight.alias("weight"), uniform(seed, F.xxhash64("id", "vec", weight)).alias("u"))
     opts = {"beta": beta, "log_factor": log_factor, "overshoot": overshoot, "seed": seed}
 
     def absorb(key, frames, state: GroupState):
@@ -77,7 +77,7 @@ def read_latest(spark, path: str) -> DataFrame:
     rows = spark.read.schema(OUTPUT + ", batch int").parquet(path)
     newest = rows.groupBy("shard").agg(F.max("version").alias("version"))
     return (rows.join(newest, ["shard", "version"])
-            .select((F.col("shard").cast("bigint") * F.lit(1 << 24) + F.col("no")).alias("id"),
+            .select((F.col("shard").cast("bigint") * F.lit(1 << 40) + F.col("no")).alias("id"),
                     "vec", "weight"))
 
 
