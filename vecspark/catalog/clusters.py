@@ -37,10 +37,14 @@ def rounds_sql(n: int, trim: float | None) -> str:
     return ", ".join(round_sql("c" if i == 0 else f"r{i}", f"r{i + 1}", trim, i + 1) for i in range(n))
 
 
-@query("ball_kmeans_step", f"WITH {E}, {MEANS}, {rounds_sql(1, 0.9)} {coords('r1', 'centroid_id, CAST(n AS DOUBLE) AS weight')}")
+#: of the label means' gaps, so that some points count and some do not
+TRIM = 5.35
+
+
+@query("ball_kmeans_step", f"WITH {E}, {MEANS}, {rounds_sql(1, TRIM)} {coords('r1', 'centroid_id, CAST(n AS DOUBLE) AS weight')}")
 def ball_step(spark, sf):
     e = embeddings(spark, sf)
-    return long_vector(K.ball_kmeans_step(e, label_means(e, "label"), 0.9), "centroid_id", "weight")
+    return long_vector(K.ball_kmeans_step(e, label_means(e, "label"), TRIM), "centroid_id", "weight")
 
 
 @query("ball_kmeans_step_untrimmed", f"WITH {E}, {MEANS}, {rounds_sql(1, None)} {coords('r1', 'centroid_id, CAST(n AS DOUBLE) AS weight')}")
@@ -54,10 +58,10 @@ SELECT e.id, arg_min(c.centroid_id, (list_distance(e.vec, c.vec), c.centroid_id)
 USING (centroid_id) GROUP BY r3.centroid_id, r3.vec)"""
 
 
-@query("ball_kmeans", f"WITH {E}, {MEANS}, {rounds_sql(3, 0.9)}, {FINAL} {coords('f', 'centroid_id, weight')}")
+@query("ball_kmeans", f"WITH {E}, {MEANS}, {rounds_sql(3, TRIM)}, {FINAL} {coords('f', 'centroid_id, weight')}")
 def ball_kmeans(spark, sf):
     e = embeddings(spark, sf)
-    return long_vector(K.ball_kmeans(e, 10, 3, 0.9, seeds=label_means(e, "label")), "centroid_id", "weight")
+    return long_vector(K.ball_kmeans(e, 10, 3, TRIM, seeds=label_means(e, "label")), "centroid_id", "weight")
 
 
 @query("ball_kmeans_untrimmed", f"WITH {E}, {MEANS}, {rounds_sql(3, None)}, {FINAL} {coords('f', 'centroid_id, weight')}")

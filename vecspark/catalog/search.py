@@ -94,11 +94,11 @@ GAPS = ("gaps AS (SELECT a.centroid_id, min(list_distance(a.vec, b.vec)) AS gap
 
 
 @query("outlier_trim", f"WITH {E}, {MEANS}, {NEAR}, {GAPS} SELECT near.id, near.centroid_id, {s6('distance')} AS distance "
-                       "FROM near JOIN gaps USING (centroid_id) WHERE distance < 2.0 * gap")
+                       "FROM near JOIN gaps USING (centroid_id) WHERE distance < 5.35 * gap")
 def trim(spark, sf):
     e = embeddings(spark, sf)
     c = label_means(e, "label")
-    return outlier_trim(S.assign_nearest(e, c), c, 2.0).select("id", "centroid_id", r6("distance").alias("distance"))
+    return outlier_trim(S.assign_nearest(e, c), c, 5.35).select("id", "centroid_id", r6("distance").alias("distance"))
 
 
 def _window_sql(high: str) -> str:
@@ -265,11 +265,11 @@ def min_pair_distance(spark, sf):
 
 @query("remove_within", f"WITH {E}, {MEANS}, hit AS (SELECT c.centroid_id, arg_min(e.id, (list_distance(c.vec, e.vec), e.id)) AS id, "
        "min(list_distance(c.vec, e.vec)) AS distance FROM c, e GROUP BY c.centroid_id) "
-       "SELECT id, label FROM e WHERE id NOT IN (SELECT id FROM hit WHERE distance < 0.9)")
+       "SELECT id, label FROM e WHERE id NOT IN (SELECT id FROM hit WHERE distance < 0.95)")
 def remove_within(spark, sf):
     e = embeddings(spark, sf)
     probes = label_means(e, "label").select(F.col("centroid_id").cast("bigint").alias("id"), "vec")
-    return M.remove_within(e, probes, 0.9).select("id", "label")
+    return M.remove_within(e, probes, 0.95).select("id", "label")
 
 
 @query("remove_equal", f"WITH {E} SELECT id, label FROM e WHERE label <> 3")

@@ -102,13 +102,26 @@ def hamming(spark, sf):
     return h.join(nxt, "id").select("id", B.hamming("hash", "other").alias("hamming"))
 
 
-@query("validate_vectors", f"WITH {E} SELECT id, len(vec) AS len FROM e WHERE len(vec) = 64 "
+def _spoilt(spark, sf):
+    """Every tenth vector is null, another tenth too short, another has a coordinate that is no number."""
+    tenth, cut = F.pmod("id", F.lit(10)), F.slice("vec", 1, 63)
+    vec = (F.when(tenth == 3, None).when(tenth == 4, cut)
+           .when(tenth == 5, F.concat(cut, F.array(F.lit(float("nan"))))).otherwise(F.col("vec")))
+    return embeddings(spark, sf).withColumn("vec", vec)
+
+
+SPOILT = f"""{E}, x AS (SELECT id, CASE id % 10 WHEN 3 THEN NULL WHEN 4 THEN vec[1:63]
+  WHEN 5 THEN list_append(vec[1:63], 'nan'::DOUBLE) ELSE vec END AS vec FROM e)"""
+
+
+@query("validate_vectors", f"WITH {SPOILT} SELECT id, len(vec) AS len FROM x WHERE len(vec) = 64 "
                            "AND NOT list_bool_or(list_transform(vec, lambda x: isnan(x) OR isinf(x)))")
 def valid(spark, sf):
-    return validate_vectors(embeddings(spark, sf), 64).select("id", F.size("vec").cast("bigint").alias("len"))
+    return validate_vectors(_spoilt(spark, sf), 64).select("id", F.size("vec").cast("bigint").alias("len"))
 
 
-@query("validation_report", f"WITH {E} SELECT count(*) FILTER (len(vec) = 64) AS kept, "
-                            "count(*) FILTER (len(vec) <> 64) AS dropped FROM e")
+@query("validation_report", f"WITH {SPOILT}, ok AS (SELECT coalesce(len(vec) = 64 AND NOT list_bool_or(list_transform("
+                            "vec, lambda x: isnan(x) OR isinf(x))), false) AS ok FROM x) "
+                            "SELECT count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS dropped FROM ok")
 def report(spark, sf):
-    return validation_report(embeddings(spark, sf), 64)
+    return validation_report(_spoilt(spark, sf), 64)
