@@ -71,6 +71,20 @@ def test_grid(spark, layout):
     assert distance[5] == [0.0, 3.0, 3.0, 4.0]
 
 
+def test_a_far_row_does_not_blur_the_others(monkeypatch):
+    from vecspark.functions import kernels
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16))
+    far = x.copy()
+    far[7, 3] = 1e9
+    m, asked = S.get_metric("euclidean"), []
+    monkeypatch.setattr(kernels, "paired_in_parts", lambda m, q, r, qi, ri: asked.append(len(qi)) or m.paired(q[qi], r[ri]))
+    pos, d = kernels.nearest(x, far, m)
+    assert sum(asked) < 2 * len(x)
+    want = np.sqrt(((x[:, None] - far[None]) ** 2).sum(-1))
+    assert (pos == want.argmin(1)).all() and np.allclose(d, want.min(1))
+
+
 def test_rows_that_are_no_vectors_are_refused(spark):
     for bad in ([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0, 8.0]], [[1.0, 2.0], None], [[1.0, None], [2.0, 3.0]]):
         df = spark.createDataFrame(list(enumerate(bad)), "id bigint, vec array<double>").coalesce(1)

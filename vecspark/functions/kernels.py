@@ -93,6 +93,19 @@ def slack_euclidean(q, r) -> float:
     return float(np.sqrt(slack_sqeuclidean(q, r)))
 
 
+def pair_slack(metric, q, r):
+    """Rounding bound of each pair by its own two norms: one far row must not blur all others."""
+    if metric.slack not in (slack_sqeuclidean, slack_euclidean):
+        return metric.slack(q, r)
+    err = 1e-14 * (q.shape[1] + 8) * ((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :])
+    return err if metric.slack is slack_sqeuclidean else np.sqrt(err)
+
+
+def paired_in_parts(metric, q, r, qi, ri, size: int = 1 << 18):
+    """Exact distances of the pairs, a bounded number of gathered rows at a time."""
+    return np.concatenate([np.zeros(0), *(metric.paired(q[qi[a:a + size]], r[ri[a:a + size]]) for a in range(0, len(qi), size))])
+
+
 def pairwise_cosine(q, r):
     with np.errstate(invalid="ignore", divide="ignore"):
         qn = q / np.sqrt((q * q).sum(1))[:, None]
@@ -183,9 +196,11 @@ def top_k(queries: np.ndarray, block: RefBlock, k: int, metric):
         for s, e in chunks(len(queries), len(u)):
             q = queries[s:e]
             dist = metric.pairwise(q, u)
-            bar = np.partition(dist, kk - 1, axis=1)[:, kk - 1] if kk < len(u) else dist.max(axis=1)
-            qi, ui = np.nonzero(~(dist > (bar + 2 * metric.slack(q, u))[:, None]))
-            d = metric.paired(q[qi], u[ui])
+            err = pair_slack(metric, q, u)
+            upper = dist + err
+            bar = np.partition(upper, kk - 1, axis=1)[:, kk - 1] if kk < len(u) else upper.max(axis=1)
+            qi, ui = np.nonzero(~(dist - err > bar[:, None]))
+            d = paired_in_parts(metric, q, u, qi, ui)
             qi, ids, d, rank = block.expand(qi, ui, d, k)
             parts.append((qi + s, ids, d, rank))
     if not parts:
@@ -202,9 +217,10 @@ def nearest(vecs: np.ndarray, centers: np.ndarray, metric):
     for s, e in chunks(n, len(centers)):
         v = vecs[s:e]
         dist = metric.pairwise(v, centers)
-        bar = dist.min(axis=1) + 2 * metric.slack(v, centers)
-        qi, ci = np.nonzero(~(dist > bar[:, None]))
-        d = metric.paired(v[qi], centers[ci])
+        err = pair_slack(metric, v, centers)
+        bar = (dist + err).min(axis=1)
+        qi, ci = np.nonzero(~(dist - err > bar[:, None]))
+        d = paired_in_parts(metric, v, centers, qi, ci)
         order = np.lexsort((ci, d, qi))
         qi, ci, d = qi[order], ci[order], d[order]
         first = np.searchsorted(qi, np.arange(e - s))
