@@ -84,19 +84,23 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return secrets.union(words)
 
 
-def train(tokens: DataFrame, *, prior: float = 0.5) -> list[float]:
+def train(tokens: DataFrame, *, prior: float = 0.5, back_off: float = 5.0) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each two symbols in a row.
 
-    ``tokens`` has (token, random). Both models are first-order chains over 66 symbols; ``prior`` counts are added to
-    every pair, so a class without samples is the uniform chain. At most 2 x 66 x 66 counts reach the driver.
+    ``tokens`` has (token, random). Both models are first-order chains over 66 symbols: pairs are smoothed with
+    ``back_off`` times how common the second symbol is in the class, symbols with ``prior`` counts each. A class without samples
+    is the uniform chain. At most 2 x 66 x 66 counts reach the driver.
     """
     k = len(ALPHABET)
-    n = {True: [[prior] * k for _ in range(k)], False: [[prior] * k for _ in range(k)]}
+    n = {c: [[0] * k for _ in range(k)] for c in (True, False)}
     for r in _bigrams(tokens).collect():
         n[r.random][ALPHABET.index(r.pair[0])][ALPHABET.index(r.pair[1])] += r.n
-    total = {c: [sum(row) for row in n[c]] for c in n}
-    return [math.log(n[True][i][j] / total[True][i]) - math.log(n[False][i][j] / total[False][i])
-            for i in range(k) for j in range(k)]
+
+    def logs(rows: list[list[int]]) -> list[float]:
+        symbol = [sum(row[j] for row in rows) + prior for j in range(k)]
+        total = sum(symbol)
+        return [math.log((x + back_off * y / total) / (sum(row) + back_off)) for row in rows for x, y in zip(row, symbol)]
+    return [x - y for x, y in zip(logs(n[True]), logs(n[False]))]
 
 
 def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", *,
