@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.keys import column, joined, mix, pack, pack_ints, unpack, unpack_ints
+from vecspark.llm.keys import blobs, column, cut, joined, mix, pack, pack_ints, runs, unpack, unpack_ints
 from vecspark.llm.registry import documents, query
 from vecspark.llm.substring_dedup import ENTRY, NO_ID, bucketed, first_keys, in_blocks, met, squeeze
 from vecspark.llm.tables import Tables
@@ -45,7 +45,7 @@ class _Rolling:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _down[:len(data)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, length: int) -> np.ndarray:
+    def __call__(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * _up[start])
 
 
@@ -59,15 +59,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def pieces(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, key) of the pieces of a text's windows of ``length`` bytes.
+def core_length(length: int) -> int:
+    """Bytes that all windows of a whole piece have in common."""
+    return length - min(PIECE, length - min(GRAM, length) + 1) + 1
+
+
+def pieces(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, key, hash of the bytes, where the core begins) of the pieces of a text's windows of ``length`` bytes.
 
     A window's anchor is its gram of least hash, the first of equals; windows of one anchor fall into pieces by their
     distance to it. All this, and the key, which hashes what the windows of a whole piece have in common, depends on
     the window's own bytes: equal windows stand at the same place of pieces of the same key, wherever they occur.
     """
     gram = min(GRAM, length)
-    starts, sizes, keys = [], [], []
+    starts, sizes, keys, wholes, offs = [], [], [], [], []
     for c in range(0, len(data) - length + 1, CHUNK):
         part = np.frombuffer(data[c:c + CHUNK + length - 1], np.uint8)
         h = _Rolling(part)
@@ -79,17 +84,21 @@ def pieces(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         group = core * (length + 1) + anchor - core
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         # what the windows share; one fixed length, so that it does not depend on which of them are there
-        key = h(core[first], length - min(PIECE, length - gram + 1) + 1) + (anchor[first] - core[first]).astype(np.uint64)
+        key = h(core[first], core_length(length)) + (anchor[first] - core[first]).astype(np.uint64)
+        size = np.diff(np.append(first, len(s)))
         starts.append(first + c)
-        sizes.append(np.diff(np.append(first, len(s))))
+        sizes.append(size)
         keys.append(mix(key))
+        wholes.append(h(first, size + length - 1) + size.astype(np.uint64))
+        offs.append(core[first] - first)
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(keys)
+        none, no_key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, no_key, no_key, none
+    return tuple(map(np.concatenate, (starts, sizes, keys, wholes, offs)))
 
 
 BASE = ("uid long, doc_id long, rank long, copies long, n_bytes long, kept_sha256 string, z binary, "
-        "starts binary, sizes binary, keys binary")
+        "starts binary, sizes binary, keys binary, wholes binary, offs binary")
 
 
 def _candidates(length: int, bits: int):
@@ -104,130 +113,210 @@ def _candidates(length: int, bits: int):
             copies[x] = copies.get(x, 0) + 1
         for i, (doc_id, z) in enumerate(sorted(copies, key=lambda x: (x[0] is None, x[0] or 0, x[1] or b""))):
             data = d.decompress(z) if z else b""
-            start, size, key = pieces(data, length)
+            start, size, key, whole, off = pieces(data, length)
             v = shape(key)
             hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v) if len(known) else []
             base = [(block << 31) + i, doc_id, NO_ID if doc_id is None else doc_id, copies[doc_id, z], len(data)]
             if len(hit):
-                rows.append(base + [None, z, pack(start[hit]), pack_ints(size[hit]), pack_ints(key[hit].view(np.int64))])
+                rows.append(base + [None, z, pack(start[hit]), pack_ints(size[hit]),
+                                    pack_ints(key[hit].view(np.int64)), pack_ints(whole[hit].view(np.int64)),
+                                    pack_ints(off[hit])])
             else:
-                rows.append(base + [hashlib.sha256(data).hexdigest(), None, None, None, None])
-        types = [pa.int64()] * 5 + [pa.string()] + [pa.binary()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 10, types)],
-                        names=["uid", "doc_id", "rank", "copies", "n_bytes", "kept_sha256", "z", "starts", "sizes", "keys"])
+                rows.append(base + [hashlib.sha256(data).hexdigest(), *[None] * 6])
+        types = [pa.int64()] * 5 + [pa.string()] + [pa.binary()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 12, types)],
+                        names=["uid", "doc_id", "rank", "copies", "n_bytes", "kept_sha256", "z", "starts", "sizes", "keys", "wholes",
+                               "offs"])
     return run
 
 
-PART = "dest long, key long, uid long, rank long, start long, size long, data binary"
-_PART_TYPES = [pa.int64()] * 6 + [pa.binary()]
+#: pieces folded together before they travel
+TOGETHER = 1 << 15
+FIELDS = ("key", "whole", "uid", "rank", "start", "size", "off")
+PART = "dest long, uid long, starts binary, sizes binary, fields array<binary>, data binary"
+VERDICT = "uid long, starts binary, sizes binary"
+
+
+def _fold(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces with the same bytes the first stays, in the order of rank, row and start; the others are repeated
+    throughout. (Pieces of another row with the same id are not later: they stay too.) Returns both as positions.
+
+    Pieces are alike when the hash of what their windows share and the hash of all their bytes are, 128 bits in all.
+    """
+    order = np.lexsort((p["start"], p["uid"], p["rank"], p["whole"], p["key"]))
+    key, whole, uid, rank = (p[c][order] for c in ("key", "whole", "uid", "rank"))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+    first = rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.zeros(len(order), bool)
+    again[1:] = ~new[1:] & (uid[1:] == uid[:-1])
+    late = (rank > first) | again
+    return order[~late], order[late]
 
 
-def _fold(rows: list[tuple]) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """Of pieces with the same bytes the first stays; the others are repeated throughout (uid, start, size).
+def _verdicts(uid: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(uid, starts, sizes) of runs of repeated windows, one for each document."""
+    order = np.lexsort((start, uid))
+    uid, start, size = uid[order], start[order], size[order]
+    return [(u, pack(start[a:b]), pack_ints(size[a:b])) for u, a, b in cut(uid)]
 
-    Pieces of another row with the same id are not later, so they stay too."""
-    first: dict[tuple, list] = {}
-    stay, late = [], []
-    for r in sorted(rows, key=lambda r: (r[3], r[2], r[4])):
-        seen = first.setdefault((r[1], r[6]), [])
-        if not seen:
-            seen.append(r)
-            stay.append(r)
-        elif r[3] > seen[0][3] or any(r[2] == x[2] for x in seen):
-            late.append((r[2], r[4], r[5]))
-        else:
-            seen.append(r)
-            stay.append(r)
-    return stay, late
+
+def _slices(buf: np.ndarray, at: np.ndarray, n: np.ndarray) -> bytes:
+    """The bytes at, of n each, one after the other."""
+    ends = np.cumsum(n)
+    return buf[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - ends + n, n)].tobytes()
 
 
 def _parts(length: int, buckets: int):
-    """The candidate pieces' bytes, folded within each batch before they travel; a piece without bytes is a verdict."""
+    """The candidate pieces for their buckets, folded as far as they are here; verdicts on those folded away."""
+    def flush(docs: list[bytes], cols: list[tuple]) -> pa.RecordBatch:
+        base = np.cumsum([0, *map(len, docs)])[:-1]
+        p = {c: np.concatenate([x[k] for x in cols]) for k, c in enumerate(FIELDS)}
+        at = np.concatenate([x[4] + b for x, b in zip(cols, base)])
+        buf = np.frombuffer(b"".join(docs), np.uint8)
+        stay, late = _fold(p)
+        rows = [(u % buckets, u, a, b, None, None) for u, a, b in _verdicts(p["uid"][late], p["start"][late], p["size"][late])]
+        dest = (p["key"][stay] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(dest, kind="stable")
+        stay, dest = stay[order], dest[order]
+        for e, x, y in cut(dest):
+            i = stay[x:y]
+            rows.append((e, None, None, None, [pack_ints(p[c][i].view(np.int64)) for c in FIELDS],
+                         _slices(buf, at[i], p["size"][i] + length - 1)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)],
+                               names=["dest", "uid", "starts", "sizes", "fields", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
+        d, docs, cols, n = zstandard.ZstdDecompressor(), [], [], 0
         for b in batches:
-            rows = []
-            for uid, rank, z, start, size, key in zip(*(b.column(c).to_pylist() for c in ("uid", "rank", "z", "starts", "sizes", "keys"))):
-                data, keys = d.decompress(z), unpack_ints(key)
-                dest = (keys.view(np.uint64) % np.uint64(buckets)).tolist()
-                for e, k, s, n in zip(dest, keys.tolist(), unpack(start).tolist(), unpack_ints(size).tolist()):
-                    rows.append((e, k, uid, rank, s, n, data[s:s + n - 1 + length]))
-            stay, late = _fold(rows)
-            stay += [(uid % buckets, 0, uid, 0, s, n, None) for uid, s, n in late]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*stay)) or [[]] * 7, _PART_TYPES)],
-                                  names=["dest", "key", "uid", "rank", "start", "size", "data"])
+            for k in range(b.num_rows):
+                uid, rank, z, starts, sizes, keys, wholes, offs = (
+                    b.column(c)[k].as_py() for c in ("uid", "rank", "z", "starts", "sizes", "keys", "wholes", "offs"))
+                start = unpack(starts).astype(np.int64)
+                docs.append(d.decompress(z))
+                cols.append((unpack_ints(keys).view(np.uint64), unpack_ints(wholes).view(np.uint64),
+                             np.full(len(start), uid), np.full(len(start), rank), start, unpack_ints(sizes), unpack_ints(offs)))
+                n += len(start)
+                if n >= TOGETHER:
+                    yield flush(docs, cols)
+                    docs, cols, n = [], [], 0
+        if n:
+            yield flush(docs, cols)
     return run
 
 
-def sort_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, length) of all suffixes of a collection, in order, built column by column from the right.
 
     Round j knows the order of all suffixes shorter than j, and the symbol before each: the collection's
     Burrows-Wheeler transform so far. Putting those symbols into order, stably, is putting in order the suffixes that
     begin with them, so every round inserts one symbol of each text and passes over the transform once.
     """
-    length = np.array([len(t) for t in texts], np.int64)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    last = np.cumsum(length) - 1
-    empty = np.arange(len(texts), dtype=np.int32)
-    which, size = empty, np.zeros(len(texts), np.int16)
-    for _ in range(int(length.max(initial=0))):
-        more = size < length[which]
-        w, n = which[more], size[more]
-        transform = buf[last[w] - n]
-        order = np.argsort(transform, kind="stable")
-        which = np.concatenate([empty, w[order]])
-        size = np.concatenate([np.zeros(len(texts), np.int16), n[order] + np.int16(1)])
+    last = (begin + length - 1).astype(np.int32)
+    empty = np.arange(len(begin), dtype=np.int32)
+    which, size = empty, np.zeros(len(begin), np.int32)
+    short = int(length.min(initial=0))
+    for j in range(int(length.max(initial=0))):
+        if j >= short:  # some texts are through
+            more = size < length[which]
+            which, size = which[more], size[more]
+        order = np.argsort(buf[last[which] - size], kind="stable")
+        which = np.concatenate([empty, which[order]])
+        size = np.concatenate([np.zeros(len(begin), np.int32), size[order] + np.int32(1)])
     return which, size
 
 
 def _same(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Whether each start shares ``length`` bytes with the start before it: common prefixes, as far as they matter."""
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    """Whether each start shares ``length`` symbols with the start before it: common prefixes, as far as they matter."""
+    four = np.lib.stride_tricks.sliding_window_view(buf, 4)
     eq = np.ones(len(at), bool)
     eq[:1] = False
-    for k in [*range(0, length - 7, 8), max(0, length - 8)]:
+    for k in [*range(0, length - 3, 4), max(0, length - 4)]:
         i = np.flatnonzero(eq)
-        eq[i] = (eight[at[i] + k] == eight[at[i - 1] + k]).all(axis=1)
+        eq[i] = (four[at[i] + k] == four[at[i - 1] + k]).all(axis=1)
     return eq
 
 
-def later_windows(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """(uid, start, 1) of the windows that repeat an earlier one, among pieces (.., uid, rank, start, size, data)."""
-    which, size = sort_suffixes([r[6] for r in rows])
+def _shorten(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, off: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces with their core written as one symbol of its own: (symbols, where each piece begins).
+
+    All windows of a piece hold its core whole, so what they compare like does not change; columns that all pieces of a
+    key share are passed once instead of ``core`` times.
+    """
+    same = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, core)[begin + off]).view(f"V{core}").ravel()
+    symbol = np.unique(same, return_inverse=True)[1]
+    kind = np.uint16 if len(same) < (1 << 16) - 256 else np.uint32
+    m = n - core + 1
+    first = np.cumsum(m) - m
+    t = np.arange(int(m.sum())) - np.repeat(first, m)
+    o = np.repeat(off, m)
+    out = buf[np.minimum(np.repeat(begin, m) + t + np.where(t > o, core - 1, 0), len(buf) - 1)].astype(kind)
+    out[first + off] = 256 + symbol
+    return np.concatenate([out, np.zeros(4, kind)]), first
+
+
+def later_windows(p: dict[str, np.ndarray], buf: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, start) of the windows that repeat an earlier one among pieces whose bytes stand at ``begin``."""
+    core = core_length(length)
+    symbols, begin = _shorten(buf, begin, p["size"] + length - 1, p["off"], core)
+    length = length - core + 1
+    text_len = p["size"] + length - 1
+    which, size = sort_suffixes(symbols, begin, text_len)
     keep = size >= length
     which, size = which[keep].astype(np.int64), size[keep].astype(np.int64)
-    text_len = np.array([len(r[6]) for r in rows], np.int64)
-    begin = np.cumsum(text_len) - text_len
     into = text_len[which] - size
-    buf = np.frombuffer(b"".join(r[6] for r in rows) + bytes(8), np.uint8)
-    cls = np.cumsum(~_same(buf, begin[which] + into, length)) - 1
-    uid, rank, start = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-    w_uid, w_rank, w_start = uid[which], rank[which], start[which] + into
-    order = np.lexsort((w_start, w_uid, w_rank, cls))
-    cls, w_uid, w_rank, w_start = cls[order], w_uid[order], w_rank[order], w_start[order]
+    cls = np.cumsum(~_same(symbols, begin[which] + into, length)) - 1
+    uid, rank, start = p["uid"][which], p["rank"][which], p["start"][which] + into
+    order = np.lexsort((start, uid, rank, cls))
+    cls, uid, rank, start = cls[order], uid[order], rank[order], start[order]
     new = np.concatenate(([True], cls[1:] != cls[:-1]))
-    low = w_rank[np.flatnonzero(new)][np.cumsum(new) - 1]
-    again = np.concatenate(([False], (cls[1:] == cls[:-1]) & (w_uid[1:] == w_uid[:-1])))
-    late = (w_rank > low) | again
-    return list(zip(w_uid[late].tolist(), w_start[late].tolist(), [1] * int(late.sum())))
+    low = rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.concatenate(([False], (cls[1:] == cls[:-1]) & (uid[1:] == uid[:-1])))
+    late = (rank > low) | again
+    return uid[late], start[late]
+
+
+#: pieces whose suffixes are sorted together
+COLLECTION = 2048
 
 
 def _judge(length: int):
-    """One bucket: every window that repeats an earlier one."""
+    """One bucket: every window that repeats an earlier one.
+
+    Pieces are folded once more. Where several different ones of a key are left, their windows may still agree in part:
+    those collections are sorted, as many keys together as make about ``COLLECTION`` pieces.
+    """
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("dest", "key", "uid", "rank", "start", "size", "data"))))
-        late = [(r[2], r[4], r[5]) for r in rows if r[6] is None]
-        stay, more = _fold([r for r in rows if r[6] is not None])
-        late += more
-        if stay:
-            late += later_windows(stay, length)
-        late.sort()
-        uid = np.array([x[0] for x in late], np.int64)
-        start, size = np.array([x[1] for x in late], np.int64), np.array([x[2] for x in late], np.int64)
-        cuts = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1]))) if len(uid) else []
-        out = [(int(uid[a]), pack(start[a:b]), pack_ints(size[a:b])) for a, b in zip(cuts, [*cuts[1:], len(uid)])]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))],
+        rows = list(zip(*(column(table, c).to_pylist() for c in ("uid", "starts", "sizes"))))
+        rows = [r for r in rows if r[0] is not None]
+        parts = [f for f in table.column("fields").to_pylist() if f is not None]
+        if parts:
+            p = {c: np.concatenate([unpack_ints(f[k]) for f in parts]) for k, c in enumerate(FIELDS)}
+            p["key"], p["whole"] = p["key"].view(np.uint64), p["whole"].view(np.uint64)
+            buf = np.frombuffer(b"".join(blobs(table.column("data"))) + bytes(8), np.uint8)
+            n = p["size"] + length - 1
+            begin = np.cumsum(n) - n
+            stay, late = _fold(p)
+            uid, start, size = [p["uid"][late]], [p["start"][late]], [p["size"][late]]
+            key = p["key"][stay]  # in order
+            first, run_ = runs(key)
+            several = np.diff(np.append(first, len(key))) > 1
+            stay, key = stay[several[run_]], key[several[run_]]
+            first, _ = runs(key)
+            a = 0
+            while a < len(stay):
+                b = first[min(np.searchsorted(first, a + COLLECTION), len(first) - 1)]
+                b = len(stay) if b <= a or len(stay) - b < COLLECTION // 2 else int(b)
+                i = stay[a:b]
+                text = np.frombuffer(_slices(buf, begin[i], n[i]) + bytes(8), np.uint8)
+                u, s = later_windows({c: p[c][i] for c in FIELDS}, text, np.cumsum(n[i]) - n[i], length)
+                uid.append(u)
+                start.append(s)
+                size.append(np.ones(len(s), np.int64))
+                a = b
+            rows += _verdicts(*(np.concatenate(x) for x in (uid, start, size)))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))],
                         names=["uid", "starts", "sizes"])
     return run
 
@@ -266,8 +355,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once; rows of the same id with other texts do not remove each other's bytes; a null id ranks after all others.
 
     Windows are cut into pieces by their own content, so equal windows meet wherever they occur. Keys of pieces travel
-    first; only pieces whose key repeats send their bytes, each text of a piece once for each batch. Every bucket then
-    sorts the suffixes of its pieces column by column, and neighbours that agree in ``length`` bytes are one string.
+    first; only pieces whose key repeats send their bytes, pieces alike being folded before they do. A bucket then
+    sorts the suffixes of the pieces that share a key, column by column, and neighbours that agree in ``length`` bytes
+    are one string.
     """
     if length < 8:
         raise ValueError("strings of fewer than 8 bytes are not supported")
@@ -282,8 +372,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = base.where("starts IS NOT NULL")
     n = (open_.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8 * (length + PIECE)
     buckets = max(LEAST_BUCKETS, n // BUCKET_BYTES)
-    late = tables.store(open_.select("uid", "rank", "z", "starts", "sizes", "keys").mapInArrow(_parts(length, buckets), PART)
-                        .groupBy("dest").applyInArrow(_judge(length), "uid long, starts binary, sizes binary"))
+    late = tables.store(open_.select("uid", "rank", "z", "starts", "sizes", "keys", "wholes", "offs").mapInArrow(_parts(length, buckets), PART)
+                        .groupBy("dest").applyInArrow(_judge(length), VERDICT))
     tables.sweep()
     marks = late.groupBy("uid").agg(F.collect_list(F.struct("starts", "sizes")).alias("late"))
     judged = (open_.select("uid", "doc_id", "n_bytes", "z", "copies").join(marks, "uid", "left")
