@@ -24,13 +24,13 @@ BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: keys of candidates behind each bucket of a level, and least number of those
 LEVEL_BYTES, LEAST_LEVEL_BUCKETS = 4 << 20, 32
 #: windows a task gathers before it hands them on
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: bits of a window's first key beyond those that choose its bucket
 REST_BITS = 40
 #: a document without an id ranks after all others
 NO_ID = np.iinfo(np.int64).max
 _rng = np.random.default_rng(13)
-_ODD = [_rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(4096)]
+_ODD = _rng.integers(1, 1 << 63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -43,22 +43,28 @@ _words = _WordHashes()
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1 << 20:
+    if len(_words) > 1 << 18:
         _words.clear()
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _window_keys(h: np.ndarray, length: int, which: int) -> np.ndarray:
-    """One key for each window of ``length`` words; ``which`` chooses one of two independent families."""
-    n = len(h) - length + 1
-    if n <= 0:
+    """One key for each window of ``length`` words, from running sums; ``which`` chooses one of two independent
+    families."""
+    n = len(h)
+    if n < length:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(length):
-        out += h[j:j + n] * _ODD[j % len(_ODD)][which] + np.uint64(j)
-        if j % 64 == 63:
-            out = mix(out)
-    return mix(out)
+    if which not in _powers or len(_powers[which][0]) < n:
+        base = int(_ODD[0][which])
+        _powers[which] = tuple(np.multiply.accumulate(np.array([1] + [x] * max(n, 1 << 15), np.uint64))
+                               for x in (base, pow(base, -1, 1 << 64)))
+    up, down = _powers[which]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * down[:n], out=sums[1:])
+    return mix((sums[length:] - sums[:-length]) * up[:n - length + 1])
 
 
 def _double(first: np.ndarray, second: np.ndarray) -> np.ndarray:
