@@ -98,7 +98,7 @@ def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             return low, cuts
         want, spans = F.lit(False), [(known.at[g], known.at[g + 1]) for g in sorted(known.unknown)]
         for a, b in spans:
-            step = max(1, (b - a) * len(spans) // FETCH)
+            step = max(1, min((b - a) // 2, (b - a) * len(spans) // FETCH))  # every gap is cut at least once
             want = want | ((F.col("pos") + 1).between(a + 1, b - 1) & ((F.col("pos") + 1 - a) % step == 0))
 
 
