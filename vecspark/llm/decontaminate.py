@@ -154,19 +154,19 @@ class Index:
                 continue
             five, two = _shingles(w[a:b], SHINGLE), _shingles(w[a:b], ANSWER_SHINGLE)
             for n, score in found:
-                q = self._overlap(self.question[n], w[a:b], five)
-                r = self._overlap(self.answer[n], w[a:b], two)
+                q = self._overlap(self.question[n], w[a:b], five, SHINGLE)
+                r = self._overlap(self.answer[n], w[a:b], two, ANSWER_SHINGLE)
                 key = (min(q / MIN_QUESTION, 1.0) + min(r / MIN_ANSWER, 1.0), score)
                 if n not in best or key > best[n][3]:
                     best[n] = (score, q, r, key)
         return {n: x[:3] for n, x in best.items()}
 
     @staticmethod
-    def _overlap(want: set[tuple[str, ...]], passage: list[str], have: set[tuple[str, ...]]) -> float:
+    def _overlap(want: set[tuple[str, ...]], passage: list[str], have: set[tuple[str, ...]], width: int) -> float:
         if not want:
             return 1.0
         size = len(next(iter(want)))
-        if len(want) == 1 and size not in (SHINGLE, ANSWER_SHINGLE):  # shorter than a shingle
+        if size < width:  # shorter than a shingle
             have = set(zip(*[passage[k:] for k in range(size)]))
         return len(want & have) / len(want)
 
