@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import decontaminate, jaccard, langid, secret_scan, unigram
+from vecspark.llm import decontaminate, langid, secret_scan, simhash, unigram
 from vecspark.llm.registry import documents
 from vecspark.llm.tables import Tables
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each group that SimHash links: shingles of four words, at most four differing bits."""
+    return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
