@@ -3,11 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from vecspark.llm import simhash, suffix_dedup
+import corpus_pipeline
+from tests.conftest import SF
+from vecspark.llm import QUERIES, simhash, suffix_dedup
 from vecspark.llm.components import components
 from vecspark.llm.keys import pack, pack_ints, unpack, unpack_ints
 from vecspark.llm.substring_dedup import repeated_passages
@@ -171,13 +174,28 @@ def test_near_duplicates(spark):
     want = classes(fps, [i for i, _ in rows], 4)
     assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == sorted(
         ((i, f, c) for (i, _), f, c in zip(rows, fps, want)), key=str)
-    kept = simhash.keep_one(frame(spark, rows), max_bits=4).collect()
-    fps = [fingerprint(t, 5) for _, t in rows]
-    want = classes(fps, [i for i, _ in rows], 4)
+    kept = simhash.keep_one(frame(spark, rows)).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, set(want)))
     assert kept[0].asDict().keys() == {"doc_id", "text", "uid", "block", "key", "fp"}
 
 
+def test_classes_of_the_table(spark):
+    """Whole tables: op2's fingerprints and components, and what the pipeline's stage keeps."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    fps = [fingerprint(t) for _, t in rows]
+    want = classes(fps, [i for i, _ in rows], 4)
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in QUERIES["op2_simhash_dedup"](spark, SF).collect()}
+    assert got == {i: (f, c) for (i, _), f, c in zip(rows, fps, want)}
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want))
+
+
+def test_missing_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "u v w x y z"), (7, "u v w x y z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == [(7, "u v w x y z"), (None, "a b c d e f")]
+
+
 @pytest.mark.parametrize("bits", [1, 4, 8, 9])
 @pytest.mark.parametrize("hot", [False, True])
 def test_links_miss_nothing(spark, bits, hot, monkeypatch):

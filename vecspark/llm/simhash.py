@@ -300,11 +300,10 @@ def classes(tables: Tables, fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, max_bits: int = 9) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns: the one of least id (no id comes last; of equal
-    ids, the least hash of the text). Rows repeated with the same id and text are one row.
-
-    Fingerprints of five-word shingles that differ in at most 9 of 64 bits agree in 0.859 of them or more.
+    ids, the least hash of the text). Rows repeated with the same id and text are one row, null and empty texts are one
+    class, an empty table stays empty.
     """
     tables = Tables(docs.sparkSession)
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
