@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +19,18 @@ from vecspark.llm.text import only
 #: labelled characters that the automaton of a language is built from, and labelled documents fetched to choose them
 TRAIN_CHARS, TRAIN_DOCS = 40_000, 64
 #: what a text is parsed in: runs of letters and marks, lower case, each with its ends marked
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: the same for a text of ASCII only, where the faster engine finds the same runs
+_ASCII_WORD = re.compile(r"[a-z]+")
 #: parsed words that a task remembers
 CACHE = 1 << 19
 
 
+def words(text: str) -> list[str]:
+    """A text's words in lower case: a letter, then letters and marks."""
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())
+
+
 class Automaton:
     """Suffix automaton of a text: every substring is a path from state 0."""
 
@@ -78,26 +86,23 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        self.automata = [Automaton(" " + " ".join(_WORD.findall(texts[lang].lower())) + " ") for lang in self.langs]
+        self.automata = [Automaton(" " + " ".join(words(texts[lang])) + " ") for lang in self.langs]
         # a phrase of a text of n symbols costs about log2(n) bits
         self.bits = np.array([math.log2(max(a.n, 2)) for a in self.automata])
         self.seen: dict[str, tuple[int, ...]] = {}
 
-    def words(self, text: str) -> list[str]:
-        return _WORD.findall(text.lower())
-
     def __call__(self, text: str | None) -> tuple[str, float]:
         """(language, score) of a text."""
-        words = self.words(text) if text else []
-        if not words or not self.langs:
+        said = words(text) if text else []
+        if not said or not self.langs:
             return "und", 0.0
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen = self.seen
-        for w in set(words).difference(seen):
+        for w in set(said).difference(seen):
             seen[w] = tuple(a.phrases(f" {w} ") for a in self.automata)
-        count = np.array(list(map(seen.__getitem__, words))).sum(0)
-        cost = count * self.bits / sum(map(len, words))
+        count = np.array(list(map(seen.__getitem__, said))).sum(0)
+        cost = count * self.bits / sum(map(len, said))
         best = int(np.argmin(cost))
         rest = np.delete(cost, best)
         return self.langs[best], float(rest.min() / (rest.min() + cost[best])) if len(rest) else 1.0
@@ -119,28 +124,31 @@ def training_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text
                    *, chars: int = TRAIN_CHARS, sample: int = TRAIN_DOCS) -> dict[str, str]:
     """About ``chars`` characters of labelled text for each language.
 
-    Only rows where ``usable`` holds and the label is not null count. Each language gives the ``sample`` rows of least
-    hashed id; whole texts are taken in that order until ``chars`` are there, longer ones are passed over. Ids are
-    ranked before any text is read, and the ranking keeps ``sample`` rows of each task, so a hot language is no matter.
+    Only rows where ``usable`` holds, with a letter and a label, count; equal texts of a language count once, by their least
+    id. Each language gives the ``sample`` texts of least hashed id, of which whole texts are taken in that order, the last
+    one as far as it fits, until ``chars`` are there. Ids are ranked before any text is read, and the ranking keeps
+    ``sample`` rows of each task, so a hot language is no matter. An empty table, or one without labels, gives no language.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    named = docs.where(usable & docs[lang_col].isNotNull() & docs[id_col].isNotNull()
-                       & docs[text_col].rlike(r"\p{L}") & (F.length(docs[text_col]) <= chars))
-    chosen = (named.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"))
-              .withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).collect())
-    rank = {r.doc_id: r.k for r in chosen}
-    got: dict[str, dict[int, tuple[int, str]]] = {}
+    named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"),
+                        docs[text_col].cast("string").alias("t"), usable.alias("usable"))
+    named = named.where(F.col("usable") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    once = named.groupBy("lang", F.xxhash64("t").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    chosen = once.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).collect()
+    rank = {(r.lang, r.doc_id, r.h): r.k for r in chosen}
+    got: dict[str, set[tuple[int, str]]] = {}
     if chosen:
-        for r in (named.where(docs[id_col].isin(list(rank)))
-                  .select(docs[id_col].alias("i"), docs[lang_col].alias("l"), docs[text_col].alias("t")).distinct().collect()):
-            got.setdefault(r.l, []).append((rank[r.i], r.i, r.t))
+        some = named.where(F.col("doc_id").isin(sorted({r.doc_id for r in chosen})))
+        for r in some.select("lang", "doc_id", F.xxhash64("t").alias("h"), F.substring("t", 1, chars).alias("t")).distinct().collect():
+            if (r.lang, r.doc_id, r.h) in rank:
+                got.setdefault(r.lang, set()).add((rank[r.lang, r.doc_id, r.h], r.t))
     out = {}
     for lang, rows in got.items():
         took, n = [], 0
-        for _, _, t in sorted(rows):
-            if n + len(t) <= chars:
-                took.append(t)
-                n += len(t)
+        for _, t in sorted(rows):
+            if n < chars:
+                took.append(t[:chars - n])
+                n += len(took[-1])
         out[lang] = "\n".join(took)
     return out
 
@@ -154,7 +162,7 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
 
     Returns (doc_id, lang_pred, score), one row for each row of ``docs``; ``score`` is the second least cost over the sum
     of the two least (1 if there is one language). Null texts and texts without a letter are ``und`` with score 0, as is
-    everything if ``texts`` is empty. Nothing moves between tasks.
+    everything if ``texts`` is empty; rows repeated are judged alike, an empty table gives none. Nothing moves between tasks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(texts)
@@ -167,14 +175,15 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
 
 def with_language(docs: DataFrame, texts: dict[str, str], text_col: str = "text", *, min_score: float = 0.502) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is told: neither ``und`` nor a tie of two languages
-    (a score below ``min_score``; 0.5 is an exact tie). If there is no labelled text, every text with a letter stays."""
+    (a score below ``min_score``; 0.5 is an exact tie). If there is no labelled text, every text with a letter stays.
+    Null and empty texts go, repeated rows stay or go together, an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(texts)
         for b in batches:
             said = [(t, model(t)) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([x[1] >= min_score if texts else bool(t and model.words(t)) for t, x in said], pa.bool_()))
+            yield b.filter(pa.array([x[1] >= min_score if texts else bool(t and words(t)) for t, x in said], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
 
 
