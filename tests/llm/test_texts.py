@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -202,12 +203,39 @@ def test_language(spark):
     assert [r.doc_id for r in kept] == [1] and len(kept[0]) == 10
 
 
+def test_letters(spark):
+    """Numbers that count as word characters elsewhere are no letters; marks belong to the letter before them."""
+    assert langid.words("½ ² ⅷ 7 _ ٣") == [] and langid.words("Été e\u0301te\u0301 x2y") == ["été", "e\u0301te\u0301", "x", "y"]
+    assert langid.words("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"]
+    got = langid.identify(frame(spark, [(1, "½ ²"), (2, "ⅷ"), (3, "e\u0301")]), {"aa": "lalo", "bb": "xyz"}).collect()
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id < 3} == {1: "und", 2: "und"} and {r.score for r in got if r.doc_id < 3} == {0.0}
+
+
+def test_training_on_long_and_equal_texts(spark):
+    rows = [(k, "same words again and again", "en") for k in range(90)] + [(100, "other words", "en"), (101, "x" * 60_000, "xx"), (102, "12", "zz")]
+    got = langid.training_texts(frame(spark, rows), F.lit(True), sample=3)
+    assert set(got) == {"en", "xx"} and sorted(got["en"].split("\n")) == ["other words", "same words again and again"]
+    assert got["xx"] == "x" * langid.TRAIN_CHARS
+
+
+def test_cost_and_score(spark):
+    """Prediction and score by counting phrases of each word in each language's text."""
+    texts = {"aa": "lalo malo kalo mola", "bb": "xyz zyx xzy mol", "cc": "lax may"}
+    rows = [(k, t) for k, t in enumerate(["lamo xal", "malo", "zzyx mol", "LAX lax, may", "qqq", "mol la 77 xy"])]
+    cost = lambda t, x: sum(longest_phrases(f" {' '.join(langid.words(x))} ", f" {w} ") for w in langid.words(t)) * math.log2(len(x) + 2)
+    for r in langid.identify(frame(spark, rows), texts).collect():
+        costs = sorted((cost(rows[r.doc_id][1], x), lang) for lang, x in texts.items())
+        assert r.lang_pred == costs[0][1] and math.isclose(r.score, costs[1][0] / (costs[0][0] + costs[1][0]))
+
+
 # -- benchmark
 
 def test_wand_finds_all():
     rnd = random.Random(2)
     items = [(k, " ".join(f"t{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.randrange(1, 25)))) for k in range(150)]
-    index = decontaminate.Index(items)
+    said = [decontaminate.words(t) for _, t in items]
+    df = Counter(t for w in said for t in set(w))
+    index = decontaminate.Index(items, len(items), sum(map(len, said)) / len(said), max(map(len, said)), df)
     for _ in range(200):
         terms = sorted({index.number[f"t{k}"] for k in rnd.sample(range(60), 12) if f"t{k}" in index.number})
         score = np.zeros(len(items))
@@ -232,8 +260,22 @@ def test_contamination(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (4, 2), (4, 2)]
     assert sorted({r.doc_id for r in decontaminate.without_contaminated(frame(spark, rows), index).collect()} & {1, 2, 3, 4, 5}) == [2, 3, 5]
     many = decontaminate.indexes(spark.createDataFrame([(1, item), (2, other)], "item_id long, text string"), chars=50)
-    assert len(many) > 1 and sorted((r.doc_id, r.item_id) for r in decontaminate.contaminations(frame(spark, rows), many).collect()) == [(1, 1), (4, 2), (4, 2)]
-    assert decontaminate.contaminations(frame(spark, rows), [decontaminate.Index([])]).collect() == []
+    assert many.parts > 1 and sorted((r.doc_id, r.item_id) for r in decontaminate.contaminations(frame(spark, rows), many).collect()) == [(1, 1), (4, 2), (4, 2)]
+    none = decontaminate.indexes(spark.createDataFrame([], "item_id long, text string"))
+    assert decontaminate.contaminations(frame(spark, rows), none).collect() == []
+    assert decontaminate.without_contaminated(frame(spark, rows), none).count() == len(rows)
+
+
+@pytest.mark.parametrize("parts", [13, 46])
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, parts):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    chars = items.agg(F.sum(F.length("text"))).first()[0]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(items.select(F.col("item_id") + 10_000, "text"))
+    some = decontaminate.indexes(items, chars=chars // (parts - 1) - 1)
+    assert some.parts == parts
+    said = lambda found: sorted((r.doc_id, r.item_id, round(r.score, 12), r.question_overlap, r.answer_overlap)
+                                for r in decontaminate.contaminations(docs, found).collect())
+    assert said(some) == said(decontaminate.indexes(items)) and len(said(some)) >= 40
 
 
 def test_leaks_in_the_table(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm.registry import documents, query
+from vecspark.llm.tables import Tables
 from vecspark.llm.text import only
 
 K1, B = 1.2, 0.75
@@ -49,18 +50,18 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Inverted index of items. Impacts are divided by the item's score for itself, so one threshold serves all."""
+    """Inverted index of items. Impacts are divided by the item's score for itself, so one threshold serves all.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``total``, ``mean``, ``longest`` and ``df`` are those of all items, also when this index holds a part of them."""
+
+    def __init__(self, items: list[tuple[int, str]], total: int, mean: float, longest: int, df: dict[str, int]):
         kept = [(i, t, w) for i, t in items if (w := words(t or ""))]
         self.ids = [i for i, _, _ in kept]
-        self.span = max([16, *(len(w) for _, _, w in kept)])
+        self.span = max(16, longest)
         counts = [Counter(w) for _, _, w in kept]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(len(w) for _, _, w in kept) / max(1, len(kept))
         post: dict[str, list[tuple[int, float]]] = {}
         for n, (c, (_, _, w)) in enumerate(zip(counts, kept)):
-            weight = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1)
+            weight = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1)
                       / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in c.items()}
             own = sum(weight.values())
             for t, x in weight.items():
@@ -171,23 +172,53 @@ class Index:
         return len(want & have) / len(want)
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, chars: int = INDEX_CHARS) -> list[Index]:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(p, t, n, len(w)) for p, text in zip(b.column("part").to_pylist(), b.column("t").to_pylist())
+                if (w := words(text)) for n, t in enumerate(dict.fromkeys(w))]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, types)], names=["part", "term", "n", "length"])
+
+
+class Indexes:
+    """The indexes of a set of items, built one after the other as they are asked for: the driver holds one at a time."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, chars: int):
+        tables = Tables(items.sparkSession)
+        rows = items.select(items[id_col].cast("long").alias("i"), items[text_col].cast("string").alias("t")).where("t IS NOT NULL")
+        self.parts = int((rows.agg(F.sum(F.length("t"))).first()[0] or 0) // chars + 1)
+        part = F.pmod(F.xxhash64("i", "t"), F.lit(self.parts)).cast("int")
+        self.items = tables.store(rows.withColumn("part", part))
+        terms = tables.store(self.items.mapInArrow(_item_terms, "part int, term string, n long, length long"))
+        # each item has one row for every different word; its first one stands for the item
+        head = terms.where("n = 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+        self.total, self.mean, self.longest = head[0], head[1] / max(1, head[0]), head[2]
+        held = terms.groupBy("part", "term").agg(F.count("*").alias("here"))
+        self.df = tables.store(held.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term"))
+
+    def __iter__(self) -> Iterator[Index]:
+        for k in range(self.parts):
+            df = {r.term: r.df for r in self.df.where(F.col("part") == k).collect()}
+            rows = sorted((r.i if r.i is not None else -1, r.t) for r in self.items.where(F.col("part") == k).collect())
+            yield Index(rows, self.total, self.mean, self.longest, df)
+
+
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, chars: int = INDEX_CHARS) -> Indexes:
     """Indexes of at most about ``chars`` characters each, so that each is small enough to go to every task.
 
-    Items are spread by a hash over as many indexes as their total length asks for; a null text is no item.
+    Items are spread by a hash over as many indexes as their total length asks for. Document frequencies, mean and
+    greatest length are taken over all items, so a score does not depend on the number of indexes. A null text is no
+    item, a null id counts as -1, items repeated are items of their own, of equal scores the lesser id comes first, an
+    empty table gives an index that finds nothing; other columns are not read.
     """
-    rows = items.select(items[id_col].cast("long").alias("i"), items[text_col].cast("string").alias("t")).where("t IS NOT NULL")
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts = total // chars + 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    return [Index(sorted((r.i if r.i is not None else -1, r.t) for r in rows.where(part == k).collect())) for k in range(parts)]
+    return Indexes(items, id_col, text_col, chars)
 
 
 def _verified(index: Index, text: str | None, threshold: float, question: float, answer: float):
     return [(index.ids[n], *x) for n, x in sorted(index.hits(text or "", threshold).items()) if x[1] >= question and x[2] >= answer]
 
 
-def contaminations(docs: DataFrame, found: list[Index], id_col: str = "doc_id", text_col: str = "text", *,
+def contaminations(docs: DataFrame, found: Indexes, id_col: str = "doc_id", text_col: str = "text", *,
                    min_score: float = MIN_SCORE, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """Documents that hold a benchmark item.
 
@@ -212,9 +243,10 @@ def contaminations(docs: DataFrame, found: list[Index], id_col: str = "doc_id",
     return out
 
 
-def without_contaminated(docs: DataFrame, found: list[Index], text_col: str = "text", *, min_score: float = MIN_SCORE,
+def without_contaminated(docs: DataFrame, found: Indexes, text_col: str = "text", *, min_score: float = MIN_SCORE,
                          min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
+    """The rows of ``docs`` that hold no item, with all their columns. Null and empty texts hold nothing and stay, repeated
+    rows stay or go together, without items every row stays."""
     at = docs.columns.index(text_col)
     for index in found:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
