@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecspark.catalog.registry import (
-    BASIS, E, HASH_BASIS, MEANS, NEAR, embeddings, parts, query, r6, s6, sql_basis, table)
+    BASIS, E, HASH_BASIS, MEANS, NEAR, ORACLE, embeddings, parts, query, r6, s6, scratch, sql_basis, table)
 from vecspark.functions.uniform import random_order
 from vecspark.operators import hash_search as H
 from vecspark.operators import maintain as M
@@ -13,6 +13,7 @@ from vecspark.operators import projection_search as P
 from vecspark.operators import recall as R
 from vecspark.operators import search as S
 from vecspark.operators.stats import label_means, outlier_trim
+from vecspark.operators.stored_index import StoredIndex
 from vecspark.plans.rank import with_rank
 
 PAIR_DIST = """d AS (SELECT q.id AS query_id, r.id AS neighbor_id, {dist} AS distance FROM e q, e r)"""
@@ -151,6 +152,44 @@ def knn_with_delta(spark, sf):
                                     5, 10, basis=BASIS, rebuild="no"))
 
 
+FOLDED = f"""ix AS (SELECT * FROM e WHERE label <> 1),
+v AS (SELECT b.i AS p, ix.id, list_dot_product(ix.vec, b.row) AS v FROM ix, b),
+qv AS (SELECT b.i AS p, e.id, list_dot_product(e.vec, b.row) AS v FROM e, b),
+pos AS (SELECT p, id, row_number() OVER (PARTITION BY p ORDER BY v, id) - 1 AS pos FROM v),
+qpos AS (SELECT qv.p, qv.id, count(v.id) AS qpos FROM qv LEFT JOIN v ON v.p = qv.p AND v.v < qv.v GROUP BY ALL),
+cand AS (SELECT DISTINCT q.id AS query_id, r.id AS neighbor_id FROM qpos q JOIN pos r ON q.p = r.p
+  AND r.pos BETWEEN q.qpos - 10 AND q.qpos + 10)"""
+
+
+@query("knn_with_delta_rebuilt", f"WITH {E}, {sql_basis(BASIS)}, {FOLDED}, {RERANK.format(cand='cand')} " + top_sql(5, "s"))
+def knn_with_delta_rebuilt(spark, sf):
+    """The changes of ``knn_with_delta`` exceed their shares, so the index is built anew."""
+    e = embeddings(spark, sf)
+    return rounded(P.knn_with_delta(e, e.filter("label <> 0"), e.filter("label = 0"), e.filter("label = 1"), 5, 10, basis=BASIS))
+
+
+def _three_batches(index, e):
+    """All queries in three batches, answered by one index."""
+    parts = [index.search(e.filter(f"pmod(label, 3) = {k}"), 5, 10) for k in range(3)]
+    return rounded(parts[0].union(parts[1]).union(parts[2]))
+
+
+@query("stored_index_kept", ORACLE["knn_with_delta"])
+def stored_index_kept(spark, sf):
+    """The same changes made in a stored index that is not rebuilt, opened again and searched three times."""
+    e, path = embeddings(spark, sf), scratch(spark)
+    StoredIndex.create(e.filter("label <> 0"), path, BASIS).add(e.filter("label = 0"), "no").remove(e.filter("label = 1"), "no")
+    return _three_batches(StoredIndex.open(spark, path), e)
+
+
+@query("stored_index_rebuilt", ORACLE["knn_with_delta_rebuilt"])
+def stored_index_rebuilt(spark, sf):
+    """The same changes where the rule for rebuilding applies to each."""
+    e, path = embeddings(spark, sf), scratch(spark)
+    StoredIndex.create(e.filter("label <> 0"), path, BASIS).add(e.filter("label = 0")).remove(e.filter("label = 1"))
+    return _three_batches(StoredIndex.open(spark, path), e)
+
+
 HASHES = f"""{sql_basis(HASH_BASIS)}, h AS (SELECT e.id, bit_or(CASE WHEN list_dot_product(e.vec, b.row) > 0
   THEN CAST(1 AS UBIGINT) << CAST(b.i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END) AS hash FROM e, b GROUP BY e.id),
 hp AS (SELECT q.id AS query_id, r.id AS neighbor_id, CAST(bit_count(xor(q.hash, r.hash)) AS INTEGER) AS hamming FROM h q, h r),

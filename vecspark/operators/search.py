@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecspark import session
 from vecspark.functions import kernels
 from vecspark.functions.vectors import Metric, get_metric
-from vecspark.plans.blocks import PairJob, Space, fetch, pair_blocks
+from vecspark.plans.blocks import PairJob, Space, fetch, pair_blocks, unique_ids
 from vecspark.schema import NEIGHBORS, dimension
 
 #: Spread of one query's partial answers before the last merge.
@@ -68,12 +68,6 @@ def _space(metric: Metric, k: int) -> Space | None:
     return None
 
 
-def _unique_ids(queries: DataFrame) -> None:
-    repeated = queries.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").first()
-    if repeated is not None:
-        raise ValueError(f"query id {repeated['id']} is not unique")
-
-
 def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str | Metric = "euclidean",
         *, layout: str = "auto") -> DataFrame:
     """The k nearest references of every query, by exact distance.
@@ -86,7 +80,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str | Metric = "euc
     """
     if k < 1:
         raise ValueError("k must be positive")
-    _unique_ids(queries)
+    unique_ids(queries)
     metric = get_metric(metric)
     job = TopK(["id", "vec"], ["id", "vec"], NEIGHBORS, k=k, metric=metric)
     dim = dimension(refs)

@@ -121,6 +121,20 @@ def fetch(df: DataFrame) -> dict:
     return columns_of(df.toArrow())
 
 
+def unique_ids(queries: DataFrame, ids: np.ndarray | None = None) -> None:
+    """An error if an id is not unique. Ids that are few, or on the driver already, are looked at there; others are counted."""
+    if ids is None and queries.count() * 8 <= session.BROADCAST_BYTES:
+        ids = fetch(queries.select("id"))["id"]
+    if ids is None:
+        row = queries.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").first()
+        repeated = [] if row is None else [row["id"]]
+    else:
+        ids = np.sort(ids)
+        repeated = ids[1:][ids[1:] == ids[:-1]].tolist()
+    if repeated:
+        raise ValueError(f"query id {repeated[0]} is not unique")
+
+
 def spread(df: DataFrame, bytes_: float, work: float) -> DataFrame:
     """More tasks for a small table with heavy work; large tables keep their splits."""
     lanes = df.sparkSession.sparkContext.defaultParallelism

@@ -34,15 +34,16 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage, survives lost executors, and hands Catalyst real sizes
-    and prunable columns for whatever follows.
+    and prunable columns for whatever follows. ``by`` names a column of few
+    values, one folder each, so that a filter on it leaves the others unread.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/vecspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
