@@ -220,10 +220,9 @@ def drawn(df):
 
 @pytest.mark.parametrize("head", [None, 5])
 def test_resampling_table(spark, head, monkeypatch):
-    if head:  # a small head and counts pruned at once change nothing
-        monkeypatch.setattr(resampling, "HEAD_WORDS", head)
-        monkeypatch.setattr(resampling, "HEAD_PAIRS", head)
-        monkeypatch.setattr(resampling, "COUNTED", 20)
+    if head:  # a small head, small slices, and words and pairs let go at once change nothing
+        for name, value in (("HEAD_WORDS", head), ("HEAD_PAIRS", head), ("HELD", 20), ("SLICE_WORDS", 50), ("STEPS", 3)):
+            monkeypatch.setattr(resampling, name, value)
     con = duckdb.connect()
     docs, target = (con.execute(f"SELECT * FROM '{SF}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
     assert drawn(QUERIES["op13_resampling"](spark, SF)) == brute_resampling([r[:2] for r in docs], [r[1] for r in target])
@@ -244,7 +243,16 @@ def test_resampling_awkward(spark):
 
 
 def test_head_is_a_shortcut():
-    words = b"a b a b c".split()
-    full, none = resampling.Head([b"a", b"b"], [b"a b", b"b c"]), resampling.Head([], [])
-    want = [zlib.crc32(w) % 10000 for w in words] + [zlib.crc32(b" ".join(p)) % 10000 for p in zip(words, words[1:])]
-    assert full.buckets(words).tolist() == none.buckets(words).tolist() == want
+    texts = [b"a b a b c", b"", b"b", b"c " + b"long" * 40 + " \u00e9 a b".encode()]
+    words, counts = [w for t in texts for w in t.split()], resampling.np.array([len(t.split()) for t in texts])
+    pairs = [p for t in texts for p in zip(t.split(), t.split()[1:])]
+    for head in (resampling.Head([b"a", b"b"], [b"a b", b"b c"]), resampling.Head([], []), resampling.Head([b"a", b"b", b"c"], [b"b a"])):
+        one, two = head.buckets(words, counts)
+        assert one.tolist() == [zlib.crc32(w) % 10000 for w in words]
+        assert two.tolist() == [zlib.crc32(b" ".join(p)) % 10000 for p in pairs]
+
+
+def test_frequent(spark):
+    rows = [(k, "the cat and the dog " * 3 + f"w{k}", "s") for k in range(50)] + [(99, "x" * 200 + " " + "x" * 200, "s")] * 9
+    words, pairs = resampling.frequent(frame(spark, rows))
+    assert words == [b"and", b"cat", b"dog", b"the"] and pairs == [b"and the", b"cat and", b"dog the", b"the cat", b"the dog"]
