@@ -31,40 +31,29 @@ REST_BITS = 40
 NO_ID = np.iinfo(np.int64).max
 _rng = np.random.default_rng(13)
 _ODD = _rng.integers(1, 1 << 63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1 << 18:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
+#: what a byte stands for in each family of keys
+_BYTE = _rng.integers(1, 1 << 64, (2, 256), dtype=np.uint64)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _window_keys(h: np.ndarray, length: int, which: int) -> np.ndarray:
-    """One key for each window of ``length`` words, from running sums; ``which`` chooses one of two independent
-    families."""
-    n = len(h)
-    if n < length:
+def _window_keys(words: list[bytes], length: int, which: int) -> np.ndarray:
+    """One key for each window of ``length`` words, from running sums over the bytes of the words, joined by one space;
+    ``which`` chooses one of two independent families."""
+    if len(words) < length:
         return np.zeros(0, np.uint64)
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    n = len(text)
     if which not in _powers or len(_powers[which][0]) < n:
         base = int(_ODD[0][which])
-        _powers[which] = tuple(np.multiply.accumulate(np.array([1] + [x] * max(n, 1 << 15), np.uint64))
+        _powers[which] = tuple(np.multiply.accumulate(np.array([1] + [x] * max(n, 1 << 16), np.uint64))
                                for x in (base, pow(base, -1, 1 << 64)))
     up, down = _powers[which]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * down[:n], out=sums[1:])
-    return mix((sums[length:] - sums[:-length]) * up[:n - length + 1])
+    np.cumsum(_BYTE[which][text] * down[:n], out=sums[1:])
+    gap = np.flatnonzero(text == 32)
+    start, end = np.append(0, gap + 1)[:len(words) - length + 1], np.append(gap, n)[length - 1:]
+    return mix((sums[end] - sums[start]) * up[start])
 
 
 def _double(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -92,13 +81,14 @@ def first_keys(batches: Iterator[pa.RecordBatch], keys_of: Callable[[bytes], np.
     def flush(keys, owner, block):
         v = shape(np.concatenate(keys))
         d = np.repeat(np.arange(len(owner)), owner)
-        order = np.argsort(v, kind="stable")
+        order = np.argsort(v)
         v, d = v[order], d[order]
         starts, _ = runs(v)
         ends = np.append(starts[1:], len(v))
-        many = ends - starts > 1 if within else d[starts] != d[ends - 1]  # a stable sort keeps the documents in order within a key
+        least = np.minimum.reduceat(d, starts)
+        many = ends - starts > 1 if within else least != np.maximum.reduceat(d, starts)
         b = np.asarray(block, np.int64)
-        where, mark = v[starts], np.where(many, -1, b[d[starts]])
+        where, mark = v[starts], np.where(many, -1, b[least])
         out = [(dest, 0, None, pack(where[x:y]), pack_ints(mark[x:y])) for dest, x, y in cut((where >> rest).astype(np.int64))]
         hit = np.repeat(many, ends - starts)
         hv, hb = v[hit], b[d[hit]]
@@ -171,13 +161,12 @@ def _candidates(docs: pa.Table, told: pa.Table, length: int, bits: int) -> pa.Ta
     block = docs.column("block")[0].as_py() if len(docs) else 0
     for i, k in enumerate(sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, zs[k] or b""))):
         words = d.decompress(zs[k]).split() if zs[k] else []
-        h = _hashes(words)
-        v = shape(_window_keys(h, length, 0))
+        v = shape(_window_keys(words, length, 0))
         at = np.searchsorted(known, v)
         pos = np.flatnonzero(known[np.minimum(at, max(len(known) - 1, 0))] == v) if len(known) else np.zeros(0, int)
         base = [(block << 31) + i, block, ids[k], NO_ID if ids[k] is None else ids[k], len(words)]
         if len(pos):
-            keys = _window_keys(h, length, 1)[pos]
+            keys = _window_keys(words, length, 1)[pos]
             rows.append(base + [None, zs[k], pack(pos), pack_ints(keys.view(np.int64))])
         else:
             rows.append(base + [hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None])
@@ -321,7 +310,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     d, first_bits = in_blocks(only(docs, id_col, text_col))
     told = (d.select("block", "text").mapInArrow(
-        lambda it: first_keys(it, lambda t: _window_keys(_hashes(t.split()), min_words, 0), first_bits), ENTRY)
+        lambda it: first_keys(it, lambda t: _window_keys(t.split(), min_words, 0), first_bits), ENTRY)
             .groupBy("dest").applyInArrow(met, "block long, keys binary"))
     packed = d.mapInArrow(squeeze, "block long, doc_id long, z binary")
     base = tables.store(packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
