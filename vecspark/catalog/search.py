@@ -202,14 +202,14 @@ lim AS (SELECT query_id, coalesce(min(hamming) FILTER (upto >= 40), 64) AS cutof
                   f"{RERANK.format(cand='cand')} " + top_sql(5, "s"))
 def knn_lsh(spark, sf):
     e = embeddings(spark, sf)
-    return rounded(H.knn_lsh(e, e, 5, 40, basis=HASH_BASIS))
+    return rounded(H.knn_lsh(e, e, 5, 40, basis=HASH_BASIS, raise_limit=None))
 
 
 @query("knn_lsh_partitioned", f"WITH {E}, {HASHES}, cand AS (SELECT hp.* FROM hp JOIN lim USING (query_id) WHERE hamming <= cutoff), "
                               f"{RERANK.format(cand='cand')} " + top_sql(5, "s"))
 def knn_lsh_cells(spark, sf):
     e = embeddings(spark, sf)
-    return rounded(H.knn_lsh(e, e, 5, 40, basis=HASH_BASIS, layout="cells"))
+    return rounded(H.knn_lsh(e, e, 5, 40, basis=HASH_BASIS, layout="cells", raise_limit=None))
 
 
 @query("hash_bit_counts", f"WITH {E}, {HASHES} SELECT query_id, hamming, n FROM cnt")
@@ -223,7 +223,7 @@ def bit_counts(spark, sf):
                                "WHERE hamming <= cutoff GROUP BY ALL")
 def distance_evaluations(spark, sf):
     e = embeddings(spark, sf)
-    return H.distance_evaluations(e, e, 40, basis=HASH_BASIS)
+    return H.distance_evaluations(e, e, 40, basis=HASH_BASIS, raise_limit=None)
 
 
 RAISED = f"""{HASHES},
@@ -250,7 +250,29 @@ up AS (SELECT lim.query_id, lim.cutoff + count(run.hamming) AS cutoff FROM lim L
                            "WHERE hamming <= cutoff GROUP BY ALL")
 def hash_limit_raise(spark, sf):
     e = embeddings(spark, sf)
-    return H.distance_evaluations(e, e, 40, basis=HASH_BASIS, raise_limit=0.9)
+    return H.distance_evaluations(e, e, 40, basis=HASH_BASIS)
+
+
+@query("knn_lsh_raised", f"WITH {E}, {RAISED}, cand AS (SELECT hp.* FROM hp JOIN up USING (query_id) WHERE hamming <= cutoff), "
+       f"{RERANK.format(cand='cand')} " + top_sql(5, "s"))
+def knn_lsh_raised(spark, sf):
+    """The limit raised as by default."""
+    e = embeddings(spark, sf)
+    return rounded(H.knn_lsh(e, e, 5, 40, basis=HASH_BASIS))
+
+
+IN_A_BAND = " OR ".join(f"bit_count((xor(q.hash, r.hash) >> {16 * b}) & 65535) <= 2" for b in range(4))
+
+
+@query("knn_lsh_banded", f"""WITH {E}, {HASHES[:HASHES.index('hp AS')]}
+hp AS (SELECT q.id AS query_id, r.id AS neighbor_id, CAST(bit_count(xor(q.hash, r.hash)) AS INTEGER) AS hamming FROM h q JOIN h r ON {IN_A_BAND}),
+cum AS (SELECT query_id, hamming, sum(count(*)) OVER (PARTITION BY query_id ORDER BY hamming) AS upto FROM hp GROUP BY query_id, hamming),
+lim AS (SELECT query_id, coalesce(min(hamming) FILTER (upto >= 10), 64) AS cutoff FROM cum GROUP BY query_id),
+cand AS (SELECT hp.* FROM hp JOIN lim USING (query_id) WHERE hamming <= cutoff), {RERANK.format(cand='cand')} """ + top_sql(5, "s"))
+def knn_lsh_banded(spark, sf):
+    """Candidates from the bands of the hashes: at most two differing bits in some band of 16."""
+    e = embeddings(spark, sf)
+    return rounded(H.knn_banded(e, H.build_band_index(e, HASH_BASIS), 5, 10))
 
 
 @query("hash_correlation", f"WITH {E}, {HASHES} SELECT hamming, count(*) AS pairs, "

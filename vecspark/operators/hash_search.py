@@ -3,18 +3,20 @@ get an exact distance."""
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
 from vecspark.functions.basis import hash_basis, sign_hash64
 from vecspark.functions.vectors import Metric, get_metric
-from vecspark.operators.search import MERGE_LANES, TopK, top_k_per_query
-from vecspark.plans.blocks import PairJob, Space, pair_blocks
-from vecspark.schema import NEIGHBORS, dimension
+from vecspark.operators.search import MERGE_LANES, top_k_per_query
+from vecspark.plans.blocks import PairJob, arrow_types, batch_of, block_rows, columns_of, pair_blocks, unique_ids
+from vecspark.schema import dimension
 from vecspark.session import materialize
 
 BITS = 64
@@ -22,6 +24,8 @@ BITS = 64
 RAISE_BELOW = 32
 #: Only buckets with more members than this may raise the limit.
 RAISE_MEMBERS = 10
+#: How readily a limit is raised, and by how many bits in one look.
+RAISE, RAISE_AT_ONCE = 0.9, 4
 #: Steps of the distance scale on which a bucket's lower quartile is read.
 QUARTILE_STEPS = 32
 
@@ -31,28 +35,10 @@ def hashed(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     return rows.select("id", "vec", sign_hash64("vec", basis).alias("hash"))
 
 
-def _hamming_float(a, b):
-    return kernels.hamming_matrix(np.asarray(a, np.int64), np.asarray(b, np.int64)).astype(float)
-
-
-def _hamming_space(depth: int, radius: str | None = None) -> Space:
-    return Space("hash", _hamming_float, lambda q, r: 0.0, depth=depth, radius=radius)
-
-
-def _segment_top(qi, ids, d, k):
-    order = np.lexsort((ids, d, qi))
-    qi, ids, d = qi[order], ids[order], d[order]
-    rank = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
-    keep = rank < k
-    return qi[keep], ids[keep], d[keep], rank[keep]
-
-
 @dataclass
 class CountBits(PairJob):
     """For each query, how many references lie at each bit distance."""
 
-    depth: int = 0
-
     def run(self, queries, refs):
         rows = []
         codes, n = np.unique(refs["hash"], return_counts=True)
@@ -76,179 +62,448 @@ class CountBits(PairJob):
         return {"query_id": key[:, 0], "hamming": key[:, 1], "n": n}
 
 
-@dataclass
-class TopWithinBits(TopK):
-    """k nearest references among those within each query's bit limit."""
+ROWS = "query_id bigint, hamming int, step int, n bigint, least double, neighbor_id bigint, distance double"
+_INTS = ("query_id", "hamming", "step", "n", "neighbor_id")
 
-    def prepare(self, refs):
-        order = np.argsort(refs["id"], kind="stable")
-        return {c: v[order] for c, v in refs.items()}
 
-    def run(self, queries, refs):
-        parts = []
-        qv, qh, lim = queries["vec"], queries["hash"], queries["cutoff"]
-        for s, e in kernels.chunks(len(qh), 4 * max(1, len(refs["id"])) * max(1, qv.shape[1] // 16)):
-            qi, ri = np.nonzero(kernels.hamming_matrix(qh[s:e], refs["hash"]) <= lim[s:e, None])
-            d = self.metric.paired(qv[s:e][qi], refs["vec"][ri]) if len(qi) else np.zeros(0)
-            qi, ids, d, rank = _segment_top(qi, refs["id"][ri], d, self.k)
-            parts.append((queries["id"][s:e][qi], ids, d, rank + 1))
-        if not parts:
-            z = np.zeros(0, np.int64)
-            parts = [(z, z, np.zeros(0), z)]
-        q, ids, d, rank = (np.concatenate(x) for x in zip(*parts))
-        return {"query_id": q, "neighbor_id": ids, "distance": d, "rank": rank}
+def _rows(**columns) -> dict:
+    n = len(next(iter(columns.values()), ()))
+    names = ("query_id", "hamming", "step", "n", "least", "neighbor_id", "distance")
+    return {c: np.asarray(columns.get(c, np.zeros(n)), np.int64 if c in _INTS else np.float64) for c in names}
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts; the keys are in order."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _first_of_each(starts: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Which of ``n`` ordered rows are among the first ``k`` of their run."""
+    at = np.arange(n)
+    return at - np.repeat(starts, np.diff(np.append(starts, n))) < k
 
 
 @dataclass
-class BucketDistances(PairJob):
-    """Beyond the limit: per query and bit distance, least distance and a step count
-    of distances on the scale 0 .. 2 x reach."""
+class Levels(PairJob):
+    """One look at the pairs: for each query and bit distance, how many references lie there and the ``k`` nearest of them.
+
+    Only bit distances from the query's ``low`` to its ``high`` count; of these, those up to the one that covers
+    ``depth`` references of the block. The limit of a query over all references lies no higher, so whatever is
+    left out here is beyond it. With a ``reach`` counts are told by ``step``, the place of the distance on the scale
+    0 .. 2 x reach, with the least distance there. Rows of two kinds come out: counts (``n`` > 0), and neighbours (``n`` = 0).
+    """
 
+    k: int = 1
     metric: Metric | None = None
+    depth: int | None = None
+
+    def prepare(self, refs):
+        order = np.argsort(refs["id"], kind="stable")
+        return {c: v[order] for c, v in refs.items()}
 
     def run(self, queries, refs):
-        out = []
-        width = QUARTILE_STEPS + 1
-        qv = queries["vec"]
-        for s, e in kernels.chunks(len(queries["id"]),
-                                   4 * max(1, len(refs["id"])) * max(1, qv.shape[1] // 16)):
-            ham = kernels.hamming_matrix(queries["hash"][s:e], refs["hash"])
-            qi, ri = np.nonzero((ham > queries["cutoff"][s:e, None]) & (ham < RAISE_BELOW))
-            if not len(qi):
-                continue
-            d = self.metric.paired(qv[s:e][qi], refs["vec"][ri])
-            reach = queries["reach"][s:e][qi]
-            step = np.minimum(np.floor(d / (2 * reach) * QUARTILE_STEPS), QUARTILE_STEPS)
+        out, n = [_rows()], len(refs["id"])
+        for s, e in kernels.chunks(len(queries["id"]), 4 * max(1, n)):
+            part = {c: v[s:e] for c, v in queries.items()}
+            level = kernels.hamming_matrix(part["hash"], refs["hash"])
+            if part["low"].any() or (part["high"] < BITS).any():
+                level = np.where((level >= part["low"][:, None]) & (level <= part["high"][:, None]), level, np.uint8(255))
+            limit = np.full(e - s, BITS, np.uint8)
+            if self.depth is not None and self.depth <= n:
+                limit = np.minimum(limit, np.partition(level, self.depth - 1, axis=1)[:, self.depth - 1])
+            qi, ri = np.nonzero(level <= limit[:, None])
+            out.append(self.scored(part, refs, qi, ri, level[qi, ri].astype(np.int64)))
+        return PairJob.merge(self, out)
+
+    def scored(self, queries, refs, qi, ri, level):
+        """Counts and nearest rows of the pairs (qi, ri)."""
+        if not len(qi):
+            return _rows()
+        d = kernels.paired_in_parts(self.metric, queries["vec"], refs["vec"], qi, ri)
+        step = np.zeros(len(d), np.int64)
+        if "reach" in queries:
+            reach = queries["reach"][qi]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.minimum(np.floor(d / (2 * reach) * QUARTILE_STEPS), QUARTILE_STEPS)
             step = np.where(reach > 0, step, QUARTILE_STEPS).astype(np.int64)
-            key = qi * RAISE_BELOW + ham[qi, ri]
-            keys, inv = np.unique(key, return_inverse=True)
-            counts = np.bincount(inv * width + step, minlength=len(keys) * width).reshape(-1, width)
-            least = np.full(len(keys), np.inf)
-            np.minimum.at(least, inv, d)
-            out.append((queries["id"][s:e][keys // RAISE_BELOW], keys % RAISE_BELOW, least,
-                        counts.astype(float)))
-        if not out:
-            z = np.zeros(0, np.int64)
-            out = [(z, z, np.zeros(0), np.zeros((0, width)))]
-        q, h, m, c = (np.concatenate(x) for x in zip(*out))
-        return {"query_id": q, "hamming": h, "least": m, "steps": c}
+        key = qi * (BITS + 1) + level
+        order = np.lexsort((d, step, key))
+        starts = _runs(key[order], step[order])
+        at = order[starts]
+        counts = _rows(query_id=queries["id"][qi[at]], hamming=level[at], step=step[at], n=np.diff(np.append(starts, len(d))), least=d[at])
+        order = np.lexsort((refs["id"][ri], d, key))
+        best = order[_first_of_each(_runs(key[order]), len(order), self.k)]
+        near = _rows(query_id=queries["id"][qi[best]], hamming=level[best], neighbor_id=refs["id"][ri[best]], distance=d[best])
+        return {c: np.concatenate([counts[c], near[c]]) for c in near}
 
-
-def bit_counts(queries: DataFrame, refs: DataFrame, *, depth: int = BITS + 1,
-               layout: str = "auto") -> DataFrame:
-    """``(query_id, hamming, n)``, complete up to the distance that covers
-    ``depth`` references. Both sides carry ``(id, hash)``."""
+    def merge(self, outputs):
+        """Of several blocks of a task: counts summed, again cut at the depth, and the nearest of each bit distance."""
+        o = PairJob.merge(self, outputs)
+        if not len(o["n"]):
+            return o
+        c, near = ({x: v[some] for x, v in o.items()} for some in (o["n"] > 0, o["n"] == 0))
+        order = np.lexsort((c["step"], c["hamming"], c["query_id"]))
+        c = {x: v[order] for x, v in c.items()}
+        new = _runs(c["query_id"], c["hamming"], c["step"])
+        counts = {x: v[new] for x, v in c.items()}
+        counts |= {"n": np.add.reduceat(c["n"], new), "least": np.minimum.reduceat(c["least"], new)}
+        q = counts["query_id"]
+        starts = _runs(q)
+        size = np.diff(np.append(starts, len(q)))
+        limit = np.full(len(starts), BITS)
+        if self.depth is not None:
+            upto = np.cumsum(counts["n"])
+            upto = upto - np.repeat(upto[starts] - counts["n"][starts], size)
+            limit = np.minimum.reduceat(np.where(upto >= self.depth, counts["hamming"], BITS), starts)
+        keep = counts["hamming"] <= np.repeat(limit, size)
+        order = np.lexsort((near["neighbor_id"], near["distance"], near["hamming"], near["query_id"]))
+        near = {x: v[order] for x, v in near.items()}
+        some = near["hamming"] <= limit[np.searchsorted(q[starts], near["query_id"])]
+        some &= _first_of_each(_runs(near["query_id"], near["hamming"]), len(some), self.k)
+        return {x: np.concatenate([counts[x][keep], near[x][some]]) for x in o}
+
+
+def _looked(queries: DataFrame, refs: DataFrame, k: int, metric: Metric, dim: int, layout: str, depth: int | None = None) -> DataFrame:
+    """Rows of :class:`Levels`, stored; ``queries`` carry (id, vec, hash, low, high) and perhaps reach. Every block of references
+    is looked at once."""
+    columns = ["id", "vec", "hash", "low", "high"] + (["reach"] if "reach" in queries.columns else [])
+    job = Levels(columns, ["id", "vec", "hash"], ROWS, k=k, metric=metric, depth=depth)
+    out, _ = pair_blocks(queries, refs, job, dim, layout=layout)
+    return materialize(out)
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.filter("n > 0").groupBy("query_id", "hamming").agg(F.sum("n").alias("n"))
+
+
+def _nearest_within(rows: DataFrame, limits: DataFrame, k: int, lanes: int) -> DataFrame:
+    hits = (rows.filter("n = 0").select("query_id", "hamming", "neighbor_id", "distance")
+            .join(limits.select("query_id", "cutoff"), "query_id").filter("hamming <= cutoff"))
+    return top_k_per_query(hits, k, lanes)
+
+
+def bit_counts(queries: DataFrame, refs: DataFrame, *, layout: str = "auto") -> DataFrame:
+    """``(query_id, hamming, n)``: how many references lie at each bit distance. Both sides carry ``(id, hash)``."""
     job = CountBits(["id", "hash"], ["id", "hash"], "query_id bigint, hamming int, n bigint")
-    out, final = pair_blocks(queries, refs, job, 2, layout=layout, space=_hamming_space(depth))
+    out, final = pair_blocks(queries, refs, job, 2, layout=layout)
     return out if final else out.groupBy("query_id", "hamming").agg(F.sum("n").alias("n"))
 
 
-def bit_limits(counts: DataFrame, search_size: int) -> DataFrame:
-    """``(query_id, cutoff)``: least bit distance that covers ``search_size`` rows."""
+def bit_limits(counts: DataFrame, search_size: int, otherwise: int | None = BITS) -> DataFrame:
+    """``(query_id, cutoff)``: least bit distance that covers ``search_size`` rows, ``otherwise`` if there are fewer."""
     upto = (Window.partitionBy("query_id").orderBy("hamming")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reached = counts.withColumn("_upto", F.sum("n").over(upto))
     return reached.groupBy("query_id").agg(F.coalesce(
-        F.min(F.when(F.col("_upto") >= search_size, F.col("hamming"))), F.lit(BITS)).alias("cutoff"))
+        F.min(F.when(F.col("_upto") >= search_size, F.col("hamming"))), F.lit(otherwise).cast("int")).alias("cutoff"))
+
 
+@dataclass
+class Looked:
+    """What the looks of a hash search have found: ``rows`` of :class:`Levels` and each query's ``(query_id, cutoff)``."""
 
-def _within_bits(queries, refs, k, metric, dim, layout):
-    job = TopWithinBits(["id", "vec", "hash", "cutoff"], ["id", "vec", "hash"], NEIGHBORS,
-                        k=k, metric=metric)
-    out, final = pair_blocks(queries, refs, job, dim, layout=layout,
-                             space=_hamming_space(1, radius="cutoff"))
-    return out if final else top_k_per_query(out, k, 1 if layout == "cells" else MERGE_LANES)
+    rows: DataFrame
+    limits: DataFrame
 
 
-def raised_limits(queries: DataFrame, refs: DataFrame, search_size: int, strategy: float,
-                  metric: str | Metric = "euclidean", *, dim: int, layout: str = "auto") -> DataFrame:
-    """``(query_id, cutoff)`` after widening.
+def _risen(sums: DataFrame, now: DataFrame, strategy: float) -> DataFrame:
+    """``(id, cutoff, open)`` after a look at the bit distances from ``low`` to ``high`` of the open queries ``now``.
 
-    With D the distance of the ``search_size``-th best row so far, the limit
-    grows by one bit while ``s * Q1 + (1 - s) * min`` of the next bucket stays
-    below D. Q1 is the lower edge of the step that holds the lower quartile.
-    ``queries`` carries ``(id, vec, hash, cutoff)``.
+    With D the distance of the ``search_size``-th best row within the first limit, the limit grows by one bit while
+    ``s * Q1 + (1 - s) * min`` of the next bucket stays below D. Q1 is the lower edge of the step that holds the lower quartile.
     """
-    metric = get_metric(metric)
-    held = _within_bits(queries, refs, search_size, metric, dim, layout)
-    reach = held.groupBy(F.col("query_id").alias("id")).agg(
-        F.when(F.count("*") >= search_size, F.max("distance")).alias("reach"))
-    known = materialize(queries.join(reach, "id", "left")
-                        .withColumn("reach", F.coalesce("reach", F.lit(0.0)))
-                        .withColumn("limit_bits", F.lit(float(RAISE_BELOW - 1))))
-    job = BucketDistances(["id", "vec", "hash", "cutoff", "reach", "limit_bits"],
-                          ["id", "vec", "hash"],
-                          "query_id bigint, hamming int, least double, steps array<double>",
-                          metric=metric)
-    out, _ = pair_blocks(known, refs, job, dim, layout=layout,
-                         space=_hamming_space(1, radius="limit_bits"))
-    steps = range(QUARTILE_STEPS + 1)
-    sums = out.groupBy("query_id", "hamming").agg(
-        F.min("least").alias("least"),
-        F.array(*[F.sum(F.col("steps")[i]) for i in steps]).alias("steps"))
-    total = F.aggregate("steps", F.lit(0.0), lambda a, x: a + x)
+    steps = (sums.filter("n > 0").groupBy(F.col("query_id").alias("id"), "hamming", "step")
+             .agg(F.sum("n").alias("n"), F.min("least").alias("least")))
+    sums = steps.groupBy("id", "hamming").agg(F.min("least").alias("least"), F.sum("n").alias("total"),
+                                              F.sort_array(F.collect_list(F.struct("step", "n"))).alias("steps"))
     # first step at which a quarter of the bucket is reached
     seen = F.aggregate(
-        "steps", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"),
-                              F.when(a["sum"] + x < F.lit(0.25) * total, a["at"] + 1)
-                              .otherwise(a["at"]).alias("at")))
+        "steps", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("int").alias("at")),
+        lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.coalesce(
+            a["at"], F.when(a["sum"] + x["n"] >= 0.25 * F.col("total"), x["step"])).alias("at")))
     q1 = seen["at"] * 2 * F.col("reach") / QUARTILE_STEPS
     s = float(strategy)
-    ok = (sums.join(known.select(F.col("id").alias("query_id"), "reach"), "query_id")
-          .filter((total > RAISE_MEMBERS) & (s * q1 + (1 - s) * F.col("least") < F.col("reach")))
-          .groupBy("query_id").agg(F.collect_set("hamming").alias("ok")))
-    grown = F.aggregate(F.sequence(F.lit(0), F.lit(RAISE_BELOW - 1)), F.col("cutoff"),
+    ok = (sums.join(now.select("id", "reach"), "id")
+          .filter((F.col("total") > RAISE_MEMBERS) & (s * q1 + (1 - s) * F.col("least") < F.col("reach")))
+          .groupBy("id").agg(F.collect_set("hamming").alias("ok")))
+    grown = F.aggregate(F.sequence(F.col("low"), F.col("high")), F.col("cutoff"),
                         lambda acc, h: F.when((h == acc + 1) & F.array_contains("ok", h), h).otherwise(acc))
-    return (known.select(F.col("id").alias("query_id"), "cutoff").join(ok, "query_id", "left")
-            .select("query_id", F.when(F.col("ok").isNull(), F.col("cutoff"))
-                    .otherwise(grown).alias("cutoff")))
-
+    return (now.join(ok, "id", "left").withColumn("cutoff", F.when(F.col("ok").isNull(), F.col("cutoff")).otherwise(grown))
+            .withColumn("open", (F.col("cutoff") == F.col("high")) & (F.col("high") < RAISE_BELOW - 1)))
 
-def _prepared(queries, refs, search_size, basis, seed, raise_limit, metric, layout):
-    dim = dimension(refs)
-    if basis is None:
-        basis = hash_basis(max(dim, 1), seed)
-    q, r = materialize(hashed(queries, basis)), materialize(hashed(refs, basis))
-    counts = materialize(bit_counts(q, r, depth=search_size, layout=layout))
-    limits = bit_limits(counts, search_size)
-
-    def limited(lim):
-        return q.join(lim.select(F.col("query_id").alias("id"), "cutoff"), "id")
-
-    if raise_limit is not None and raise_limit >= 0:
-        limits = materialize(raised_limits(materialize(limited(limits)), r, search_size, raise_limit,
-                                           metric, dim=dim, layout=layout))
-    return q, r, counts, limits, limited, dim
 
-
-def knn_lsh(queries: DataFrame, refs: DataFrame, k: int, search_size: int = 100, *,
-            basis: np.ndarray | None = None, seed: int = 0, raise_limit: float | None = None,
-            metric: str | Metric = "euclidean", layout: str = "auto") -> DataFrame:
+def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strategy: float, look) -> Looked:
+    """Widens the limits, ``RAISE_AT_ONCE`` bits in one look, for as long as some query's limit still grows."""
+    # a first look also brings rows beyond the limit, not all of them; later looks bring them whole
+    held = found.rows.join(found.limits, "query_id").filter("hamming <= cutoff").select(found.rows.columns)
+    reach = top_k_per_query(held.filter("n = 0"), search_size, MERGE_LANES).groupBy(F.col("query_id").alias("id")).agg(
+        F.when(F.count("*") >= search_size, F.max("distance")).alias("reach"))
+    now = materialize(queries.select("id", "vec", "hash").join(found.limits.withColumnRenamed("query_id", "id"), "id")
+                      .join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+                      .withColumn("open", (F.col("reach") > 0) & (F.col("cutoff") < RAISE_BELOW - 1)))
+    limits, rows = now.filter("NOT open").select(F.col("id").alias("query_id"), "cutoff"), held
+    while True:
+        rising = now.filter("open").drop("open")
+        if rising.isEmpty():
+            return Looked(rows, limits)
+        rising = materialize(rising.withColumn("low", F.col("cutoff") + 1)
+                             .withColumn("high", F.least(F.col("cutoff") + RAISE_AT_ONCE, F.lit(RAISE_BELOW - 1))))
+        more = look(rising)
+        now = materialize(_risen(more, rising, strategy).select("id", "vec", "hash", "cutoff", "reach", "open"))
+        limits = limits.unionByName(now.filter("NOT open").select(F.col("id").alias("query_id"), "cutoff"))
+        rows = rows.unionByName(more)
+
+
+def _search(queries: DataFrame, refs: DataFrame, k: int, search_size: int, basis: np.ndarray | None, seed: int,
+            raise_limit: float | None, metric: Metric, layout: str, index: BandIndex | None) -> Looked:
+    unique_ids(queries)
+    raising = raise_limit is not None and raise_limit >= 0
+    keep = max(k, search_size) if raising else k
+    if index is None and layout == "cells":
+        index = build_band_index(refs, basis, seed=seed)
+    if index is not None:
+        basis, dim, rows = index.basis, index.dim, index.rows
+    else:
+        dim = dimension(refs)
+        basis = hash_basis(max(dim, 1), seed) if basis is None else basis
+        rows = hashed(refs, basis)
+        rows = materialize(rows) if raising else rows  # one look needs no stored hashes
+    q = materialize(hashed(queries, basis).withColumns({"low": F.lit(0), "high": F.lit(BITS)}))
+    if layout == "cells":
+        found = _through_bands(q, index, keep, metric, search_size)
+    else:
+        looked = _looked(q, rows, keep, metric, dim, layout, search_size)
+        found = Looked(looked, bit_limits(_counts(looked), search_size))
+    if raising:
+        found = _raised(found, q, search_size, keep, raise_limit, lambda x: _looked(x, rows, keep, metric, dim, "blocks" if layout == "cells" else layout))
+    return found
+
+
+def _through_bands(q: DataFrame, index: BandIndex, k: int, metric: Metric, search_size: int) -> Looked:
+    """Few bits in some band first. A query whose limit lies beyond what that surely finds looks at all blocks."""
+    near = band_rows(q, index, search_size, k, metric)
+    sure = index.bands * (index.flips + 1) - 1
+    limits = materialize(q.select(F.col("id").alias("query_id")).join(bit_limits(_counts(near), search_size, None), "query_id", "left"))
+    far = limits.filter(F.col("cutoff").isNull() | (F.col("cutoff") > sure)).select(F.col("query_id").alias("id"))
+    rest = _looked(q.join(far, "id", "left_semi"), index.rows, k, metric, index.dim, "blocks", search_size)
+    limits = limits.filter(F.col("cutoff") <= sure).union(bit_limits(_counts(rest), search_size))
+    return Looked(near.join(far.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest), limits)
+
+
+def knn_lsh(queries: DataFrame, refs: DataFrame | None, k: int, search_size: int = 100, *,
+            basis: np.ndarray | None = None, seed: int = 0, raise_limit: float | None = RAISE,
+            metric: str | Metric = "euclidean", layout: str = "auto", index: BandIndex | None = None) -> DataFrame:
     """Nearest references among those whose sign hash is close to the query's.
 
-    The bit limit of a query is the least one that covers ``search_size``
-    references; rows beyond it never get an exact distance. ``raise_limit``
-    widens the limit while the next bucket still looks promising (see
-    :func:`raised_limits`); None or a negative value never does.
+    The bit limit of a query is the least one that covers ``search_size`` references; rows beyond it never count. One look at
+    the references finds the limit and the rows within it: a block tells counts, and the nearest rows of each bit distance that
+    may matter. ``raise_limit`` widens the limit while the next bucket still looks promising (see :func:`_risen`), a
+    few bits in one more look; None or a negative value never does.
+
+    ``index`` (see :func:`build_band_index`) keeps the references' hashes, and ``refs`` is not read then. ``layout="cells"`` goes
+    through its bands, which suits many queries; results do not depend on the layout.
     """
     if not 1 <= k <= search_size:
         raise ValueError("need 1 <= k <= search_size")
-    metric = get_metric(metric)
-    q, r, _, limits, limited, dim = _prepared(queries, refs, search_size, basis, seed,
-                                              raise_limit, metric, layout)
-    return _within_bits(materialize(limited(limits)), r, k, metric, dim, layout)
+    found = _search(queries, refs, k, search_size, basis, seed, raise_limit, get_metric(metric), layout, index)
+    return _nearest_within(found.rows, found.limits, k, MERGE_LANES)
 
 
-def distance_evaluations(queries: DataFrame, refs: DataFrame, search_size: int = 100, *,
+def distance_evaluations(queries: DataFrame, refs: DataFrame | None, search_size: int = 100, *,
                          basis: np.ndarray | None = None, seed: int = 0,
-                         raise_limit: float | None = None, metric: str | Metric = "euclidean",
-                         layout: str = "auto") -> DataFrame:
-    """Exact distances a hash search computes per query: ``(query_id, cutoff, evaluations)``."""
-    metric = get_metric(metric)
-    q, r, counts, limits, _, _ = _prepared(queries, refs, search_size, basis, seed, raise_limit,
-                                           metric, layout)
-    if raise_limit is not None and raise_limit >= 0:
-        counts = bit_counts(q, r, depth=2**31 - 1, layout=layout)
-    return (counts.join(limits, "query_id").filter(F.col("hamming") <= F.col("cutoff"))
+                         raise_limit: float | None = RAISE, metric: str | Metric = "euclidean",
+                         layout: str = "auto", index: BandIndex | None = None) -> DataFrame:
+    """Rows within each query's limit, whose exact distances decide: ``(query_id, cutoff, evaluations)``."""
+    found = _search(queries, refs, 1, search_size, basis, seed, raise_limit, get_metric(metric), layout, index)
+    return (_counts(found.rows).join(found.limits, "query_id").filter(F.col("hamming") <= F.col("cutoff"))
             .groupBy("query_id", "cutoff").agg(F.sum("n").alias("evaluations")))
+
+
+# -- multi-index hashing: tables of the hash's bands
+
+@dataclass
+class BandIndex:
+    """References by the bands of their hashes.
+
+    A hash is cut into ``bands`` runs of bits. ``table`` holds each reference once for each band, with its vector, in buckets
+    of neighbouring band values: ``(cell, part, band, id, vec, hash)``. A crowded bucket is split by further bits of the band, and
+    one that consists of a single value by ids, so no bucket exceeds a block. ``lows[b]`` are the least values of
+    band b's buckets, ``cells[b]`` and ``parts[b]`` their numbers and splits; there is one entry for each block of rows, 65,536
+    a band at most. ``rows`` are the references with their hashes, (id, vec, hash).
+    """
+
+    basis: np.ndarray
+    bands: int
+    flips: int
+    rows: DataFrame
+    table: DataFrame
+    lows: list[np.ndarray]
+    cells: list[np.ndarray]
+    parts: list[np.ndarray]
+    dim: int
+
+    @property
+    def width(self) -> int:
+        return BITS // self.bands
+
+
+def _band(hash_: Column, band: int | Column, width: int) -> Column:
+    shift = band * width if isinstance(band, int) else (band * F.lit(width)).cast("int")
+    return F.call_function("shiftrightunsigned", hash_, F.lit(shift) if isinstance(shift, int) else shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def bucket_bounds(values: np.ndarray, counts: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least value of each bucket and how many parts it has: halves of halves, by one more bit each, until a bucket holds at most
+    ``most`` rows or a single value."""
+    order = np.argsort(values)
+    values, upto = values[order], np.append(0, np.cumsum(counts[order]))
+    out, todo = [], [(0, 1 << width)]
+    while todo:
+        low, high = todo.pop()
+        a, b = np.searchsorted(values, (low, high))
+        n = int(upto[b] - upto[a])
+        if n > most and high - low > 1:
+            middle = (low + high) // 2
+            todo += [(middle, high), (low, middle)]
+        else:
+            out.append((low, max(1, -(-n // most))))
+    lows, parts = zip(*out)
+    return np.array(lows, np.int64), np.array(parts, np.int64)
+
+
+def build_band_index(refs: DataFrame, basis: np.ndarray | None = None, *, seed: int = 0, bands: int = 4, flips: int = 2,
+                     bucket_rows: int | None = None) -> BandIndex:
+    """Hash the references once and lay them out by the bands of their hashes, for any number of searches.
+
+    References that differ from a query in fewer than ``bands * (flips + 1)`` bits differ in at most ``flips`` bits of
+    some band, so a search that tries every such value of each band finds all of them.
+    """
+    if bands not in (4, 8, 16) or not 0 <= flips <= 3:
+        raise ValueError("use 4, 8 or 16 bands and up to 3 flips")
+    dim = dimension(refs)
+    basis = hash_basis(max(dim, 1), seed) if basis is None else basis
+    rows, width = materialize(hashed(refs, basis)), BITS // bands
+    most = bucket_rows or block_rows(dim)
+    each = rows.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(bands)])))
+    each = each.withColumn("value", _band(F.col("hash"), F.col("band"), width))
+    # at most 2^16 values of each band, whatever the number of rows
+    count = {b: ([], []) for b in range(bands)}
+    for r in each.groupBy("band", "value").count().collect():
+        count[r["band"]][0].append(r["value"])
+        count[r["band"]][1].append(r["count"])
+    bounds = [bucket_bounds(np.array(v, np.int64), np.array(n, np.int64), width, most) for v, n in (count[b] for b in range(bands))]
+    first = np.cumsum([0] + [len(low) for low, _ in bounds])
+    cells = [np.arange(first[b], first[b + 1]) for b in range(bands)]
+
+    @F.arrow_udf("struct<cell:int,parts:int>")
+    def place(band: pa.Array, value: pa.Array) -> pa.Array:
+        b, v = band.to_numpy(), value.to_numpy()
+        cell, n = np.zeros(len(b), np.int32), np.ones(len(b), np.int32)
+        for k in np.unique(b):
+            mine = b == k
+            at = np.searchsorted(bounds[k][0], v[mine], side="right") - 1
+            cell[mine], n[mine] = cells[k][at], bounds[k][1][at]
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "parts"])
+
+    placed = each.withColumn("_at", place("band", "value")).select(
+        "_at.cell", F.pmod(F.xxhash64("id"), F.col("_at.parts")).cast("int").alias("part"), "band", "id", "vec", "hash")
+    return BandIndex(basis, bands, flips, rows, materialize(placed), [b[0] for b in bounds], cells, [b[1] for b in bounds], dim)
+
+
+def flip_masks(width: int, flips: int) -> np.ndarray:
+    """All masks of at most ``flips`` of ``width`` bits."""
+    out = [0]
+    for n in range(1, flips + 1):
+        out += [sum(1 << b for b in bits) for bits in itertools.combinations(range(width), n)]
+    return np.array(out, np.int64)
+
+
+def _covering(level: np.ndarray, qi: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """For each of ``n`` queries the bit distance that covers ``depth`` of its pairs, 64 if there are fewer."""
+    counts = np.bincount(qi * (BITS + 1) + level, minlength=n * (BITS + 1)).reshape(n, BITS + 1)
+    reached = counts.cumsum(axis=1) >= depth
+    return np.where(reached[:, -1], reached.argmax(axis=1), BITS)
+
+
+def band_rows(q: DataFrame, index: BandIndex, search_size: int, k: int, metric: Metric) -> DataFrame:
+    """Rows of :class:`Levels`, stored, over the references that differ from a query in at most ``flips`` bits of some band.
+
+    A query goes to the buckets that hold a value of at most so many flipped bits, and is compared there with the references
+    at such values; a pair that meets in several bands counts in the first. A bucket asked by very many queries is answered
+    in several blocks.
+    """
+    spark, width, flips, masks = q.sparkSession, index.width, index.flips, flip_masks(index.width, index.flips)
+    lows, cells, parts = index.lows, index.cells, index.parts
+
+    @F.arrow_udf("array<struct<cell:int,part:int>>")
+    def asked(hash_: pa.Array) -> pa.Array:
+        ends, found, split = [0], [], []
+        for h in hash_.to_numpy().view(np.uint64):
+            for b in range(len(lows)):
+                value = int(h >> np.uint64(b * width)) & ((1 << width) - 1)
+                at = np.unique(np.searchsorted(lows[b], value ^ masks, side="right") - 1)
+                n = parts[b][at]
+                found.append(np.repeat(cells[b][at], n))
+                split.append(np.concatenate([np.arange(x) for x in n]))
+            ends.append(ends[-1] + sum(map(len, found[-len(lows):])))
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32) for x in (found, split)]
+        return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.StructArray.from_arrays(list(map(pa.array, flat)), names=["cell", "part"]))
+
+    job = Levels([], [], ROWS, k=k, metric=metric, depth=search_size)
+    names, types = arrow_types(spark, ROWS)
+    asks = q.select("id", "vec", "hash", F.explode(asked("hash")).alias("_at"))
+    asks = materialize(asks.select("_at.cell", "_at.part", F.col("id").alias("query_id"), F.col("vec").alias("q"), F.col("hash").alias("q_hash")))
+    lanes = asks.groupBy("cell", "part").agg(F.ceil(F.count("*") / block_rows(index.dim)).cast("int").alias("lanes"))
+    lanes = F.broadcast(materialize(lanes))  # an entry for each block of references
+    keys = ["cell", "part", "lane"]
+    asks = (asks.join(lanes, ["cell", "part"]).withColumn("lane", F.pmod(F.xxhash64("query_id"), "lanes").cast("int"))
+            .select(*keys, "query_id", "q", "q_hash"))
+    held = (index.table.join(lanes, ["cell", "part"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+            .select(*keys, "band", "id", "vec", "hash"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
+        x, r = columns_of(left), columns_of(right)
+        band, bits = int(r["band"][0]), np.uint64((1 << width) - 1)
+        part = lambda h, b: h.view(np.uint64) >> np.uint64(b * width) & bits
+        order = np.lexsort((r["id"], part(r["hash"], band)))
+        r = {c: v[order] for c, v in r.items()}
+        values, start = np.unique(part(r["hash"], band), return_index=True)
+        size = np.diff(np.append(start, len(r["id"])))
+        queries = {"id": x["query_id"], "vec": x["q"], "hash": x["q_hash"]}
+        out, wanted = [_rows()], part(x["q_hash"], band)
+        for s, e in kernels.chunks(len(wanted), 8 * max(len(values), int(size.sum()) // 8)):
+            qi, vi = np.nonzero(np.bitwise_count(wanted[s:e, None] ^ values[None, :]) <= flips)
+            n = size[vi]
+            qi = np.repeat(qi, n)
+            ri = np.repeat(start[vi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = queries["hash"][s:e][qi] ^ r["hash"][ri]
+            first = np.ones(len(qi), bool)
+            for b in range(band):  # met in an earlier band already
+                first &= np.bitwise_count(part(differ, b)) > flips
+            qi, ri, level = qi[first], ri[first], np.bitwise_count(differ[first].view(np.uint64)).astype(np.int64)
+            fits = level <= _covering(level, qi, e - s, search_size)[qi]
+            out.append(job.scored({c: v[s:e] for c, v in queries.items()}, r, qi[fits], ri[fits], level[fits]))
+        return pa.Table.from_batches([batch_of(PairJob.merge(job, out), names, types)])
+
+    return materialize(asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, schema=ROWS))
+
+
+def knn_banded(queries: DataFrame, index: BandIndex, k: int, search_size: int = 100,
+               metric: str | Metric = "euclidean") -> DataFrame:
+    """Nearest references among those that differ from the query in few bits of some band (``index.flips``).
+
+    The bit limit is the least one that covers ``search_size`` of these candidates. No query looks at all references:
+    the work is that of the buckets it asks. Where the limit is below ``bands * (flips + 1)`` the result is that
+    of :func:`knn_lsh` without raising.
+    """
+    if not 1 <= k <= search_size:
+        raise ValueError("need 1 <= k <= search_size")
+    unique_ids(queries)
+    rows = band_rows(materialize(hashed(queries, index.basis)), index, search_size, k, get_metric(metric))
+    return _nearest_within(rows, bit_limits(_counts(rows), search_size), k, 1)

@@ -12,11 +12,12 @@ pairs; what leaves a task is at most a few rows per query. Three layouts:
              rule out, and every cell is split into blocks of bounded size on
              both sides, so neither a crowded cell nor a popular one can
              outgrow a task. Nothing is dropped.
+``blocks``   the same without a space to rule cells out: all blocks meet.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +78,9 @@ class Space:
     hyperplane: bool = False
     #: how many nearest references a query needs
     depth: int = 1
-    #: query column with a known radius, instead of a bound from the sample
-    radius: str | None = None
-    arrow_type: str = field(default="array<double>")
 
 
-def _batch(out: dict, names: list[str], types: list) -> pa.RecordBatch:
+def batch_of(out: dict, names: list[str], types: list) -> pa.RecordBatch:
     arrays = []
     for n, t in zip(names, types):
         v = out[n]
@@ -91,7 +89,7 @@ def _batch(out: dict, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, types)], names=names)
 
 
-def _arrow_types(spark, schema: str):
+def arrow_types(spark, schema: str):
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
     st = StructType.fromDDL(schema)
@@ -170,22 +168,22 @@ def pair_blocks(queries: DataFrame, refs: DataFrame, job: PairJob, dim: int, *,
         return _refs_to_queries(queries, refs, job, dim, nq, nr), True
     if layout == "queries":
         return _queries_to_refs(queries, refs, job, dim), False
-    if layout == "cells":
-        return _cells(queries, refs, job, dim, space), False
+    if layout in ("cells", "blocks"):
+        return _cells(queries, refs, job, dim, space if layout == "cells" else None), False
     raise ValueError(f"unknown layout {layout!r}")
 
 
 def _refs_to_queries(queries, refs, job, dim, nq, nr):
     sc = queries.sparkSession.sparkContext
     shared = sc.broadcast(fetch(refs))
-    names, types = _arrow_types(queries.sparkSession, job.schema)
+    names, types = arrow_types(queries.sparkSession, job.schema)
 
     def search(batches):
         prepared = None
         for b in batches:
             if prepared is None:
                 prepared = job.prepare(shared.value)
-            yield _batch(job.run(columns_of(b), prepared), names, types)
+            yield batch_of(job.run(columns_of(b), prepared), names, types)
 
     if nq is not None:
         queries = spread(queries, 8.0 * nq * dim, float(nq) * (nr or 1) * dim)
@@ -195,7 +193,7 @@ def _refs_to_queries(queries, refs, job, dim, nq, nr):
 def _queries_to_refs(queries, refs, job, dim):
     sc = queries.sparkSession.sparkContext
     shared = sc.broadcast(fetch(queries))
-    names, types = _arrow_types(queries.sparkSession, job.schema)
+    names, types = arrow_types(queries.sparkSession, job.schema)
     rows = block_rows(dim)
 
     def search(batches):
@@ -204,14 +202,14 @@ def _queries_to_refs(queries, refs, job, dim):
             out = job.run(shared.value, job.prepare(columns_of(table)))
             held = out if held is None else job.merge([held, out])
         if held is not None:
-            yield _batch(held, names, types)
+            yield batch_of(held, names, types)
 
     return refs.mapInArrow(search, job.schema)
 
 
 def _cells(queries, refs, job, dim, space):
     spark = queries.sparkSession
-    names, types = _arrow_types(spark, job.schema)
+    names, types = arrow_types(spark, job.schema)
     if space is None:
         celled = refs.withColumn("cell", F.lit(0))
         visiting = queries.withColumn("cell", F.lit(0))
@@ -237,7 +235,7 @@ def _cells(queries, refs, job, dim, space):
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         out = job.run(columns_of(left.drop_columns(keys)),
                       job.prepare(columns_of(right.drop_columns(keys))))
-        return pa.Table.from_batches([_batch(out, names, types)])
+        return pa.Table.from_batches([batch_of(out, names, types)])
 
     return (q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys))
             .applyInArrow(meet, schema=job.schema))
@@ -274,18 +272,16 @@ def _prune(queries, refs, space: Space, dim: int):
     lo = np.array([stats[c]["lo"] if c in stats else np.inf for c in range(len(pivots))])
     hi = np.array([stats[c]["hi"] if c in stats else -np.inf for c in range(len(pivots))])
     apart = pairwise(pivots, pivots) if space.hyperplane else None
-    depth, hyper, radius = space.depth, space.hyperplane, space.radius
+    depth, hyper = space.depth, space.hyperplane
     used = size > 0
 
-    def visit(x, reach):
+    def visit(x):
         """Boolean (rows, cells): can the cell hold one of the row's answers?"""
         d = pairwise(x, pivots)
         err = 4 * slack(x, pivots)
-        if reach is None:
-            if len(drawn) >= depth:
-                reach = np.partition(pairwise(x, drawn), depth - 1, axis=1)[:, depth - 1]
-            else:
-                reach = np.full(len(x), np.inf)
+        reach = np.full(len(x), np.inf)
+        if len(drawn) >= depth:
+            reach = np.partition(pairwise(x, drawn), depth - 1, axis=1)[:, depth - 1]
         bound = np.maximum(d - hi, lo - d)
         if hyper:
             own = d.argmin(axis=1)
@@ -295,10 +291,12 @@ def _prune(queries, refs, space: Space, dim: int):
             bound = np.maximum(bound, np.where(gap > 0, plane - err, -np.inf))
         return (bound <= (reach + err)[:, None]) & used
 
-    def to_cells(x, reach):
+    @F.arrow_udf("array<int>")
+    def cells_for(col: pa.Array) -> pa.Array:
+        x = as_space(col)
         rows, cells = [], []
         for s, e in kernels.chunks(len(x), 2 * len(pivots)):
-            qi, ci = np.nonzero(visit(x[s:e], None if reach is None else reach[s:e]))
+            qi, ci = np.nonzero(visit(x[s:e]))
             rows.append(qi + s)
             cells.append(ci)
         if not rows:
@@ -308,16 +306,7 @@ def _prune(queries, refs, space: Space, dim: int):
         return pa.ListArray.from_arrays(pa.array(starts),
                                         pa.array(np.concatenate(cells).astype(np.int32)))
 
-    if radius is None:
-        @F.arrow_udf("array<int>")
-        def cells_for(col: pa.Array) -> pa.Array:
-            return to_cells(as_space(col), None)
-        visits = cells_for(space.column)
-    else:
-        @F.arrow_udf("array<int>")
-        def cells_within(col: pa.Array, reach: pa.Array) -> pa.Array:
-            return to_cells(as_space(col), reach.to_numpy().astype(float))
-        visits = cells_within(space.column, radius)
+    visits = cells_for(space.column)
 
     visiting = session.materialize(queries.withColumn("cells", visits))
     asked = visiting.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
