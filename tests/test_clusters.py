@@ -117,7 +117,7 @@ def test_lloyd_nine_points(spark):
     assert assigned.groupBy("centroid_id").count().count() == 2 and assigned.count() == 9
 
 
-@pytest.mark.parametrize("sharding", ["split", "hash"])
+@pytest.mark.parametrize("sharding", ["split", "content"])
 def test_sketch_on_cube(spark, sharding):
     pts = G.hypercube_points(spark, 6, 16384, seed=2).drop("corner").repartition(3)
     sk = Z.sketch(pts, 704, sharding=sharding, shards=2)
@@ -134,8 +134,8 @@ def test_sketch_on_cube(spark, sharding):
 
 
 def test_hash_sketch_ignores_partitioning(spark, cube4):
-    a = rows(Z.sketch(cube4, 60, sharding="hash", shards=3, seed=5).centroids, "id")
-    b = rows(Z.sketch(cube4.repartition(7), 60, sharding="hash", shards=3, seed=5).centroids, "id")
+    a = rows(Z.sketch(cube4, 60, sharding="content", shards=3, seed=5).centroids, "id")
+    b = rows(Z.sketch(cube4.repartition(7), 60, sharding="content", shards=3, seed=5).centroids, "id")
     assert a["weight"].tolist() == b["weight"].tolist()
     assert all(np.array_equal(x, y) for x, y in zip(a["vec"], b["vec"]))
 
@@ -155,7 +155,7 @@ def test_hash_sketch_ignores_order_and_partitions(spark):
     rng = np.random.default_rng(2)
     df = vectors(spark, rng.integers(0, 9, (400, 3)), ids=[i // 4 for i in range(400)])
     key = lambda d: sorted((r["weight"], *r["vec"]) for r in
-                           Z.sketch(d, 20, 0.5, sharding="hash", shards=3, seed=1).centroids.collect())
+                           Z.sketch(d, 20, 0.5, sharding="content", shards=3, seed=1).centroids.collect())
     assert key(df.coalesce(1)) == key(df.orderBy(F.desc("id"), "vec").repartition(5))
 
 
@@ -183,7 +183,7 @@ def test_cluster_at_scale(spark, cube4, merge):
 
 def test_tree_merge(spark, cube4, monkeypatch):
     monkeypatch.setattr(Z, "SHARD_BYTES", 4096)
-    sk = Z.sketch(cube4, 40, sharding="hash", shards=9, seed=1)
+    sk = Z.sketch(cube4, 40, sharding="content", shards=9, seed=1)
     merged = Z.merge_sketches(sk, 60, limit=100)
     assert merged.centroids.count() <= max(100, 60)
     assert abs(total_weight(merged.centroids).first()[0] - 10000) < 1e-6

@@ -11,6 +11,7 @@ from vecspark.operators import classify as C
 from vecspark.operators import generate as G
 from vecspark.operators import kmeans as K
 from vecspark.operators import sketch as S
+from vecspark.operators.search import centroid_arrays
 from vecspark.operators.stats import cluster_counts, label_distribution, label_means, summarize_centroids
 from vecspark.plans import pipelines as P
 from vecspark.sources import io
@@ -112,7 +113,7 @@ def seed_kmeanspp(spark, sf):
 
 @query("streaming_sketch")
 def streaming_sketch(spark, sf):
-    return S.sketch(lines(spark, sf), 100, 0.01, sharding="hash", shards=4).centroids
+    return S.sketch(lines(spark, sf), 100, 0.01).centroids
 
 
 @query("streaming_sketch_weight_kept", "SELECT CAST(count(*) AS DOUBLE) AS weight, count(*) AS n_seen FROM lineitem")
@@ -126,17 +127,44 @@ def sketch_weight(spark, sf):
 
 @query("sketch_state")
 def sketch_state(spark, sf):
-    return S.sketch(lines(spark, sf), 100, 0.01, sharding="hash", shards=4).state
+    return S.sketch(lines(spark, sf), 100, 0.01).state
+
+
+@query("sketch_state_summary", f"SELECT CAST(ceil(count(*) / {S.SHARD_ROWS}.0) AS BIGINT) AS shards, CAST(count(*) AS BIGINT) AS n_seen FROM lineitem")
+def sketch_state_summary(spark, sf):
+    """Shards follow from the number of rows, and every row is seen once."""
+    return S.sketch(lines(spark, sf), 100, 0.01).state.agg(F.count("*").alias("shards"), F.sum("n_seen").alias("n_seen"))
+
+
+def _round_sql(n, seed):
+    """The candidates of one round, far from the label means."""
+    draw = sql_uniform(str(seed), "1", "id")
+    return (f"WITH {E}, {MEANS}, near AS (SELECT e.id, min(list_distance(e.vec, c.vec)) ** 2 AS d2 FROM e, c GROUP BY e.id) "
+            f"SELECT id, {s6(f'-ln({draw}) / d2')} AS t FROM near ORDER BY -ln({draw}) / d2, id LIMIT {n}")
+
+
+@query("seed_candidates", _round_sql(20, 5))
+def seed_candidates(spark, sf):
+    """One round of parallel seeding from given centres."""
+    e = embeddings(spark, sf)
+    _, centers = centroid_arrays(label_means(e, "label"))
+    drawn = K.draw_candidates(K.with_weight(e), centers, 20, 5, 1)
+    return spark.createDataFrame(drawn.select(["id", "t"])).select("id", r6("t").alias("t"))
+
+
+@query("seed_parallel")
+def seed_parallel(spark, sf):
+    return K.seed_parallel(embeddings(spark, sf), 20, 3).select("centroid_id", "id", "weight")
 
 
 @query("sketch_trace")
 def sketch_trace(spark, sf):
-    return S.sketch(lines(spark, sf), 100, 0.01, sharding="hash", shards=4).trace
+    return S.sketch(lines(spark, sf), 100, 0.01).trace
 
 
 @query("cluster_at_scale")
 def cluster_at_scale(spark, sf):
-    return S.cluster_at_scale(lines(spark, sf), 8, sharding="hash", shards=4)
+    return S.cluster_at_scale(lines(spark, sf), 8)
 
 
 @query("cluster_at_scale_summary", "SELECT 8 AS clusters, count(*) AS points FROM lineitem")
@@ -148,12 +176,12 @@ def cluster_at_scale_summary(spark, sf):
 
 @query("cluster_merge_streaming")
 def cluster_merge_streaming(spark, sf):
-    return S.cluster_at_scale(lines(spark, sf), 8, merge="streaming", sharding="hash", shards=4)
+    return S.cluster_at_scale(lines(spark, sf), 8, merge="streaming")
 
 
 @query("cluster_merge_union", "SELECT CAST(count(*) AS DOUBLE) AS weight FROM lineitem")
 def cluster_merge_union(spark, sf):
-    return S.cluster_at_scale(lines(spark, sf), 8, merge="union", sharding="hash", shards=4).agg(
+    return S.cluster_at_scale(lines(spark, sf), 8, merge="union").agg(
         F.sum("weight").alias("weight"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vecspark import session
 from vecspark.functions import kernels
 from vecspark.functions.basis import literal
-from vecspark.functions.uniform import uniform
+from vecspark.functions.uniform import local_uniform, uniform
 from vecspark.functions.vectors import get_metric, sq_euclidean
 from vecspark.operators.search import assign_nearest, centroid_arrays
 from vecspark.operators.stats import weighted_centroid
@@ -23,6 +23,10 @@ from vecspark.schema import CENTROIDS, dimension
 
 #: Seeding stores each point's distance to the seeds after this many rounds.
 SEED_ROUNDS_KEPT = 16
+#: Candidates that a round of parallel seeding draws, in multiples of k.
+OVERSAMPLE = 2.0
+#: Tasks in which the candidates of all tasks meet.
+MERGE_TASKS = 8
 
 
 def with_weight(points: DataFrame) -> DataFrame:
@@ -123,6 +127,105 @@ def _draw(state: DataFrame, fresh: np.ndarray, seed: int, round_: int):
             .agg(F.min(F.struct("t", "id", "vec", "weight")).alias("w")).first()["w"])
 
 
+def draw_candidates(points: DataFrame, centers: np.ndarray, n: int, seed: int, round_: int) -> pa.Table:
+    """``n`` points at once, far from ``centers`` more often: ``(t, id, vec, weight)``, in the order of ``t``.
+
+    The race of one draw with n winners: a point arrives at -ln(u) / (weight x squared distance to the nearest centre),
+    which is a draw without replacement. A task sends its n earliest; points on a centre never arrive.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(centers)
+    schema = pa.schema([("t", pa.float64()), ("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("weight", pa.float64())])
+
+    def earliest(table: pa.Table) -> pa.Table:
+        return table.sort_by([("t", "ascending"), ("id", "ascending")]).slice(0, n).combine_chunks()
+
+    def race(batches):
+        held, far = schema.empty_table(), shared.value
+        m = get_metric("euclidean")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, d = kernels.nearest(kernels.to_matrix(b.column(1)), far, m)
+            rate = b.column(2).to_numpy() * d * d
+            at = np.flatnonzero(rate > 0)
+            t = -np.log(b.column(3).to_numpy()[at]) / rate[at]
+            best = at[np.argsort(t, kind="stable")[:n]] if len(at) <= n else at[np.argpartition(t, n - 1)[:n]]
+            t = dict(zip(at.tolist(), t.tolist()))
+            some = b.take(pa.array(best))
+            held = earliest(pa.concat_tables([held, pa.table([pa.array([t[i] for i in best.tolist()], pa.float64()), some.column(0),
+                                                              some.column(1), some.column(2)], schema=schema)]))
+        yield from held.to_batches()
+
+    def again(batches):
+        held = schema.empty_table()
+        for b in batches:
+            held = earliest(pa.concat_tables([held, pa.Table.from_batches([b]).cast(schema)]))
+        yield from held.to_batches()
+
+    ddl = "t double, id bigint, vec array<double>, weight double"
+    drawn = points.select("id", "vec", "weight", uniform(seed, F.lit(round_), "id").alias("u")).mapInArrow(race, ddl)
+    # what all tasks send meets in a few before it comes to the driver
+    return earliest(drawn.repartition(MERGE_TASKS).mapInArrow(again, ddl).toArrow().cast(schema))
+
+
+def seed_parallel(points: DataFrame, k: int, seed: int = 0, *, oversample: float = OVERSAMPLE, rounds: int | None = None) -> DataFrame:
+    """Pick k starting points in a few passes, however large k is: ``(centroid_id, weight, vec, id)``.
+
+    The first point is drawn as in :func:`seed_kmeanspp`. Each of ``rounds`` rounds (by default the number of decimal digits of the
+    number of points) draws ``oversample * k`` candidates at once at the rates of a later draw there. The candidates
+    are then weighted by the points nearest to each, and k of them are drawn from these weights, one after the other, on the
+    driver; ``weight`` is that of the chosen point itself. Fewer than k distinct points give fewer seeds.
+    """
+    if k < 1 or oversample <= 0 or (rounds is not None and rounds < 1):
+        raise ValueError("k, oversample and rounds must be positive")
+    spark = points.sparkSession
+    pts = with_weight(points)
+    dim = dimension(pts)
+    head = weighted_centroid(pts, dim=dim).first()
+    rounds = rounds or max(2, len(str(pts.count())))
+    each = max(1, int(np.ceil(oversample * k)))
+    _check_size(1 + rounds * each, dim)
+    if len(pts.take(2)) < 2:
+        raise ValueError("seeding needs at least two points")
+    to_center = sq_euclidean("vec", literal(head["vec"]))
+    radius = pts.agg(F.sum(F.col("weight") * to_center)).first()[0]
+    first = _draw(pts.withColumn("near", F.lit(radius) + F.lit(head["weight"]) * to_center), np.zeros((0, dim)), seed, 0)
+    ids, own, vecs = [first["id"]], [first["weight"]], np.array([first["vec"]], dtype=float)
+    for r in range(1, rounds + 1):
+        more = draw_candidates(pts, vecs, each, seed, r)
+        if not more.num_rows:
+            break
+        ids += more.column("id").to_pylist()
+        own += more.column("weight").to_pylist()
+        vecs = np.vstack([vecs, kernels.to_matrix(more.column("vec"))])
+    _, mass, _ = ball_sums(pts, vecs)
+    at = weighted_seeds(vecs, mass, k, seed)
+    rows = [(i, float(own[j]), vecs[j].tolist(), ids[j]) for i, j in enumerate(at)]
+    return spark.createDataFrame(rows, "centroid_id int, weight double, vec array<double>, id bigint")
+
+
+def weighted_seeds(vecs: np.ndarray, weights: np.ndarray, k: int, seed: int) -> list[int]:
+    """Rows drawn one after the other by the law of :func:`seed_kmeanspp`, from a table on the driver."""
+    u = np.array([[local_uniform(seed, "reduce", r, i) for i in range(len(vecs))] for r in range(min(k, len(vecs)))])
+    center = (vecs * weights[:, None]).sum(0) / weights.sum()
+    near = kernels.paired_sqeuclidean(vecs, np.broadcast_to(center, vecs.shape))
+    rate = weights * ((weights * near).sum() + weights.sum() * near)
+    near, chosen = np.full(len(vecs), np.inf), []
+    for row in u:
+        with np.errstate(divide="ignore"):
+            t = np.where(rate > 0, -np.log(row) / rate, np.inf)
+        j = int(t.argmin())
+        if not np.isfinite(t[j]):
+            break
+        chosen.append(j)
+        near = np.minimum(near, kernels.paired_sqeuclidean(vecs, np.broadcast_to(vecs[j], vecs.shape)))
+        rate = weights * near
+    return chosen
+
+
+SEEDINGS = {"serial": seed_kmeanspp, "parallel": seed_parallel}
+
+
 def _gaps(vecs: np.ndarray) -> np.ndarray:
     """Distance of each centroid to its nearest neighbour; infinite for a single one."""
     k = len(vecs)
@@ -194,18 +297,23 @@ def _moved(vecs, sums, weights):
 
 
 def ball_kmeans(points: DataFrame, k: int, max_iter: int = 20, trim: float | None = 0.9,
-                correct_weights: bool = True, *, seeds: DataFrame | None = None, seed: int = 0) -> DataFrame:
+                correct_weights: bool = True, *, seeds: DataFrame | None = None, seed: int = 0,
+                seeding: str = "serial") -> DataFrame:
     """Trimmed k-means until no point changes its centroid: ``(centroid_id, weight, vec)``.
 
+    Without ``seeds`` it starts from :func:`seed_kmeanspp` (``seeding="serial"``, k passes) or :func:`seed_parallel`.
+
     A point counts only while it is closer to its centroid than ``trim`` x the
     distance from there to the next centroid. ``correct_weights`` finally sets
     each weight to that of all points assigned, outliers included.
     """
     if k < 1 or max_iter < 1:
         raise ValueError("k and max_iter must be positive")
+    if seeding not in SEEDINGS:
+        raise ValueError(f"seeding must be one of {sorted(SEEDINGS)}")
     spark = points.sparkSession
     pts = with_weight(points)
-    ids, vecs = centroid_arrays(seeds if seeds is not None else seed_kmeanspp(pts, k, seed))
+    ids, vecs = centroid_arrays(seeds if seeds is not None else SEEDINGS[seeding](pts, k, seed))
     _check_size(*vecs.shape)
     before, weights = None, np.zeros(len(vecs))
     for _ in range(max_iter):

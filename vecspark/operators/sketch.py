@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from vecspark import session
 from vecspark.functions import kernels
-from vecspark.functions.sketcher import Sketcher
+from vecspark.functions.sketcher import BATCH, Sketcher
 from vecspark.functions.uniform import uniform
 from vecspark.functions.vectors import get_metric
 from vecspark.operators.kmeans import ball_kmeans, with_weight
 from vecspark.plans.rank import with_rank
 from vecspark.schema import dimension
 
-#: Size of one shard when rows are sharded by hash, and of one group in a merge.
+#: Rows of one shard, about, when rows are sharded by content, and rows for each centroid there at least.
+SHARD_ROWS, ROWS_A_CENTROID = 1 << 16, 64
+#: Size of one group in a merge.
 SHARD_BYTES = 64 << 20
 
 _SCHEMA = ("kind string, shard bigint, no int, weight double, vec array<double>, "
@@ -57,6 +59,8 @@ class Sketch:
 
 
 def _rows(sk: Sketcher, shard: int) -> pa.Table:
+    if isinstance(sk, _Fed):
+        sk.finish()
     m = len(sk.weights)
     out = []
     if m:
@@ -84,12 +88,13 @@ def row_uniform(seed: int):
 
 def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float = 1.3,
            log_factor: float = 10.0, overshoot: float = 0.5, metric: str = "euclidean",
-           sharding: str = "split", shards: int | None = None, seed: int = 0) -> Sketch:
+           sharding: str = "content", shards: int | None = None, seed: int = 0) -> Sketch:
     """Reduce points to about ``kappa`` weighted centroids per shard in one pass.
 
-    ``split`` sketches every input partition where it lies, with no shuffle.
-    ``hash`` shards by id instead: the result then does not depend on how the
-    input is partitioned, at the price of moving it once.
+    ``content`` shards rows by a hash of all they hold, and each shard takes them in order: the result does not depend on how
+    the input is partitioned, nor on the number of cores, at the price of moving it once. The number of shards follows from
+    that of the rows, unless given. ``split`` sketches every input partition where it lies, with no shuffle. Either way rows
+    stream through a task batch by batch; only the centroids are held.
     """
     m = get_metric(metric)
     opts = {"beta": beta, "log_factor": log_factor, "overshoot": overshoot, "seed": seed}
@@ -104,17 +109,67 @@ def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float =
             yield from _rows(sk, shard).to_batches()
 
         return Sketch(session.materialize(pts.select("vec", "weight", "u").mapInArrow(run, _SCHEMA)))
-    if sharding != "hash":
-        raise ValueError("sharding must be 'split' or 'hash'")
+    if sharding != "content":
+        raise ValueError("sharding must be 'content' or 'split'")
     if shards is None:
-        size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-        shards = max(1, -(-size["n"] * (size["d"] or 1) * 8 // SHARD_BYTES))
-    keyed = pts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return Sketch(session.materialize(_grouped(keyed, kappa, cutoff, m, opts)))
+        shards = shard_count(points.count(), kappa)
+    keyed = pts.withColumn("shard", F.pmod(F.xxhash64("id", "vec", "weight"), F.lit(shards)))
+    return Sketch(session.materialize(_streamed(keyed, shards, kappa, cutoff, m, opts)))
+
+
+def shard_count(n: int, kappa: int) -> int:
+    """Shards for n rows: of 65,536 rows each, or as many more as make a sketch of kappa centroids worth it."""
+    return max(1, -(-n // max(SHARD_ROWS, ROWS_A_CENTROID * kappa)))
+
+
+def _streamed(keyed: DataFrame, shards: int, kappa: int, cutoff: float, metric, opts: dict) -> DataFrame:
+    """Sketch every shard of ``(shard, id, vec, weight, u)`` in id order. A task sorts its shards, which may spill, and feeds
+    them batch by batch to one sketch after the other, however large a shard is."""
+    def run(batches):
+        now, sk = None, None
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)])
+            for s, e in zip(edges, np.append(edges[1:], len(shard))):
+                if shard[s] != now:
+                    if sk is not None:
+                        yield from _rows(sk, now).to_batches()
+                    now, sk = int(shard[s]), _Fed(kappa, cutoff, metric, key=int(shard[s]), **opts)
+                part = b.slice(s, e - s)
+                sk.feed(kernels.to_matrix(part.column(1)), part.column(2).to_numpy(), part.column(3).to_numpy())
+        if sk is not None:
+            yield from _rows(sk, now).to_batches()
+
+    # with fewer shards than partitions some tasks stay idle; shards are numbered and dealt by number
+    tasks = max(1, min(shards, 4 * keyed.sparkSession.sparkContext.defaultParallelism, 1 << 16))
+    return (keyed.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "id", "u")
+            .select("shard", "vec", "weight", "u").mapInArrow(run, _SCHEMA))
+
+
+class _Fed(Sketcher):
+    """A sketcher that cuts its own batches, so that they do not depend on those in which rows arrive."""
+
+    def __init__(self, *args, **opts):
+        super().__init__(*args, **opts)
+        self.waiting, self.n = [], 0
+
+    def feed(self, *rows: np.ndarray) -> None:
+        self.waiting.append(rows)
+        self.n += len(rows[1])
+        if self.n >= BATCH:
+            x = [np.concatenate(c) for c in zip(*self.waiting)]
+            whole = self.n - self.n % BATCH
+            self.add(*(c[:whole] for c in x))
+            self.waiting, self.n = [tuple(c[whole:] for c in x)], self.n - whole
+
+    def finish(self) -> None:
+        if self.n:
+            self.add(*(np.concatenate(c) for c in zip(*self.waiting)))
+            self.waiting, self.n = [], 0
 
 
 def _grouped(keyed: DataFrame, kappa: int, cutoff: float, metric, opts: dict) -> DataFrame:
-    """Sketch every shard of ``(shard, id, vec, weight, u)`` in id order."""
+    """Sketch every group of ``(shard, id, vec, weight, u)`` in id order; groups are of bounded size."""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by([("id", "ascending"), ("u", "ascending")])
         shard = rows.column("shard")[0].as_py()
@@ -161,8 +216,8 @@ def sketch_size(k: int, n: int) -> int:
 
 def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cutoff: float = 1e-5,
                      max_iter: int = 20, trim: float | None = 0.9, merge: str = "ball",
-                     sharding: str = "split", shards: int | None = None, seed: int = 0,
-                     metric: str = "euclidean", n: int | None = None,
+                     sharding: str = "content", shards: int | None = None, seed: int = 0,
+                     metric: str = "euclidean", n: int | None = None, seeding: str = "parallel",
                      **opts) -> DataFrame:
     """Sketch every shard, then reduce the sketches: ``(centroid_id, weight, vec)``.
 
@@ -176,7 +231,7 @@ def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cut
         kappa = kappa or sketch_size(k, n)
     sk = sketch(points, kappa, cutoff, metric=metric, sharding=sharding, shards=shards, seed=seed, **opts)
     if merge == "ball":
-        return ball_kmeans(sk.centroids, k, max_iter, trim, seed=seed)
+        return ball_kmeans(session.materialize(sk.centroids), k, max_iter, trim, seed=seed, seeding=seeding)
     if merge == "streaming":
         sk = merge_sketches(sk, max(kappa, sketch_size(k, n)), limit=1, metric=metric, seed=seed, **opts)
     return (with_rank(sk.centroids, ["id"], "_pos")
