@@ -225,6 +225,30 @@ def test_stream_clusters(spark, tmp_path):
     assert abs(T.read_latest(spark, out).agg(F.sum("weight")).first()[0] - 4100) < 1e-9
 
 
+def test_stream_snapshots(spark, tmp_path):
+    """The folder stays as large as two snapshots over 20 batches, and a replayed batch writes the same rows."""
+    src, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    rng = np.random.default_rng(6)
+    mat = np.repeat(rng.normal(size=(8, 2)) * 9, 125, axis=0) + rng.normal(size=(1000, 2)) * 0.1
+    for k in range(20):
+        part = vectors(spark, mat[rng.permutation(1000)[:50]], [7] * 25 + list(range(k * 50, k * 50 + 25)))  # one id again and again
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: T.cluster_stream(spark.readStream.schema("id bigint, vec array<double>").option("maxFilesPerTrigger", 1)
+                                      .parquet(src), 12, shards=3, seed=1)
+    T.write_latest(stream(), out, log, available_now=True).awaitTermination()
+    folders = sorted(f for f in os.listdir(out) if not f.startswith("."))
+    assert folders == ["batch=18", "batch=19"] and not [f for f in os.listdir(out) if f.startswith(".fresh")]
+    said = lambda: sorted((r.id, tuple(r.vec), r.weight) for r in T.read_latest(spark, out).collect())
+    now = said()
+    assert abs(sum(w for _, _, w in now) - 1000) < 1e-9 and len({i >> 40 for i, _, _ in now}) == 3
+    os.remove(f"{log}/commits/19")  # as if the run had ended before the last batch was committed
+    if os.path.exists(f"{log}/commits/.19.crc"):
+        os.remove(f"{log}/commits/.19.crc")
+    T.write_latest(stream(), out, log, available_now=True).awaitTermination()
+    assert said() == now
+    assert T.read_latest(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_stream_assign(spark, tmp_path):
     pts = G.hypercube_points(spark, 3, 100).select("id", "vec")
     pts.write.parquet(str(tmp_path / "in"))

@@ -11,9 +11,14 @@ from vecspark.schema import points
 from vecspark.streaming import clusters as C
 
 
+#: input of one micro-batch
+TRIGGER_BYTES = 1 << 30
+
+
 def stream_of(spark, sf, name):
-    """The table as a file stream."""
-    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+    """The table as a file stream, a bounded part of it in each micro-batch."""
+    return (spark.readStream.schema(table(spark, sf, name).schema).option("maxBytesPerTrigger", str(TRIGGER_BYTES))
+            .parquet(f"{sf}/{name}.parquet*"))
 
 
 def drain(df, path, mode="append"):
@@ -35,7 +40,7 @@ def stream_assign(spark, sf):
 def _cluster_lines(spark, sf):
     s = points(stream_of(spark, sf, "lineitem"), "l_orderkey", columns=LINE_COLUMNS)
     path = scratch(spark)
-    q = C.write_latest(C.cluster_stream(s, 50, 0.01, shards=4), path, path + "-log", available_now=True)
+    q = C.write_latest(C.cluster_stream(s, 50, 0.01), path, path + "-log", available_now=True)
     q.awaitTermination()
     return path
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,11 +17,16 @@ from vecspark.operators.search import centroid_arrays, nearest_column
 
 STATE = ("vecs array<double>, weights array<double>, n_seen bigint, kappa int, cutoff double, "
          "collapses int")
+#: Shards of a stream: rows of one micro-batch and shard are sorted in one task, so a batch should be bounded (see the source's
+#: maxBytesPerTrigger) by about this many times what a task can hold.
+SHARDS = 64
+#: Snapshots kept: the current one, and the one before it for whoever still reads it and for a batch that is replayed.
+KEPT = 2
 OUTPUT = ("shard int, version bigint, no int, weight double, vec array<double>, n_seen bigint, "
           "kappa int, cutoff double")
 
 
-def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shards: int = 8,
+def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shards: int = SHARDS,
                    metric: str = "euclidean", seed: int = 0, beta: float = 1.3,
                    log_factor: float = 10.0, overshoot: float = 0.5) -> DataFrame:
     """Incremental clustering of a stream of ``(id, vec[, weight])``.
@@ -27,8 +34,8 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
     Rows are sharded by id; a shard's state is its centroids and three numbers,
     so it is bounded by kappa whatever has been seen. Every micro-batch emits
     the current centroids of the shards it touched. The random number of a row
-    depends on its id alone and a batch is taken in id order, so a replayed
-    batch leads to the same state. Write with output mode ``update``.
+    depends on what the row holds and a batch is taken in the order of id and that
+    number, so a replayed batch leads to the same state. Write with output mode ``update``.
     """
     m = get_metric(metric)
     weight = F.col("weight") if "weight" in stream.columns else F.lit(1.0)
@@ -43,7 +50,7 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
             vecs, weights, sk.n_seen, sk.kappa, sk.cutoff, sk.collapses = state.get
             sk.weights = np.array(weights, dtype=float)
             sk.vecs = np.array(vecs, dtype=float).reshape(len(sk.weights), -1)
-        rows = pd.concat(list(frames)).sort_values("id", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["id", "u"], kind="stable")
         sk.add(np.stack(rows["vec"].to_numpy()).astype(float), rows["weight"].to_numpy(float),
                rows["u"].to_numpy(float))
         state.update((sk.vecs.ravel().tolist(), sk.weights.tolist(), int(sk.n_seen), int(sk.kappa),
@@ -56,14 +63,40 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
         absorb, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots: those whose writer has left its mark."""
+    sc = spark.sparkContext
+    marks = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = marks.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(int(re.search(r"batch=(\d+)/_SUCCESS$", str(f.getPath()))[1]) for f in found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    gone = sc._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def write_latest(clusters: DataFrame, path: str, checkpoint: str, *, available_now: bool = False):
     """Keep the current centroids of every shard readable under ``path``.
 
-    Each micro-batch writes its own folder; :func:`read_latest` picks the
-    newest version of each shard. Rewriting a replayed batch is harmless.
+    Each micro-batch writes a snapshot: its own shards, and the others from the snapshot before it. A snapshot counts once the
+    writer's mark stands in its folder; then all but the last ``KEPT`` go. So the folder holds two versions of each shard
+    however long the stream runs, and a replayed batch writes the same snapshot again.
     """
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        fresh = f"{path}/.fresh-{number}"
+        batch.write.mode("overwrite").parquet(fresh)  # the state is advanced once, whatever reads it
+        now = spark.read.schema(OUTPUT).parquet(fresh)
+        before = [n for n in _snapshots(spark, path) if n < number]
+        if before:
+            old = spark.read.schema(OUTPUT).parquet(f"{path}/batch={before[-1]}")
+            now = now.unionByName(old.join(now.select("shard").distinct(), "shard", "left_anti").select(now.columns))
+        now.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for n in before[:len(before) + 1 - KEPT]:
+            _delete(spark, f"{path}/batch={n}")
+        _delete(spark, fresh)
 
     writer = (clusters.writeStream.outputMode("update").foreachBatch(store)
               .option("checkpointLocation", checkpoint))
@@ -72,13 +105,11 @@ def write_latest(clusters: DataFrame, path: str, checkpoint: str, *, available_n
     return writer.start()
 
 
-def read_latest(spark, path: str) -> DataFrame:
-    """Current clusters as weighted points ``(id, vec, weight)``, ready for ball k-means."""
-    rows = spark.read.schema(OUTPUT + ", batch int").parquet(path)
-    newest = rows.groupBy("shard").agg(F.max("version").alias("version"))
-    return (rows.join(newest, ["shard", "version"])
-            .select((F.col("shard").cast("bigint") * F.lit(1 << 40) + F.col("no")).alias("id"),
-                    "vec", "weight"))
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """Current clusters as weighted points ``(id, vec, weight)``, ready for ball k-means: the newest snapshot, nothing else."""
+    found = _snapshots(spark, path)
+    rows = spark.read.schema(OUTPUT).parquet(f"{path}/batch={found[-1]}") if found else spark.createDataFrame([], OUTPUT)
+    return rows.select((F.col("shard").cast("bigint") * F.lit(1 << 40) + F.col("no")).alias("id"), "vec", "weight")
 
 
 def assign_stream(stream: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
