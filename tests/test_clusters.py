@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows, vectors
+from vecspark.functions import kernels
+from vecspark.operators import stats as A
 from vecspark.functions import sketcher
 from vecspark.functions.vectors import get_metric
 from vecspark.operators import generate as G
@@ -206,3 +208,35 @@ def test_pipelines(spark, cube4, tmp_path):
     assert report["comparison"].agg(F.sum("n")).first()[0] == two.count()
     assert report["mean_label_spread"].first()[0] < 0.011
     assert report["streaming_closest"].count() == two.count()
+
+
+def test_moved_points_are_counted_in_one_pass(spark, monkeypatch):
+    """Few points look at the centroids of the round before, and the count is that of all."""
+    rng = np.random.default_rng(5)
+    mat = rng.normal(size=(500, 3)) + rng.integers(0, 4, (500, 1)) * 4
+    now, before = mat[:8] + 0.05, mat[:8]
+    near = lambda c: ((mat[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+    pts = K.with_weight(vectors(spark, mat)).repartition(3)
+    sums, weights, moved = K.ball_sums(pts, now, before=before)
+    assert moved == (near(now) != near(before)).sum() > 0
+    assert np.array_equal(weights, np.bincount(near(now), minlength=8))
+    at, d, other = kernels.nearest_and_next(mat, now, get_metric("euclidean"))
+    exact = np.sort(np.sqrt(((mat[:, None] - now[None]) ** 2).sum(-1)), axis=1)
+    assert (other <= exact[:, 1]).all() and np.allclose(other, exact[:, 1], atol=1e-5) and np.allclose(d, exact[:, 0])
+    assert np.isinf(kernels.nearest_and_next(mat, now[:1], get_metric("euclidean"))[2]).all()
+
+
+def test_wide_group_sums(spark, monkeypatch):
+    """Groups of two columns, null among their values, in blocks of few rows."""
+    monkeypatch.setattr(A, "SUM_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows_ = [(k, rng.normal(size=20).tolist(), float(k % 3 + 1), [None, "a", "b"][k % 3], k % 2) for k in range(150)]
+    df = spark.createDataFrame(rows_, "id bigint, vec array<double>, weight double, g string, h int").repartition(4)
+    got = {(r.g, r.h): r for r in A.weighted_centroid(df, ["g", "h"], first="id").collect()}
+    assert len(got) == 6
+    for (g, h), r in got.items():
+        mine = [x for x in rows_ if (x[3], x[4]) == (g, h)]
+        w = np.array([x[2] for x in mine])
+        assert np.allclose(r.vec, (np.array([x[1] for x in mine]) * w[:, None]).sum(0) / w.sum()) and r["_first"] == mine[0][0]
+        assert np.isclose(r.weight, w.sum())
+    assert A.weighted_centroid(df.limit(0), ["g"], dim=20).collect() == []

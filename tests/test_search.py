@@ -307,3 +307,16 @@ def test_global_rank(spark):
     assert (got["pos"] == got["id"]).all()
     by = rows(with_rank(df.repartition(5), [F.col("id").desc()], "pos", ["g"]), "g", "pos")
     assert by.query("g == 1")["id"].tolist() == list(range(997, 0, -3))
+
+
+def test_cosine_cells(spark):
+    """Unit vectors rule cells out; a vector without direction makes all blocks meet."""
+    rng = np.random.default_rng(12)
+    lumps = (rng.normal(size=(9, 5))[rng.integers(0, 9, 400)] + rng.normal(size=(400, 5)) * 0.05) * rng.uniform(0.1, 9, (400, 1))
+    df = vectors(spark, lumps)
+    want = rows(S.knn(df, df, 4, "cosine", layout="refs"))
+    assert rows(S.knn(df, df, 4, "cosine", layout="cells")).equals(want)
+    zero = df.union(vectors(spark, np.zeros((1, 5)), [900]))
+    assert S._with_unit(zero) is None
+    got = rows(S.knn(df, zero, 4, "cosine", layout="cells"))
+    assert got.equals(want)

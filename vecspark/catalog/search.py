@@ -66,6 +66,13 @@ def knn_cosine(spark, sf):
     return rounded(S.knn(e, e, 4, "cosine")).filter("rank > 1")
 
 
+@query("knn_cosine_partitioned", f"WITH {E}, {PAIR_DIST.format(dist='1 - list_cosine_similarity(q.vec, r.vec)')} " + top_sql(4))
+def knn_cosine_cells(spark, sf):
+    """Cells of unit vectors; rank 1 is the query itself."""
+    e = embeddings(spark, sf)
+    return rounded(S.knn(e, e, 4, "cosine", layout="cells"))
+
+
 @query("order_by_distance", EXACT + "SELECT query_id, neighbor_id, CAST(row_number() OVER (PARTITION BY query_id "
        "ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 20")
 def order_by_distance(spark, sf):

@@ -227,3 +227,15 @@ def nearest(vecs: np.ndarray, centers: np.ndarray, metric):
         best[s:e] = ci[first]
         out[s:e] = d[first]
     return best, out
+
+
+def nearest_and_next(vecs: np.ndarray, centers: np.ndarray, metric):
+    """As :func:`nearest`, and a lower bound on the distance to any other centre (infinite if there is none)."""
+    best, out = nearest(vecs, centers, metric)
+    other = np.full(len(vecs), np.inf)
+    if len(centers) > 1:
+        for s, e in chunks(len(vecs), len(centers)):
+            low = metric.pairwise(vecs[s:e], centers) - pair_slack(metric, vecs[s:e], centers)
+            low[np.arange(e - s), best[s:e]] = np.inf
+            other[s:e] = low.min(axis=1)
+    return best, out, other

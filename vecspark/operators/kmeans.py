@@ -240,9 +240,15 @@ def _gaps(vecs: np.ndarray) -> np.ndarray:
 def ball_sums(points: DataFrame, vecs: np.ndarray, *, before: np.ndarray | None = None,
               trim: float | None = None, metric: str = "euclidean"):
     """One pass: weighted sums and weights per centroid, and how many points
-    chose another centroid than under ``before``."""
+    chose another centroid than under ``before``.
+
+    No centroid is nearer than the next one now less the furthest that any has moved, so a point whose lead
+    exceeds what both could have moved chose the same one before; only the others are compared with ``before``.
+    """
     k, dim = vecs.shape
     m = get_metric(metric)
+    step = None if before is None or not m.triangle else m.paired(vecs, before)
+    slack = 0.0 if step is None else 1e-9 * (1.0 + float(np.abs(vecs).max(initial=0.0)))
     reach = np.full(k, np.inf) if trim is None else _gaps(vecs) * trim
     shared = points.sparkSession.sparkContext.broadcast((vecs, before, reach))
 
@@ -253,8 +259,14 @@ def ball_sums(points: DataFrame, vecs: np.ndarray, *, before: np.ndarray | None
             if not b.num_rows:
                 continue
             x, w = kernels.to_matrix(b.column(0)), b.column(1).to_numpy()
-            at, d = kernels.nearest(x, now, m)
-            moved += len(at) if old is None else int((kernels.nearest(x, old, m)[0] != at).sum())
+            if old is None:
+                at, d = kernels.nearest(x, now, m)
+                moved += len(at)
+            else:
+                at, d, other = kernels.nearest_and_next(x, now, m)
+                close = np.ones(len(at), bool) if step is None else ~(d + step[at] + slack < other - step.max())
+                if close.any():
+                    moved += int((kernels.nearest(x[close], old, m)[0] != at[close]).sum())
             keep = d < far[at]
             at, x, w = at[keep], x[keep], w[keep]
             np.add.at(weights, at, w)
@@ -312,7 +324,7 @@ def ball_kmeans(points: DataFrame, k: int, max_iter: int = 20, trim: float | Non
     if seeding not in SEEDINGS:
         raise ValueError(f"seeding must be one of {sorted(SEEDINGS)}")
     spark = points.sparkSession
-    pts = with_weight(points)
+    pts = session.materialize(with_weight(points))  # read in every round, computed once
     ids, vecs = centroid_arrays(seeds if seeds is not None else SEEDINGS[seeding](pts, k, seed))
     _check_size(*vecs.shape)
     before, weights = None, np.zeros(len(vecs))
@@ -334,7 +346,7 @@ def lloyd_kmeans(points: DataFrame, initial: DataFrame, max_iter: int = 10,
 
     Returns the centroids and each point with its final centroid.
     """
-    pts = with_weight(points)
+    pts = session.materialize(with_weight(points))
     ids, vecs = centroid_arrays(initial)
     _check_size(*vecs.shape)
     weights = np.zeros(len(vecs))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vecspark import session
 from vecspark.functions import kernels
-from vecspark.functions.vectors import Metric, get_metric
+from vecspark.functions.vectors import Metric, get_metric, norm, normalize
 from vecspark.plans.blocks import PairJob, Space, fetch, pair_blocks, unique_ids
 from vecspark.schema import NEIGHBORS, dimension
 
@@ -63,11 +63,20 @@ def _space(metric: Metric, k: int) -> Space | None:
     if metric.name in ("euclidean", "sqeuclidean"):
         return Space("vec", kernels.pairwise_euclidean, kernels.slack_euclidean,
                      hyperplane=True, depth=k)
+    if metric.name == "cosine":  # orders references as the Euclidean distance between unit vectors does
+        return Space("_unit", kernels.pairwise_euclidean, kernels.slack_euclidean, hyperplane=True, depth=k, derive=_with_unit)
     if metric.triangle:
         return Space("vec", metric.pairwise, lambda q, r: 1e-9, depth=k)
     return None
 
 
+def _with_unit(rows: DataFrame) -> DataFrame | None:
+    """Rows with their unit vectors; none if some vector has no direction."""
+    if not rows.filter((norm("vec") == 0) | F.isnan(norm("vec")) | (norm("vec") == float("inf"))).isEmpty():
+        return None
+    return rows.withColumn("_unit", normalize("vec"))
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str | Metric = "euclidean",
         *, layout: str = "auto") -> DataFrame:
     """The k nearest references of every query, by exact distance.

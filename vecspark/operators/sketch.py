@@ -231,7 +231,7 @@ def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cut
         kappa = kappa or sketch_size(k, n)
     sk = sketch(points, kappa, cutoff, metric=metric, sharding=sharding, shards=shards, seed=seed, **opts)
     if merge == "ball":
-        return ball_kmeans(session.materialize(sk.centroids), k, max_iter, trim, seed=seed, seeding=seeding)
+        return ball_kmeans(sk.centroids, k, max_iter, trim, seed=seed, seeding=seeding)
     if merge == "streaming":
         sk = merge_sketches(sk, max(kappa, sketch_size(k, n)), limit=1, metric=metric, seed=seed, **opts)
     return (with_rank(sk.centroids, ["id"], "_pos")

@@ -78,6 +78,8 @@ class Space:
     hyperplane: bool = False
     #: how many nearest references a query needs
     depth: int = 1
+    #: adds ``column`` to rows; None where it would not be a metric space for them
+    derive: object = None
 
 
 def batch_of(out: dict, names: list[str], types: list) -> pa.RecordBatch:
@@ -96,7 +98,7 @@ def arrow_types(spark, schema: str):
     return [f.name for f in st], [to_arrow_type(f.dataType) for f in st]
 
 
-def _regroup(batches, rows: int):
+def regroup(batches, rows: int):
     """Join small Arrow batches into tables of about ``rows`` rows."""
     held, n = [], 0
     for b in batches:
@@ -198,7 +200,7 @@ def _queries_to_refs(queries, refs, job, dim):
 
     def search(batches):
         held = None
-        for table in _regroup(batches, rows):
+        for table in regroup(batches, rows):
             out = job.run(shared.value, job.prepare(columns_of(table)))
             held = out if held is None else job.merge([held, out])
         if held is not None:
@@ -210,6 +212,12 @@ def _queries_to_refs(queries, refs, job, dim):
 def _cells(queries, refs, job, dim, space):
     spark = queries.sparkSession
     names, types = arrow_types(spark, job.schema)
+    if space is not None and space.derive is not None:
+        derived = space.derive(queries), space.derive(refs)
+        if None in derived:
+            space = None
+        else:
+            queries, refs = derived
     if space is None:
         celled = refs.withColumn("cell", F.lit(0))
         visiting = queries.withColumn("cell", F.lit(0))
