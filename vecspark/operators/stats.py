@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark import session
 from vecspark.functions import kernels
 from vecspark.functions.basis import literal
 from vecspark.functions.vectors import sq_euclidean
@@ -22,6 +24,8 @@ from vecspark.session import materialize
 #: Up to this dimension one aggregate column per coordinate beats exploding rows
 #: (at 64 dimensions exploding was measured a third faster).
 WIDE = 16
+#: Buckets of a histogram, rows of a bucket that are put in order, and bytes that a group's wanted ranks may take.
+BINS, SMALL_CELL, GROUP_BYTES = 1024, 1 << 14, 2048
 #: Rows of a block whose groups are summed together.
 SUM_ROWS = 1 << 15
 
@@ -192,9 +196,11 @@ def summary_quartiles(df: DataFrame, col: str, by: list[str] | str = (), *,
                       accuracy: int | None = None) -> DataFrame:
     """Count, mean, deviation, least value, quartiles and greatest value of a column.
 
-    Exact quartiles (interpolated) are read off global ranks, so no group has
-    to fit one task. With ``accuracy`` they come from a mergeable summary
-    instead, whose rank error is at most rows / accuracy.
+    Exact quartiles (interpolated) come from counting: a histogram between the least and the greatest value names the
+    buckets that hold the wanted ranks, these are cut again, and once a bucket is small its rows are put in order. No
+    pass sorts or gathers a group, whatever its size. Without finite values throughout, or with very many groups, they are
+    read off global ranks instead. With ``accuracy`` they come from a mergeable summary, whose rank error is at
+    most rows / accuracy.
     """
     by = [by] if isinstance(by, str) else list(by)
     shares = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -203,21 +209,70 @@ def summary_quartiles(df: DataFrame, col: str, by: list[str] | str = (), *,
     if accuracy is not None:
         out = rows.groupBy(*by).agg(*base, F.percentile_approx("_x", shares, accuracy).alias("_q"))
         return out.select(*by, "n", "mean", "sd", *[F.col("_q")[i].alias(f"q{i}") for i in range(5)])
-    moments = materialize(rows.groupBy(*by).agg(*base))
-    ranked = with_rank(rows.withColumn("_tie", F.monotonically_increasing_id()), ["_x", "_tie"], "_pos", by)
+    moments = materialize(rows.groupBy(*by).agg(*base, F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
     spot = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.col("n") - 1))
-    wanted = (moments.select(*by, F.posexplode(spot).alias("_i", "_at"))
+    wanted = (moments.filter("n > 0").select(*by, F.posexplode(spot).alias("_i", "_at"))
               .select(*by, "_i", F.explode(F.array(
                   F.struct(F.floor("_at").alias("_pos"), (1 - (F.col("_at") - F.floor("_at"))).alias("_w")),
                   F.struct((F.floor("_at") + 1).alias("_pos"), (F.col("_at") - F.floor("_at")).alias("_w")),
               )).alias("_s")).select(*by, "_i", "_s._pos", "_s._w").filter("_w > 0"))
-    # matched on position, so a crowded group does not crowd a task
-    found = ranked.join(wanted, [*by, "_pos"]).groupBy(*by).agg(
+    size = moments.agg(F.count("*").alias("groups"), F.max(F.col("_hi") - F.col("_lo")).alias("span")).first()
+    if size["groups"] * GROUP_BYTES > session.BROADCAST_BYTES or not np.isfinite(size["span"] or 0.0):
+        ranked = with_rank(rows.withColumn("_tie", F.monotonically_increasing_id()), ["_x", "_tie"], "_pos", by)
+        # matched on position, so a crowded group does not crowd a task
+        found = _beside(ranked, wanted, by, lambda r: F.col("_pos") == r["_pos"], ["_i", "_w"])
+    else:
+        found = _selected(rows, moments, wanted, by)
+    found = found.groupBy(*by).agg(
         *[F.sum(F.when(F.col("_i") == i, F.col("_x") * F.col("_w"))).alias(f"q{i}") for i in range(5)])
-    if by:
-        return moments.join(found, by)
-    one = F.lit(0).alias("_one")
-    return moments.select("*", one).join(found.select("*", one), "_one").drop("_one")
+    return _beside(moments.drop("_lo", "_hi"), found, by, lambda r: F.lit(True), [f"q{i}" for i in range(5)], "left")
+
+
+def _beside(rows: DataFrame, small: DataFrame, by: list[str], on, take: list[str], how: str = "inner") -> DataFrame:
+    """Join on the groups, null being one of them, and on a condition; the columns of ``rows`` and those taken of ``small``."""
+    other = small.select(*[F.col(c).alias(f"_r_{c}") for c in small.columns])
+    right = {c: F.col(f"_r_{c}") for c in small.columns}
+    rule = on(right)
+    for c in by:
+        rule = rule & F.col(c).eqNullSafe(right[c])
+    return rows.join(F.broadcast(other), rule, how).select(*rows.columns, *[right[c].alias(c) for c in take])
+
+
+def _selected(rows: DataFrame, moments: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, _i, _w, _x)``: the value at each wanted rank, by counting passes.
+
+    A cell is a stretch of values (``_lo`` to ``_hi``, both among the values) with ``_below`` rows before it. A pass counts the
+    buckets of the cells that hold a wanted rank and are still large; the bounds of a bucket are its own least and
+    greatest value, so every pass parts at least these two.
+    """
+    cells, done, small = moments.filter("n > 0").select(*by, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below")), [], []
+    before = Window.partitionBy(*by, "_lo").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        inside = _beside(rows, cells, by, lambda r: F.col("_x").between(r["_lo"], r["_hi"]), ["_lo", "_hi", "_below"])
+        width = F.col("_hi") - F.col("_lo")
+        bucket = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+        counted = inside.groupBy(*by, "_lo", "_below", bucket.alias("_bucket")).agg(
+            F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+        counted = counted.select(*by, (F.col("_below") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_below"),
+                                 "_n", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"))
+        held = materialize(_beside(wanted, counted, by, lambda r: (F.col("_pos") >= r["_below"]) & (F.col("_pos") < r["_below"] + r["_n"]),
+                                   ["_lo", "_hi", "_below", "_n"]))
+        done.append(held.filter("_lo = _hi").select(*by, "_i", "_w", F.col("_lo").alias("_x")))
+        small.append(held.filter(f"_lo < _hi AND _n <= {SMALL_CELL}"))
+        left = held.filter(f"_lo < _hi AND _n > {SMALL_CELL}")
+        if left.isEmpty():
+            break
+        wanted = left.select(*by, "_i", "_pos", "_w")
+        cells = left.select(*by, "_lo", "_hi", "_below").distinct()
+    out = functools.reduce(DataFrame.unionByName, done)
+    rest = functools.reduce(DataFrame.unionByName, small)
+    if not rest.isEmpty():  # at most SMALL_CELL rows of a cell are put in order
+        inside = _beside(rows, rest.select(*by, "_lo", "_hi", "_below").distinct(), by,
+                         lambda r: F.col("_x").between(r["_lo"], r["_hi"]), ["_lo", "_below"])
+        order = Window.partitionBy(*by, "_lo").orderBy("_x")
+        placed = inside.withColumn("_pos", F.col("_below") + F.row_number().over(order) - 1)
+        out = out.unionByName(_beside(placed, rest, by, lambda r: F.col("_pos") == r["_pos"], ["_i", "_w"]).select(*by, "_i", "_w", "_x"))
+    return out
 
 
 def total_weight(df: DataFrame) -> DataFrame:
