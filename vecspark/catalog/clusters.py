@@ -11,9 +11,10 @@ from vecspark.operators import classify as C
 from vecspark.operators import generate as G
 from vecspark.operators import kmeans as K
 from vecspark.operators import sketch as S
-from vecspark.operators.search import centroid_arrays
+from vecspark.operators.search import assign_nearest, centroid_arrays
 from vecspark.operators.stats import cluster_counts, label_distribution, label_means, summarize_centroids
 from vecspark.plans import pipelines as P
+from vecspark.session import materialize
 from vecspark.sources import io
 
 
@@ -231,26 +232,51 @@ def centroid_distance_features(spark, sf):
     return long_vector(f, "id")
 
 
-def _trained(spark, sf):
-    e = embeddings(spark, sf)
-    centers = label_means(e, "label")
-    model, labels = C.train_on_distances(e, "label", centers, max_iter=20)
-    return C.score(model, e, "label", labels, centers), model
+def _held_out_sql(seed):
+    return f"{sql_uniform(str(seed), chr(39) + 'held out' + chr(39), 'id')} < 0.25"
+
+
+def _trained(spark, sf, max_iter):
+    """A model trained on three quarters of the rows, and what it says of the others."""
+    e, held = embeddings(spark, sf), C.held_out(4)
+    train = e.filter(~held)
+    centers = label_means(train, "label")
+    model, labels = C.train_on_distances(train, "label", centers, max_iter=max_iter)
+    return model, lambda m: C.score(m, e.filter(held), "label", labels, centers)
 
 
 @query("train_and_score")
 def train_and_score(spark, sf):
-    return _trained(spark, sf)[0]
+    model, said = _trained(spark, sf, 20)
+    return said(model)
+
+
+@query("train_and_score_rows", f"WITH {E} SELECT id, true AS scored FROM e WHERE {_held_out_sql(4)}")
+def train_and_score_rows(spark, sf):
+    """Each row that was held out is scored once: probabilities of one in all, the greatest at the prediction."""
+    model, said = _trained(spark, sf, 5)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return said(model).select("id", ((F.abs(total - 1) < 1e-9) & (F.element_at("scores", F.col("predicted") + 1) == F.col("max_score"))
+                                     & (F.col("log_likelihood") <= 0)).alias("scored"))
 
 
 @query("model_save_load")
 def model_save_load(spark, sf):
-    e = embeddings(spark, sf)
-    centers = label_means(e, "label")
-    model, labels = C.train_on_distances(e, "label", centers, max_iter=5)
+    model, said = _trained(spark, sf, 5)
     path = scratch(spark)
     C.save_model(model, path)
-    return C.score(C.load_model(path), e, "label", labels, centers).select("id", "predicted")
+    return said(C.load_model(path)).select("id", "predicted")
+
+
+@query("model_save_load_same", f"WITH {E} SELECT id, true AS same FROM e WHERE {_held_out_sql(4)}")
+def model_save_load_same(spark, sf):
+    """A model that was saved and read again says of every row what it said before."""
+    model, said = _trained(spark, sf, 5)
+    path = scratch(spark)
+    C.save_model(model, path)
+    before = said(model).select("id", F.col("predicted").alias("p"), F.col("scores").alias("s"))
+    return (said(C.load_model(path)).join(before, "id")
+            .select("id", ((F.col("predicted") == F.col("p")) & (F.col("scores") == F.col("s"))).alias("same")))
 
 
 @query("confusion_report", f"WITH {E}, {MEANS}, {NEAR} SELECT ids.centroid_id AS actual, near.centroid_id AS predicted, count(*) AS n "
@@ -304,3 +330,85 @@ def normal_points(spark, sf):
 def cluster_generated(spark, sf):
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return cluster_counts(G.hypercube_at(ids, 3), K.ball_kmeans(G.hypercube_at(ids, 3), 8, 10, seed=5))
+
+
+BLOBS = [([0.0, 0.0, 0.0], 100), ([6.0, 0.0, 0.0], 1000), ([0.0, 6.0, 0.0], 1000), ([0.0, 0.0, 6.0], 1)]
+_BLOB = "CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey < 1100 THEN 1 WHEN o_orderkey < 2100 THEN 2 ELSE 3 END"
+
+
+@query("blob_points", f"SELECT o_orderkey AS id, {_BLOB} AS blob, "
+       + _gen(lambda j: f"(CASE WHEN {_BLOB} = {j + 1} THEN 6.0 ELSE 0.0 END) + 0.5 * " + sql_gaussian("9", "o_orderkey", str(j)))
+       + " FROM orders")
+def blob_points(spark, sf):
+    """A small blob at the origin and one on each axis."""
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return G.blobs_at(ids, BLOBS, 0.5, 9).select("id", "blob", *[r6(F.col("vec")[j]).alias(f"v{j}") for j in range(3)])
+
+
+_CORNERS = "SELECT CAST(o_orderkey % 8 AS INTEGER) AS corner, CAST(count(*) AS DOUBLE) AS weight, true AS close FROM orders GROUP BY 1"
+
+
+def by_corner(centroids, spark):
+    """Weight of the centroids nearest to each corner of the cube, and whether each of them is within 0.05 of it."""
+    rows = centroids.select(F.monotonically_increasing_id().alias("id"), "vec", "weight")
+    near = assign_nearest(materialize(rows), G.hypercube_corners(spark, 3))
+    return near.groupBy(F.col("centroid_id").alias("corner")).agg(
+        F.sum("weight").alias("weight"), F.max(F.col("distance")).alias("far")).select("corner", "weight", (F.col("far") < 0.05).alias("close"))
+
+
+def cube(spark, sf):
+    return G.hypercube_at(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), 3)
+
+
+@query("cluster_at_scale_cube", _CORNERS)
+def cluster_at_scale_cube(spark, sf):
+    """Sketch, merge and ball k-means find each corner with the weight of its points."""
+    return by_corner(S.cluster_at_scale(cube(spark, sf), 8, kappa=60, cutoff=0.01, trim=None, max_iter=30), spark)
+
+
+@query("sketch_cube", _CORNERS)
+def sketch_cube(spark, sf):
+    """Every centroid of the sketch stands for points of one corner, as the cutoff is far below its side."""
+    return by_corner(S.sketch(cube(spark, sf), 300, 0.01).centroids, spark)
+
+
+@query("cluster_merge_streaming_cube", _CORNERS)
+def merge_streaming_cube(spark, sf):
+    return by_corner(S.cluster_at_scale(cube(spark, sf), 8, kappa=300, cutoff=0.01, merge="streaming"), spark)
+
+
+_D = ("m2 AS (SELECT centroid_id, t.i, avg(vec[t.i]) AS x FROM near, range(1, 65) t(i) GROUP BY ALL), "
+      "d AS (SELECT centroid_id, list(x ORDER BY i) AS vec FROM m2 GROUP BY centroid_id), "
+      "near2 AS (SELECT e.id, e.label, e.vec, arg_min(d.centroid_id, (list_distance(e.vec, d.vec), d.centroid_id)) AS centroid_id FROM e, d GROUP BY ALL)")
+_GIVEN = f"WITH {E}, {MEANS}, {NEAR}, {_D}"
+
+
+def _reports(near: str, c: str) -> dict[str, str]:
+    return {
+        "counts": f"SELECT {c}.centroid_id, count({near}.id) AS n FROM {c} LEFT JOIN {near} USING (centroid_id) GROUP BY ALL",
+        "spread": f", s AS (SELECT centroid_id, t.i, stddev_pop(vec[t.i]) AS sd FROM {near}, range(1, 65) t(i) GROUP BY ALL) "
+                  f"SELECT centroid_id, {s6('avg(sd)')} AS spread FROM s GROUP BY centroid_id",
+        "labels": f", k AS (SELECT centroid_id, label, count(*) AS n FROM {near} GROUP BY ALL) "
+                  "SELECT centroid_id, label, n, CAST(sum(n) OVER w AS BIGINT) AS cluster_size, count(*) OVER w AS labels, "
+                  f"{s6('n / sum(n) OVER w')} AS share FROM k WINDOW w AS (PARTITION BY centroid_id)",
+        "closest": f"SELECT x.centroid_id, arg_min(c.label, (list_distance(x.vec, c.vec), c.centroid_id)) AS label, "
+                   f"{s6('min(list_distance(x.vec, c.vec))')} AS distance FROM {c} x, c GROUP BY x.centroid_id"}
+
+
+def _report(name: str, sql: str) -> None:
+    @query(f"evaluate_{name}", f"{_GIVEN}{'' if sql.startswith(',') else ' '}{sql}")
+    def run(spark, sf):
+        """The report on two given clusterings: the label means, and those moved by one round."""
+        e = embeddings(spark, sf)
+        means = label_means(e, "label")
+        out = P.evaluate_clustering(e, "label", 10, ball=means, streaming=K.ball_kmeans_step(e, means, None))[name]
+        return out.withColumns({c: r6(c) for c in ("spread", "share", "distance", "mean_spread") if c in out.columns})
+
+
+for _kind, _near, _c in (("ball", "near", "c"), ("streaming", "near2", "d")):
+    for _part, _sql in _reports(_near, _c).items():
+        _report(f"{_kind}_{_part}", _sql)
+_report("comparison", "SELECT c.centroid_id, count(h.a) AS n FROM c LEFT JOIN (SELECT d.centroid_id AS a, arg_min(c.centroid_id, "
+        "(list_distance(d.vec, c.vec), c.centroid_id)) AS centroid_id FROM d, c GROUP BY d.centroid_id) h USING (centroid_id) GROUP BY c.centroid_id")
+_report("mean_label_spread", ", sl AS (SELECT label, t.i, stddev_pop(vec[t.i]) AS sd FROM e, range(1, 65) t(i) GROUP BY ALL), "
+        f"g AS (SELECT label, avg(sd) AS spread FROM sl GROUP BY label) SELECT {s6('avg(spread)')} AS mean_spread FROM g")

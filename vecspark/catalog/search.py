@@ -390,3 +390,29 @@ def shuffled(spark, sf):
 def search_by_method(spark, sf):
     e = embeddings(spark, sf)
     return rounded(S.search(e, e, 2, method="exact"))
+
+
+@query("search_by_method_projection", ORACLE["knn_projection"])
+def search_by_method_projection(spark, sf):
+    e = embeddings(spark, sf)
+    return rounded(S.search(e, e, 5, "projection", search_size=10, basis=BASIS))
+
+
+@query("search_by_method_lsh", ORACLE["knn_lsh_raised"])
+def search_by_method_lsh(spark, sf):
+    e = embeddings(spark, sf)
+    return rounded(S.search(e, e, 5, "lsh", search_size=40, basis=HASH_BASIS))
+
+
+@query("search_by_method_banded", ORACLE["knn_lsh_banded"])
+def search_by_method_banded(spark, sf):
+    e = embeddings(spark, sf)
+    return rounded(S.search(e, e, 5, "banded", search_size=10, basis=HASH_BASIS))
+
+
+@query("search_by_method_registered", EXACT + top_sql(2))
+def search_by_method_registered(spark, sf):
+    """A searcher of the user's own: exact search, its result cut to the two nearest."""
+    S.register_searcher("two_nearest", lambda q, r, k, **o: S.knn(q, r, k, **o).filter("rank <= 2"))
+    e = embeddings(spark, sf)
+    return rounded(S.search(e, e, 3, "two_nearest"))

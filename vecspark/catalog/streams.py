@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecspark.catalog.registry import E, LINE_COLUMNS, MEANS, NEAR, embeddings, lines, query, r6, s6, scratch, table
+from vecspark.catalog.clusters import by_corner
+from vecspark.catalog.registry import E, LINE_COLUMNS, MEANS, NEAR, ORACLE, embeddings, lines, query, r6, s6, scratch, table
+from vecspark.operators.generate import hypercube_at
 from vecspark.operators.kmeans import ball_kmeans
 from vecspark.operators.stats import label_means
 from vecspark.schema import points
@@ -55,6 +57,15 @@ def stream_weight(spark, sf):
     return C.read_latest(spark, _cluster_lines(spark, sf)).agg(F.sum("weight").alias("weight"))
 
 
+@query("stream_cluster_cube", ORACLE["sketch_cube"])
+def stream_cluster_cube(spark, sf):
+    """A stream of points around the corners of a cube: each corner's centroids hold the weight of its points."""
+    ids = stream_of(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    path = scratch(spark)
+    C.write_latest(C.cluster_stream(hypercube_at(ids, 3), 300, 0.01, shards=8), path, path + "-log", available_now=True).awaitTermination()
+    return by_corner(C.read_latest(spark, path), spark)
+
+
 @query("stream_then_ball")
 def stream_then_ball(spark, sf):
     return ball_kmeans(C.read_latest(spark, _cluster_lines(spark, sf)), 8, 10)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
+from vecspark.functions.uniform import uniform
 from vecspark.operators.search import centroid_arrays
 from vecspark.operators.stats import label_ids
 
@@ -36,6 +37,11 @@ def centroid_distance_features(vec: str | Column, centroids: DataFrame | tuple)
 index_labels = label_ids
 
 
+def held_out(seed: int, share: float = 0.25, key: str = "id") -> Column:
+    """True for a share of the rows, by a draw that follows from seed and id: those a model is judged on, not trained on."""
+    return uniform(seed, F.lit("held out"), key) < share
+
+
 def with_features(points: DataFrame, centroids: DataFrame | tuple) -> DataFrame:
     return points.withColumn("features", array_to_vector(centroid_distance_features("vec", centroids)))
 

@@ -50,9 +50,9 @@ def normal_points(spark: SparkSession, n: int, d: int, seed: int = 0) -> DataFra
     return normal_at(spark.range(n), d, seed)
 
 
-def blob_points(spark: SparkSession, blobs: list[tuple[list[float], int]], spread: float = 1.0,
-                seed: int = 0) -> DataFrame:
-    """Normal points around given centres: ``[(centre, members), ...]``."""
+def blobs_at(ids: DataFrame, blobs: list[tuple[list[float], int]], spread: float = 1.0, seed: int = 0) -> DataFrame:
+    """For every id, a normal point around the centre whose stretch of ids holds it: ``[(centre, members), ...]``, from 0 on.
+    The last centre also takes all ids beyond."""
     d = len(blobs[0][0])
     ends, total = [], 0
     for _, n in blobs:
@@ -62,11 +62,17 @@ def blob_points(spark: SparkSession, blobs: list[tuple[list[float], int]], sprea
     for i in range(len(blobs) - 2, -1, -1):
         blob = F.when(F.col("id") < ends[i], F.lit(i)).otherwise(blob)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c, _ in blobs])
-    rows = spark.range(total).withColumn("blob", blob.cast("int")).withColumn("_c", centres[F.col("blob")])
+    rows = ids.withColumn("blob", blob.cast("int")).withColumn("_c", centres[F.col("blob")])
     vec = F.zip_with("_c", _noise(d, seed, spread), lambda c, z: c + z)
     return rows.select("id", vec.alias("vec"), F.lit(1.0).alias("weight"), "blob")
 
 
+def blob_points(spark: SparkSession, blobs: list[tuple[list[float], int]], spread: float = 1.0,
+                seed: int = 0) -> DataFrame:
+    """Normal points around given centres: ``[(centre, members), ...]``."""
+    return blobs_at(spark.range(sum(n for _, n in blobs)), blobs, spread, seed)
+
+
 def axis_blobs(spark: SparkSession, d: int = 10, members: int = 1000, origin: int = 100,
                axes: int = 5, at: float = 6.0, spread: float = 1.0, seed: int = 0) -> DataFrame:
     """A blob at the origin and one on each of the first ``axes`` axes."""

@@ -26,9 +26,15 @@ def clear(rows: DataFrame) -> DataFrame:
     return rows.filter(F.lit(False))
 
 
+#: A first stretch of more rows than this is told by ranks; a shorter one by each task's own first rows.
+TAKEN_AT_ONCE = 1 << 14
+
+
 def take_first(rows: DataFrame, n: int) -> DataFrame:
-    """First ``n`` rows by id."""
-    return rows.orderBy("id").limit(n)
+    """First ``n`` rows by id; a long stretch does not pass through one task."""
+    if n <= TAKEN_AT_ONCE:
+        return rows.orderBy("id").limit(n)
+    return with_rank(rows, ["id"], "_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
 def skip_first(rows: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,11 +118,25 @@ def within(queries: DataFrame, refs: DataFrame, eps: float, metric: str | Metric
     return knn(queries, refs, 1, metric, layout=layout).filter(F.col("distance") < eps)
 
 
+_searchers: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_searcher(name: str, fn: Callable[..., DataFrame]) -> None:
+    """Makes ``fn(queries, refs, k, **options)`` known to :func:`search` under a name; the built-in names are taken."""
+    if name in ("exact", "projection", "lsh", "banded"):
+        raise ValueError(f"{name!r} is built in")
+    _searchers[name] = fn
+
+
 def search(queries: DataFrame, refs: DataFrame, k: int, method: str = "exact", **options) -> DataFrame:
-    """Search by method name: ``exact``, ``projection`` or ``lsh``."""
-    from vecspark.operators.hash_search import knn_lsh
+    """Search by method name: ``exact``, ``projection``, ``lsh``, ``banded``, or one that was registered."""
+    from vecspark.operators.hash_search import build_band_index, knn_banded, knn_lsh
     from vecspark.operators.projection_search import knn_projection
-    methods = {"exact": knn, "projection": knn_projection, "lsh": knn_lsh}
+
+    def banded(queries, refs, k, search_size=100, metric="euclidean", **index):
+        return knn_banded(queries, build_band_index(refs, **index), k, search_size, metric)
+
+    methods = {"exact": knn, "projection": knn_projection, "lsh": knn_lsh, "banded": banded, **_searchers}
     if method not in methods:
         raise ValueError(f"unknown method {method!r}; known: {sorted(methods)}")
     return methods[method](queries, refs, k, **options)
