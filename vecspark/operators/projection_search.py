@@ -132,16 +132,21 @@ def _slices_within(index: ProjectionIndex):
 
 
 def _answered(asked: DataFrame, index: ProjectionIndex, columns: list[str], small: bool, run, merge, schema: str,
-              without: DataFrame | None = None) -> DataFrame:
+              without: DataFrame | None = None, span: int | None = None) -> DataFrame:
     """Bring queries to the slices they ask, ``asked`` by ``(p, part)``, and answer them there.
 
     Few queries travel to the slices, which stay where they are stored. Many meet them in one cogroup; a slice
-    asked by very many queries (copies of one query, say) is answered in several lanes. Slices nobody asks are not read.
+    asked by very many queries (copies of one query, say) is answered in several lanes. Slices nobody asks are not read,
+    nor are, with ``span``, stretches of so many positions that lie in no query's window handed on.
     """
     spark = asked.sparkSession
     count = {(r["p"], r["part"]): r["count"] for r in asked.groupBy("p", "part").count().collect()}
     lanes = F.broadcast(spark.createDataFrame([(p, k, -(-n // SLICE_QUERIES)) for (p, k), n in count.items()], "p int, part int, lanes int"))
     held = index.table.select("p", "part", *columns).filter(F.col("part").isin(sorted({k for _, k in count}))).join(lanes, ["p", "part"])
+    if small and span is not None:  # a query asks three or four stretches, so they are no more than the queries
+        stretch = lambda x: F.floor(x / span).cast("long")
+        near = asked.select("p", F.explode(F.sequence(stretch(F.col("low")), stretch(F.col("high")))).alias("stretch")).distinct()
+        held = (held.withColumn("stretch", stretch(F.col("pos"))).join(F.broadcast(near), ["p", "stretch"], "left_semi").drop("stretch"))
     if without is not None:
         gone = without.select("id").distinct()
         held = held.join(F.broadcast(gone) if gone.count() * 64 < session.BROADCAST_BYTES else gone, "id", "left_anti")
@@ -299,7 +304,7 @@ def search_index(index: ProjectionIndex, queries: DataFrame, k: int, search_size
     if not small:
         asked = materialize(asked)
     hits = _answered(asked.select("p", "part", "query_id", "low", "high", "vec"), index, ["id", "pos", "vec"], small,
-                     _score(k, get_metric(metric)), _best_hits(k), "query_id bigint, neighbor_id bigint, distance double", without)
+                     _score(k, get_metric(metric)), _best_hits(k), "query_id bigint, neighbor_id bigint, distance double", without, search_size)
     once = hits.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     return top_k_per_query(once, k, MERGE_LANES if small else 1)
 
