@@ -22,12 +22,25 @@ TERM_BYTES = 96
 TERM_LANES = 32
 
 
+def _count_terms(batches):
+    """Rows (doc_id, words) to rows (doc_id, term, tf), each document's different words with how often they stand in it."""
+    for b in batches:
+        words = b.column(1)
+        flat = words.flatten().dictionary_encode()
+        m = max(1, len(flat.dictionary))
+        row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        key, n = np.unique(row * m + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(key // m)), flat.dictionary.take(pa.array(key % m)),
+                                          pa.array(n.astype(np.int64))], names=["doc_id", "term", "tf"])
+
+
 def term_freq(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """``(doc_id, term, tf)``; counts of one document are combined before the shuffle."""
+    """``(doc_id, term, tf)``, counted within each row, so nothing is shuffled. A document is one row: rows that repeat an
+    id are counted one by one."""
     words = tokens if tokens is not None else tokenize_standard(text_col)
-    return (docs.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    return rows.mapInArrow(_count_terms, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, tf bigint")
 
 
 def doc_freq(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
