@@ -85,3 +85,15 @@ def test_hot_id_is_spread(spark):
     pts = spark.createDataFrame([(7, [float(k), 1.0], 1.0) for k in range(400)], "id bigint, vec array<double>, weight double")
     seen = Z.sketch(pts, 5, shards=8).state.toPandas()
     assert len(seen) == 8 and seen["n_seen"].max() < 100
+
+
+def test_cutoff_from_the_data(spark):
+    mat = np.array([[0.0, 0], [0, 0], [3, 4], [3, 4.5], [9, 9]])
+    pts = vectors(spark, mat, [1, 1, 1, 2, 2])  # ids may repeat, copies do not count
+    assert Z.estimate_cutoff(pts) == 0.5
+    assert Z.estimate_cutoff(pts.limit(0)) == Z.estimate_cutoff(vectors(spark, mat[:2])) == 1e-5
+    big = np.random.default_rng(8).normal(size=(300, 4))
+    far = np.sqrt(((big[:, None] - big[None]) ** 2).sum(-1))[np.triu_indices(300, 1)].min()
+    assert np.isclose(Z.estimate_cutoff(vectors(spark, big)), far)
+    got = Z.sketch(vectors(spark, big), 20, None).state.first()
+    assert got["n_seen"] == 300 and got["cutoff"] >= far

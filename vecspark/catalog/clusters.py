@@ -360,6 +360,18 @@ def cube(spark, sf):
     return G.hypercube_at(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), 3)
 
 
+@query("estimate_cutoff", f"WITH {E}, s AS (SELECT id, vec FROM e ORDER BY md5('0:' || id), id LIMIT {S.CUTOFF_SAMPLE}) "
+       f"SELECT {s6('min(list_distance(a.vec, b.vec))')} AS cutoff FROM s a JOIN s b ON a.id < b.id AND a.vec <> b.vec")
+def estimate_cutoff(spark, sf):
+    return spark.createDataFrame([(S.estimate_cutoff(embeddings(spark, sf)),)], "cutoff double").select(r6("cutoff").alias("cutoff"))
+
+
+@query("sketch_cube_estimated", _CORNERS)
+def sketch_cube_estimated(spark, sf):
+    """The cutoff is taken from the data."""
+    return by_corner(S.sketch(cube(spark, sf), 300, None).centroids, spark)
+
+
 @query("cluster_at_scale_cube", _CORNERS)
 def cluster_at_scale_cube(spark, sf):
     """Sketch, merge and ball k-means find each corner with the weight of its points."""

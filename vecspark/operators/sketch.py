@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vecspark import session
 from vecspark.functions import kernels
 from vecspark.functions.sketcher import BATCH, Sketcher
-from vecspark.functions.uniform import uniform
+from vecspark.functions.uniform import random_order, uniform
 from vecspark.functions.vectors import get_metric
 from vecspark.operators.kmeans import ball_kmeans, with_weight
 from vecspark.plans.rank import with_rank
@@ -22,6 +22,8 @@ from vecspark.schema import dimension
 
 #: Rows of one shard, about, when rows are sharded by content, and rows for each centroid there at least.
 SHARD_ROWS, ROWS_A_CENTROID = 1 << 16, 64
+#: Rows whose distances tell a first cutoff.
+CUTOFF_SAMPLE = 1000
 #: Size of one group in a merge.
 SHARD_BYTES = 64 << 20
 
@@ -86,7 +88,22 @@ def row_uniform(seed: int):
     return uniform(seed, F.xxhash64("id", "vec", "weight"))
 
 
-def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float = 1.3,
+def estimate_cutoff(points: DataFrame, sample: int = CUTOFF_SAMPLE, *, metric: str = "euclidean", seed: int = 0) -> float:
+    """A first cutoff from the data: the least distance between two different vectors of ``sample`` rows, those first in a
+    random order of ids. Without two different vectors the default of :func:`sketch`."""
+    m = get_metric(metric)
+    rows = points.select("id", "vec").orderBy(random_order(seed), "id").limit(sample)
+    vecs = np.unique(kernels.to_matrix(rows.toArrow().column("vec")), axis=0)
+    if len(vecs) < 2:
+        return 1e-5
+    i, j = np.triu_indices(len(vecs), 1)
+    near = m.pairwise(vecs, vecs)[i, j]
+    best = near <= near.min() + 2 * np.max(m.slack(vecs, vecs))
+    d = kernels.paired_in_parts(m, vecs, vecs, i[best], j[best])
+    return float(d[d > 0].min(initial=np.inf)) if (d > 0).any() else 1e-5
+
+
+def sketch(points: DataFrame, kappa: int, cutoff: float | None = 1e-5, *, beta: float = 1.3,
            log_factor: float = 10.0, overshoot: float = 0.5, metric: str = "euclidean",
            sharding: str = "content", shards: int | None = None, seed: int = 0) -> Sketch:
     """Reduce points to about ``kappa`` weighted centroids per shard in one pass.
@@ -94,9 +111,10 @@ def sketch(points: DataFrame, kappa: int, cutoff: float = 1e-5, *, beta: float =
     ``content`` shards rows by a hash of all they hold, and each shard takes them in order: the result does not depend on how
     the input is partitioned, nor on the number of cores, at the price of moving it once. The number of shards follows from
     that of the rows, unless given. ``split`` sketches every input partition where it lies, with no shuffle. Either way rows
-    stream through a task batch by batch; only the centroids are held.
+    stream through a task batch by batch; only the centroids are held. ``cutoff=None`` takes :func:`estimate_cutoff`.
     """
     m = get_metric(metric)
+    cutoff = estimate_cutoff(points, metric=metric, seed=seed) if cutoff is None else cutoff
     opts = {"beta": beta, "log_factor": log_factor, "overshoot": overshoot, "seed": seed}
     pts = with_weight(points).withColumn("u", row_uniform(seed))
     if sharding == "split":
@@ -214,7 +232,7 @@ def sketch_size(k: int, n: int) -> int:
     return max(k, math.ceil(k * math.log(max(n, 2))))
 
 
-def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cutoff: float = 1e-5,
+def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cutoff: float | None = 1e-5,
                      max_iter: int = 20, trim: float | None = 0.9, merge: str = "ball",
                      sharding: str = "content", shards: int | None = None, seed: int = 0,
                      metric: str = "euclidean", n: int | None = None, seeding: str = "parallel",
