@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecspark.catalog.registry import documents, query, r6, s6, sql_gaussian, table
 from vecspark.functions import text as X
 from vecspark.operators import textvec as V
+from vecspark.session import materialize
 
 HEADERS = ["subject", "from", "page"]
 
@@ -98,7 +99,7 @@ def _weight(name, sql, column):
     @query(name, f"WITH {TF}, {DF} SELECT doc_id, tf.term, {s6(sql)} AS w FROM tf JOIN df USING (term)")
     def run(spark, sf):
         d = documents(spark, sf)
-        tf = V.join_terms(V.term_freq(d), V.doc_freq(d))
+        tf = V.join_terms(materialize(V.term_freq(d)), materialize(V.doc_freq(d)))
         n = F.lit(d.count())
         return tf.select("doc_id", "term", r6(column(F.col("tf"), F.col("df"), n)).alias("w"))
 

@@ -18,8 +18,8 @@ from vecspark.plans.rank import with_rank
 
 #: Memory one dictionary row may take when broadcast, besides the term's own bytes.
 TERM_BYTES = 96
-#: A frequent term's rows are joined in this many tasks.
-TERM_LANES = 32
+#: The part of a dictionary that is broadcast stays below this size.
+HEAD_BYTES = 8 << 20
 
 
 def _count_terms(batches):
@@ -57,14 +57,20 @@ def doc_freq_of(tf: DataFrame) -> DataFrame:
 
 
 def join_terms(tf: DataFrame, per_term: DataFrame) -> DataFrame:
-    """Attach a per-term table. A common word owns a large share of all rows, so
-    the join either broadcasts the dictionary (size checked) or salts the term."""
-    size = per_term.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
-    if size[0] * TERM_BYTES + (size[1] or 0) <= session.BROADCAST_BYTES:
+    """Attach a per-term table, ``(term, df, ...)``. Both sides are read more than once: store what is costly.
+
+    A common word owns a large share of all rows, so common terms are broadcast: those whose share of all rows is at least
+    their share of ``HEAD_BYTES``, which together cannot exceed it. The rows of the others are shuffled by term, and none
+    of these owns enough rows to crowd a task. The planner may not broadcast them: stored terms look small to it.
+    """
+    row_bytes = F.lit(TERM_BYTES) + F.octet_length("term")
+    size = per_term.agg(F.sum(row_bytes), F.sum("df")).first()
+    if (size[0] or 0) <= HEAD_BYTES:
         return tf.join(F.broadcast(per_term), "term")
-    salted = per_term.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(TERM_LANES - 1))))
-    lane = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_LANES)).cast("int")
-    return tf.withColumn("_lane", lane).join(salted, ["term", "_lane"]).drop("_lane")
+    common = F.col("df") * F.lit(float(HEAD_BYTES)) >= row_bytes * F.lit(float(size[1]))
+    head, rest = per_term.filter(common), per_term.filter(~common)
+    rare = tf.join(F.broadcast(head.select("term")), "term", "left_anti")
+    return tf.join(F.broadcast(head), "term").unionByName(rare.join(rest.hint("merge"), "term"))
 
 
 def dictionary(df_table: DataFrame) -> DataFrame:
