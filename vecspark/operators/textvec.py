@@ -20,18 +20,26 @@ from vecspark.plans.rank import with_rank
 TERM_BYTES = 96
 #: The part of a dictionary that is broadcast stays below this size.
 HEAD_BYTES = 8 << 20
+#: Words counted at once.
+COUNT_WORDS = 1 << 18
 
 
 def _count_terms(batches):
-    """Rows (doc_id, words) to rows (doc_id, term, tf), each document's different words with how often they stand in it."""
+    """Rows (doc_id, words) to rows (doc_id, term, tf), each document's different words with how often they stand in it.
+    A batch is worked off some documents at a time, so memory does not follow its number of words."""
     for b in batches:
-        words = b.column(1)
-        flat = words.flatten().dictionary_encode()
-        m = max(1, len(flat.dictionary))
-        row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        key, n = np.unique(row * m + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(key // m)), flat.dictionary.take(pa.array(key % m)),
-                                          pa.array(n.astype(np.int64))], names=["doc_id", "term", "tf"])
+        ends = np.append(0, np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        s = 0
+        while s < b.num_rows:
+            e = max(s + 1, int(np.searchsorted(ends, ends[s] + COUNT_WORDS, side="right")) - 1)
+            ids, words = (c.slice(s, e - s) for c in b.columns)
+            flat = words.flatten().dictionary_encode()
+            m = max(1, len(flat.dictionary))
+            row = np.repeat(np.arange(e - s), np.diff(ends[s:e + 1]))
+            key, n = np.unique(row * m + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(key // m)), flat.dictionary.take(pa.array(key % m)),
+                                              pa.array(n.astype(np.int64))], names=["doc_id", "term", "tf"])
+            s = e
 
 
 def term_freq(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
