@@ -150,7 +150,7 @@ class RefBlock:
         order = np.argsort(ids, kind="stable")
         ids, vecs = ids[order], vecs[order]
         n = len(ids)
-        self.n = n
+        self.n, self.squares = n, None
         if n and vecs.shape[1]:
             probe = vecs @ np.cos(np.arange(1, vecs.shape[1] + 1.0))
             # equal rows give nearly equal probes; only then is the exact fold worth it
@@ -187,22 +187,122 @@ def chunks(n_rows: int, n_cols: int):
         yield s, min(n_rows, s + step)
 
 
+class Squares:
+    """Squared Euclidean distances in single precision, with a bound on their error, to choose pairs for exact distances.
+
+    Both sides are taken about the references' mean and scaled by a power of two to at most 1; the differences keep
+    their relative precision. ``of`` says whether the values allow that. Results are in scaled units.
+    """
+
+    def __init__(self, refs: np.ndarray):
+        self.refs, self.dim = refs, refs.shape[1]
+        with np.errstate(all="ignore"):
+            self.centre = refs.mean(axis=0) if len(refs) else np.zeros(self.dim)
+            self.big = float(np.abs(refs - self.centre).max()) if refs.size else np.nan
+        self.c = (2 * self.dim + 40) * 2.0 ** -24
+        self.scale = 0.0
+
+    def of(self, queries: np.ndarray) -> bool:
+        """Takes these queries; False if some value is not finite or beyond what squares can hold."""
+        with np.errstate(all="ignore"):
+            x = queries - self.centre
+            big = max(self.big, float(np.abs(x).max())) if x.size else np.nan
+        if not 1e-140 < big < 1e140:
+            return False
+        scale = 2.0 ** -np.frexp(big)[1]
+        if scale != self.scale:
+            self.scale = scale
+            r = (self.refs - self.centre) * scale
+            self.r2 = (r * r).sum(1)
+            self.right = np.column_stack([r, self.r2, np.ones(len(r))]).astype(np.float32)
+        x *= scale
+        self.q2 = (x * x).sum(1)
+        self.left = np.column_stack([-2.0 * x, np.ones(len(x)), self.q2]).astype(np.float32)
+        return True
+
+    def block(self, s: int, e: int, a: int, b: int) -> np.ndarray:
+        return self.left[s:e] @ self.right[a:b].T
+
+    def err(self, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+        return self.c * (self.q2[qi] + self.r2[ri]) + 1e-30
+
+
+#: Blocks of fewer references are not worth it.
+SINGLE_ROWS = 256
+#: Queries and references of one matrix of single-precision squares, and candidates of a query beyond which doubles choose.
+SQUARE_ROWS, SQUARE_COLS, MANY = 512, 4096, 64
+
+
+def _shortlist(sq: Squares, s: int, e: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (query, reference) among which the k nearest of the queries s to e surely are; None if they are too many.
+
+    A bar, the k-th least upper bound so far, falls from one stretch of references to the next.
+    """
+    n, m = e - s, len(sq.refs)
+    bar = np.full(n, np.inf)
+    best = np.full((n, k), np.inf)
+    held, total = [], 0
+    for a in range(0, m, SQUARE_COLS):
+        b = min(m, a + SQUARE_COLS)
+        d = sq.block(s, e, a, b)
+        if a == 0 and k < b:
+            near = np.argpartition(d[:, :max(1024, 2 * k)], k - 1, axis=1)[:, :k]
+            rows = np.repeat(np.arange(n), k)
+            upper = d[rows, near.ravel()] + sq.err(s + rows, near.ravel())
+            bar = upper.reshape(n, k).max(axis=1)
+        # the least a pair's own error bound can allow it, before that bound is known
+        room = bar + sq.c * (sq.q2[s:e] + sq.r2[a:b].max()) + 1e-30
+        at = np.flatnonzero(d <= np.nextafter(room.astype(np.float32), np.float32(np.inf))[:, None])
+        qi, ri = np.divmod(at, b - a)
+        value = d.ravel()[at].astype(np.float64)
+        err = sq.err(s + qi, a + ri)
+        fits = value - err <= bar[qi]
+        qi, ri, value, err = qi[fits], a + ri[fits], value[fits], err[fits]
+        held.append((qi, ri, value - err))
+        total += len(qi)
+        if total > MANY * (k + 16) * n:
+            return None
+        if len(qi):
+            rows = np.append(np.repeat(np.arange(n), k), qi)
+            upper = np.append(best.ravel(), value + err)
+            order = np.lexsort((upper, rows))
+            first = np.searchsorted(rows[order], np.arange(n))
+            best = upper[order][first[:, None] + np.arange(k)]
+            bar = np.minimum(bar, best[:, -1])
+    qi, ri, lower = (np.concatenate(x) for x in zip(*held))
+    fits = lower <= bar[qi]
+    qi, ri = qi[fits], ri[fits]
+    order = np.argsort(qi, kind="stable")
+    return qi[order], ri[order]
+
+
 def top_k(queries: np.ndarray, block: RefBlock, k: int, metric):
     """k nearest rows of the block for each query row, ties to the lower id."""
     parts = []
     u = block.vecs
     if len(queries) and len(u):
         kk = min(k, len(u))
-        for s, e in chunks(len(queries), len(u)):
-            q = queries[s:e]
-            dist = metric.pairwise(q, u)
-            err = pair_slack(metric, q, u)
-            upper = dist + err
-            bar = np.partition(upper, kk - 1, axis=1)[:, kk - 1] if kk < len(u) else upper.max(axis=1)
-            qi, ui = np.nonzero(~(dist - err > bar[:, None]))
-            d = paired_in_parts(metric, q, u, qi, ui)
-            qi, ids, d, rank = block.expand(qi, ui, d, k)
-            parts.append((qi + s, ids, d, rank))
+        square = metric.pairwise in (pairwise_euclidean, pairwise_sqeuclidean) and len(u) >= SINGLE_ROWS
+        if square and block.squares is None:
+            block.squares = Squares(u)
+        square = square and block.squares.of(queries)
+        for a, b in ((a, min(a + SQUARE_ROWS, len(queries))) for a in range(0, len(queries), SQUARE_ROWS)):
+            found = _shortlist(block.squares, a, b, kk) if square else None
+            square = found is not None
+            # without a shortlist, or too long a one, doubles choose
+            for s, e in [(a, b)] if found else ((a + x, a + y) for x, y in chunks(b - a, len(u))):
+                q = queries[s:e]
+                if found:
+                    qi, ui = found
+                else:
+                    dist = metric.pairwise(q, u)
+                    err = pair_slack(metric, q, u)
+                    upper = dist + err
+                    bar = np.partition(upper, kk - 1, axis=1)[:, kk - 1] if kk < len(u) else upper.max(axis=1)
+                    qi, ui = np.nonzero(~(dist - err > bar[:, None]))
+                d = paired_in_parts(metric, q, u, qi, ui)
+                qi, ids, d, rank = block.expand(qi, ui, d, k)
+                parts.append((qi + s, ids, d, rank))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0), z

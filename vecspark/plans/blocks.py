@@ -11,7 +11,8 @@ pairs; what leaves a task is at most a few rows per query. Three layouts:
              query visits only the cells that the triangle inequality cannot
              rule out, and every cell is split into blocks of bounded size on
              both sides, so neither a crowded cell nor a popular one can
-             outgrow a task. Nothing is dropped.
+             outgrow a task. Nothing is dropped. Where a sample of the queries
+             shows that cells would move more rows than they spare, it is ``blocks``.
 ``blocks``   the same without a space to rule cells out: all blocks meet.
 """
 
@@ -33,6 +34,8 @@ BLOCK_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 #: Multiplications that justify spreading a small input over more tasks.
 HEAVY = 2e8
+#: Moving a row costs about as much as this many pairs.
+PAIRS_A_ROW = 500
 
 
 def columns_of(batch) -> dict:
@@ -55,6 +58,8 @@ class PairJob:
     q_cols: list[str]
     r_cols: list[str]
     schema: str
+    #: queries of one block, where a query's output is large
+    q_most = 1 << 16
 
     def prepare(self, refs: dict):
         return refs
@@ -218,14 +223,21 @@ def _cells(queries, refs, job, dim, space):
             space = None
         else:
             queries, refs = derived
-    if space is None:
+    size = block_rows(dim)
+    q_size = min(size, job.q_most)
+    pruned = None if space is None else _prune(queries, refs, space, dim, q_size)
+    if pruned is None:
         celled = refs.withColumn("cell", F.lit(0))
         visiting = queries.withColumn("cell", F.lit(0))
-        plan = [(0, refs.count(), queries.count())]
+        n, nq = refs.count(), queries.count()
+        plan = [(0, n, nq)]
+        # two tasks for each core at least, where there is work for them
+        tasks = min(2 * spark.sparkContext.defaultParallelism, float(n) * nq * dim / HEAVY)
+        if tasks > 1:
+            size, q_size = min(size, int(-(-n // tasks ** 0.5))), min(q_size, int(-(-nq // tasks ** 0.5)))
     else:
-        celled, visiting, plan = _prune(queries, refs, space, dim)
-    size = block_rows(dim)
-    rows = [(int(c), -(-int(r) // size), -(-int(q) // size)) for c, r, q in plan if r and q]
+        celled, visiting, plan = pruned
+    rows = [(int(c), -(-int(r) // size), -(-int(q) // q_size)) for c, r, q in plan if r and q]
     splits = F.broadcast(spark.createDataFrame(rows, "cell int, r_parts int, q_parts int"))
     keys = ["cell", "r_part", "q_part"]
     q_side = (visiting.join(splits, "cell")
@@ -249,8 +261,9 @@ def _cells(queries, refs, job, dim, space):
             .applyInArrow(meet, schema=job.schema))
 
 
-def _prune(queries, refs, space: Space, dim: int):
-    """Cells around sampled pivots, and the cells each query cannot skip."""
+def _prune(queries, refs, space: Space, dim: int, q_size: int | None = None):
+    """Cells around sampled pivots, and the cells each query cannot skip. With ``q_size``, the queries of a block, None if
+    blocks without cells are likely to be less work."""
     spark = refs.sparkSession
     n = refs.count()
     want = int(min(MAX_PIVOTS, max(4, space.depth, 4 * n // block_rows(dim), n ** 0.5)))
@@ -299,6 +312,14 @@ def _prune(queries, refs, space: Space, dim: int):
             bound = np.maximum(bound, np.where(gap > 0, plane - err, -np.inf))
         return (bound <= (reach + err)[:, None]) & used
 
+    if q_size is not None:
+        some, nq, r_size = fetch(queries.select("id", space.column).orderBy(random_order(11), "id").limit(want))[space.column], queries.count(), block_rows(dim)
+        asked = nq * visit(some).mean(axis=0) if len(some) else np.zeros(len(pivots))
+        moved = (asked * -(-size // r_size) + size * np.ceil(asked / q_size)).sum()
+        moved_by_blocks = nq * -(-n // r_size) + n * -(-nq // q_size)
+        if (asked * size).sum() + PAIRS_A_ROW * moved >= float(nq) * n + PAIRS_A_ROW * moved_by_blocks:
+            return None
+
     @F.arrow_udf("array<int>")
     def cells_for(col: pa.Array) -> pa.Array:
         x = as_space(col)
