@@ -22,8 +22,8 @@ from vecspark.session import materialize
 PENDING_SHARE = 0.05
 REMOVED_SHARE = 0.02
 #: Rows of one slice of an index, about, and queries placed or scored within one slice by one task.
-SLICE_ROWS = 1 << 17
-SLICE_QUERIES = 1 << 18
+SLICE_ROWS = 1 << 15
+SLICE_QUERIES = 1 << 16
 
 
 @dataclass
