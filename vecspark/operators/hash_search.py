@@ -62,6 +62,9 @@ class CountBits(PairJob):
         return {"query_id": key[:, 0], "hamming": key[:, 1], "n": n}
 
 
+#: Queries and references of one matrix where steps are told.
+STEP_ROWS, STEP_COLS = 256, 4096
+
 ROWS = "query_id bigint, hamming int, step int, n bigint, least double, neighbor_id bigint, distance double"
 _INTS = ("query_id", "hamming", "step", "n", "neighbor_id")
 
@@ -94,7 +97,8 @@ class Levels(PairJob):
     Only bit distances from the query's ``low`` to its ``high`` count; of these, those up to the one that covers
     ``depth`` references of the block. The limit of a query over all references lies no higher, so whatever is
     left out here is beyond it. With a ``reach`` counts are told by ``step``, the place of the distance on the scale
-    0 .. 2 x reach, with the least distance there. Rows of two kinds come out: counts (``n`` > 0), and neighbours (``n`` = 0).
+    0 .. 2 x reach, with the least distance there, and only neighbours no farther than the query's ``bar`` come out.
+    Rows of two kinds come out: counts (``n`` > 0), and neighbours (``n`` = 0).
     """
 
     k: int = 1
@@ -107,6 +111,12 @@ class Levels(PairJob):
 
     def run(self, queries, refs):
         out, n = [_rows()], len(refs["id"])
+        if "reach" in queries and n and self.metric.pairwise is kernels.pairwise_euclidean and (queries["reach"] > 0).all():
+            if "_squares" not in refs:
+                refs["_squares"] = kernels.Squares(refs["vec"])
+            if refs["_squares"].of(queries["vec"]):
+                return PairJob.merge(self, out + [self.stepped({c: v[s:s + STEP_ROWS] for c, v in queries.items()}, refs, s)
+                                                  for s in range(0, len(queries["id"]), STEP_ROWS)])
         for s, e in kernels.chunks(len(queries["id"]), 4 * max(1, n)):
             part = {c: v[s:e] for c, v in queries.items()}
             level = kernels.hamming_matrix(part["hash"], refs["hash"])
@@ -119,6 +129,59 @@ class Levels(PairJob):
             out.append(self.scored(part, refs, qi, ri, level[qi, ri].astype(np.int64)))
         return PairJob.merge(self, out)
 
+    def stepped(self, queries, refs, s):
+        """The rows of some queries, from ``s`` on, with a reach: single-precision squares tell most steps, exact distances those
+        near an edge, the least of each bit distance and the neighbours."""
+        sq, n = refs["_squares"], len(queries["id"])
+        low, high = queries["low"].astype(np.uint8), queries["high"].astype(np.uint8)
+        wide, steps = int((high - low).max()) + 1, QUARTILE_STEPS + 1
+        per_step = QUARTILE_STEPS / (2 * queries["reach"] * sq.scale)
+        bar = (queries["bar"] * sq.scale) ** 2 * (1 + 1e-9)
+        counts, most = np.zeros(n * wide * steps, np.int64), np.full(n * wide, np.inf)
+        near, least = [], []
+        exact = lambda qi, ri: kernels.paired_in_parts(self.metric, queries["vec"], refs["vec"], qi, ri)
+        for a in range(0, len(refs["id"]), STEP_COLS):
+            b = min(len(refs["id"]), a + STEP_COLS)
+            level = kernels.hamming_matrix(queries["hash"], refs["hash"][a:b]).astype(np.uint8) - low[:, None]
+            qi, ri = np.divmod(np.flatnonzero(level <= (high - low)[:, None]), b - a)
+            if not len(qi):
+                continue
+            key = qi * wide + level[qi, ri]
+            d2 = sq.block(s, s + n, a, b)[qi, ri].astype(np.float64)
+            ri += a
+            err = sq.err(s + qi, ri)
+            lower, upper = np.maximum(d2 - err, 0.0), d2 + err
+            step, above = (np.minimum(np.sqrt(x) * per_step[qi] * y, QUARTILE_STEPS).astype(np.int64) for x, y in ((lower, 1 - 1e-9), (upper, 1 + 1e-9)))
+            edge = np.flatnonzero(step != above)
+            d = exact(qi[edge], ri[edge])
+            step[edge] = np.minimum(np.floor(d / (2 * queries["reach"][qi[edge]]) * QUARTILE_STEPS), QUARTILE_STEPS)
+            counts += np.bincount(key * steps + step, minlength=len(counts))
+            np.minimum.at(most, key, upper)
+            may = np.flatnonzero(lower <= most[key])
+            least.append((key[may], qi[may], ri[may], lower[may]))
+            may = np.flatnonzero(lower <= bar[qi])
+            near.append((key[may], qi[may], ri[may]))
+        if not least:
+            return _rows()
+        key, qi, ri, lower = (np.concatenate(x) for x in zip(*least))
+        may = lower <= most[key]
+        key, d = key[may], exact(qi[may], ri[may])
+        most[:] = np.inf
+        np.minimum.at(most, key, d)
+        at = np.flatnonzero(counts)
+        key, step = np.divmod(at, steps)
+        first = np.append(True, np.diff(key) != 0)  # the bucket's least lies in its first step
+        told = _rows(query_id=queries["id"][key // wide], hamming=low[key // wide] + key % wide, step=step, n=counts[at],
+                     least=np.where(first, most[key], np.inf))
+        key, qi, ri = (np.concatenate(x) for x in zip(*near))
+        d = exact(qi, ri)
+        may = d <= queries["bar"][qi]
+        key, qi, ri, d = key[may], qi[may], ri[may], d[may]
+        order = np.lexsort((refs["id"][ri], d, key))
+        best = order[_first_of_each(_runs(key[order]), len(order), self.k)]
+        hits = _rows(query_id=queries["id"][qi[best]], hamming=low[qi[best]] + key[best] % wide, neighbor_id=refs["id"][ri[best]], distance=d[best])
+        return {c: np.concatenate([told[c], hits[c]]) for c in told}
+
     def scored(self, queries, refs, qi, ri, level):
         """Counts and nearest rows of the pairs (qi, ri)."""
         if not len(qi):
@@ -170,7 +233,7 @@ class Levels(PairJob):
 def _looked(queries: DataFrame, refs: DataFrame, k: int, metric: Metric, dim: int, layout: str, depth: int | None = None) -> DataFrame:
     """Rows of :class:`Levels`, stored; ``queries`` carry (id, vec, hash, low, high) and perhaps reach. Every block of references
     is looked at once."""
-    columns = ["id", "vec", "hash", "low", "high"] + (["reach"] if "reach" in queries.columns else [])
+    columns = ["id", "vec", "hash", "low", "high"] + [c for c in ("reach", "bar") if c in queries.columns]
     job = Levels(columns, ["id", "vec", "hash"], ROWS, k=k, metric=metric, depth=depth)
     out, _ = pair_blocks(queries, refs, job, dim, layout=layout)
     return materialize(out)
@@ -241,7 +304,8 @@ def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strateg
     # a first look also brings rows beyond the limit, not all of them; later looks bring them whole
     held = found.rows.join(found.limits, "query_id").filter("hamming <= cutoff").select(found.rows.columns)
     reach = top_k_per_query(held.filter("n = 0"), search_size, MERGE_LANES).groupBy(F.col("query_id").alias("id")).agg(
-        F.when(F.count("*") >= search_size, F.max("distance")).alias("reach"))
+        F.when(F.count("*") >= search_size, F.max("distance")).alias("reach"),
+        F.max(F.when(F.col("rank") <= k, F.col("distance"))).alias("bar"))  # farther ones are no answers, however the limit grows
     now = materialize(queries.select("id", "vec", "hash").join(found.limits.withColumnRenamed("query_id", "id"), "id")
                       .join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
                       .withColumn("open", (F.col("reach") > 0) & (F.col("cutoff") < RAISE_BELOW - 1)))
@@ -253,7 +317,7 @@ def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strateg
         rising = materialize(rising.withColumn("low", F.col("cutoff") + 1)
                              .withColumn("high", F.least(F.col("cutoff") + RAISE_AT_ONCE, F.lit(RAISE_BELOW - 1))))
         more = look(rising)
-        now = materialize(_risen(more, rising, strategy).select("id", "vec", "hash", "cutoff", "reach", "open"))
+        now = materialize(_risen(more, rising, strategy).select("id", "vec", "hash", "cutoff", "reach", "bar", "open"))
         limits = limits.unionByName(now.filter("NOT open").select(F.col("id").alias("query_id"), "cutoff"))
         rows = rows.unionByName(more)
 
@@ -279,7 +343,7 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, search_size: int, basis
         looked = _looked(q, rows, keep, metric, dim, layout, search_size)
         found = Looked(looked, bit_limits(_counts(looked), search_size))
     if raising:
-        found = _raised(found, q, search_size, keep, raise_limit, lambda x: _looked(x, rows, keep, metric, dim, "blocks" if layout == "cells" else layout))
+        found = _raised(found, q, search_size, k, raise_limit, lambda x: _looked(x, rows, k, metric, dim, "blocks" if layout == "cells" else layout))
     return found
 
 
