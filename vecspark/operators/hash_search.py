@@ -28,6 +28,8 @@ RAISE_MEMBERS = 10
 RAISE, RAISE_AT_ONCE = 0.9, 4
 #: Steps of the distance scale on which a bucket's lower quartile is read.
 QUARTILE_STEPS = 32
+#: Queries of one block: each may bring a few rows of every bit distance.
+ASK_ROWS = 1 << 14
 
 
 def hashed(rows: DataFrame, basis: np.ndarray) -> DataFrame:
@@ -104,6 +106,7 @@ class Levels(PairJob):
     k: int = 1
     metric: Metric | None = None
     depth: int | None = None
+    q_most = ASK_ROWS
 
     def prepare(self, refs):
         order = np.argsort(refs["id"], kind="stable")
@@ -521,7 +524,7 @@ def band_rows(q: DataFrame, index: BandIndex, search_size: int, k: int, metric:
     names, types = arrow_types(spark, ROWS)
     asks = q.select("id", "vec", "hash", F.explode(asked("hash")).alias("_at"))
     asks = materialize(asks.select("_at.cell", "_at.part", F.col("id").alias("query_id"), F.col("vec").alias("q"), F.col("hash").alias("q_hash")))
-    lanes = asks.groupBy("cell", "part").agg(F.ceil(F.count("*") / block_rows(index.dim)).cast("int").alias("lanes"))
+    lanes = asks.groupBy("cell", "part").agg(F.ceil(F.count("*") / min(ASK_ROWS, block_rows(index.dim))).cast("int").alias("lanes"))
     lanes = F.broadcast(materialize(lanes))  # an entry for each block of references
     keys = ["cell", "part", "lane"]
     asks = (asks.join(lanes, ["cell", "part"]).withColumn("lane", F.pmod(F.xxhash64("query_id"), "lanes").cast("int"))
@@ -541,7 +544,7 @@ def band_rows(q: DataFrame, index: BandIndex, search_size: int, k: int, metric:
         size = np.diff(np.append(start, len(r["id"])))
         queries = {"id": x["query_id"], "vec": x["q"], "hash": x["q_hash"]}
         out, wanted = [_rows()], part(x["q_hash"], band)
-        for s, e in kernels.chunks(len(wanted), 8 * max(len(values), int(size.sum()) // 8)):
+        for s, e in kernels.chunks(len(wanted), 32 * max(len(values), int(size.sum()) // 8)):
             qi, vi = np.nonzero(np.bitwise_count(wanted[s:e, None] ^ values[None, :]) <= flips)
             n = size[vi]
             qi = np.repeat(qi, n)
