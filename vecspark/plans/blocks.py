@@ -231,10 +231,10 @@ def _cells(queries, refs, job, dim, space):
         visiting = queries.withColumn("cell", F.lit(0))
         n, nq = refs.count(), queries.count()
         plan = [(0, n, nq)]
-        # two tasks for each core at least, where there is work for them
-        tasks = min(2 * spark.sparkContext.defaultParallelism, float(n) * nq * dim / HEAVY)
+        # two tasks for each core at least, where there is work for them; more blocks of references would mean more partial answers
+        tasks = min(2 * spark.sparkContext.defaultParallelism, float(n) * nq * dim / HEAVY) / max(1, -(-n // size))
         if tasks > 1:
-            size, q_size = min(size, int(-(-n // tasks ** 0.5))), min(q_size, int(-(-nq // tasks ** 0.5)))
+            q_size = min(q_size, int(-(-nq // tasks)))
     else:
         celled, visiting, plan = pruned
     rows = [(int(c), -(-int(r) // size), -(-int(q) // q_size)) for c, r, q in plan if r and q]
