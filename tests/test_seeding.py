@@ -1,10 +1,15 @@
 """Parallel seeding: the law of its draws, its reduction, and how many passes it takes."""
 
+import dataclasses
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows, vectors
+from vecspark.functions.sketcher import Sketcher
 from vecspark.functions.uniform import local_uniform
+from vecspark.functions.vectors import get_metric
 from vecspark.operators import generate as G
 from vecspark.operators import kmeans as K
 from vecspark.operators import sketch as Z
@@ -97,3 +102,42 @@ def test_cutoff_from_the_data(spark):
     assert np.isclose(Z.estimate_cutoff(vectors(spark, big)), far)
     got = Z.sketch(vectors(spark, big), 20, None).state.first()
     assert got["n_seen"] == 300 and got["cutoff"] >= far
+
+
+def test_sketch_tasks_take_few_shards(spark, monkeypatch):
+    """More rows make more tasks, dealt evenly, and a sketch of its own counting passes over its input once."""
+    monkeypatch.setattr(Z, "TASK_SHARDS", 2)
+    pts = G.hypercube_points(spark, 3, 600).select("id", "vec", F.lit(1.0).alias("weight"))
+    keyed = pts.withColumn("u", Z.row_uniform(0)).withColumn("shard", F.pmod("id", F.lit(101)))
+    opts = {"beta": 1.3, "log_factor": 10.0, "overshoot": 0.5, "seed": 0}
+    got = Z._streamed(keyed, 101, 5, 1e-5, get_metric("euclidean"), opts).filter("kind = 'state'")
+    per_task = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).toPandas()["n"]
+    assert len(per_task) == 51 and per_task.max() == 2 and per_task.sum() == 101
+    counted = []
+    monkeypatch.setattr(Z, "shard_count", lambda n, kappa: counted.append((n, kappa)) or 3)
+    monkeypatch.setattr(Z, "sketch", lambda p, kappa, *a, **o: pytest.fail("counts again") if o["shards"] is None else Z.Sketch(
+        spark.createDataFrame([], Z._SCHEMA)))
+    assert Z.cluster_at_scale(pts, 2, merge="union").count() == 0 and counted == [(600, Z.sketch_size(2, 600))]
+
+
+@pytest.mark.parametrize(("name", "dim", "cutoff"), [("euclidean", 3, 0.7), ("sqeuclidean", 12, 20), ("manhattan", 2, 0.7), ("cosine", 4, 0.7)])
+def test_sketch_step_founds_one_by_one(name, dim, cutoff):
+    """A step takes distances between rows that may found at once, and does what one row after the other would do."""
+    m, calls = get_metric(name), []
+    counting = dataclasses.replace(m, paired=lambda a, b: calls.append(len(a)) or m.paired(a, b))
+    rng = np.random.default_rng(4)
+    first, x = rng.normal(size=(5, dim)), np.round(rng.normal(size=(100, dim)), 1) + 0.01
+    u, w = rng.random(100), rng.uniform(0.5, 2, 100)
+    for metric in (m, counting):
+        sk = Sketcher(1000, cutoff, metric)
+        sk.vecs, sk.weights = first.copy(), np.ones(5)
+        del calls[:]
+        sk._step(x, w, u)
+        centers = list(first)
+        for k in range(100):
+            if u[k] < min(m.paired(np.array([x[k]]), np.array([c]))[0] for c in centers) / cutoff:
+                centers.append(x[k])
+        at = np.array([np.argmin([m.paired(np.array([p]), np.array([c]))[0] for c in centers]) for p in x])
+        want = np.bincount(at, w, len(centers)) + (np.arange(len(centers)) < 5)
+        assert 15 < len(centers) < 105 and np.allclose(sk.weights, want)
+    assert len(calls) < 10

@@ -309,9 +309,45 @@ def top_k(queries: np.ndarray, block: RefBlock, k: int, metric):
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+#: Up to this dimension all exact distances cost less than a shortlist; cells of their matrix.
+LOW_DIM, LOW_CELLS = 8, 1 << 16
+
+
+def is_low(metric, dim: int) -> bool:
+    """Whether :func:`low_distances` serves this metric in this dimension."""
+    return dim <= LOW_DIM and metric.paired in (paired_euclidean, paired_sqeuclidean)
+
+
+def low_distances(q: np.ndarray, r: np.ndarray, metric) -> np.ndarray:
+    """Exact distances of all pairs, summed as the paired form sums them."""
+    d, t = np.zeros((len(q), len(r))), np.empty((len(q), len(r)))
+    for j in range(q.shape[1]):
+        to = t if j else d
+        np.subtract(q[:, j, None], r[:, j], out=to)
+        np.multiply(to, to, out=to)
+        if j:
+            np.add(d, t, out=d)
+    return np.sqrt(d, out=d) if metric.paired is paired_euclidean else d
+
+
+def _nearest_low(vecs: np.ndarray, centers: np.ndarray, metric):
+    """As :func:`nearest` in few dimensions; None if some distance is not a number."""
+    best, out = np.zeros(len(vecs), dtype=np.int32), np.zeros(len(vecs))
+    step = max(1, LOW_CELLS // len(centers))
+    for s in range(0, len(vecs), step):
+        d = low_distances(vecs[s:s + step], centers, metric)
+        best[s:s + step] = at = d.argmin(axis=1)
+        out[s:s + step] = d[np.arange(len(d)), at]
+    return None if np.isnan(out).any() else (best, out)
+
+
 def nearest(vecs: np.ndarray, centers: np.ndarray, metric):
     """Position of the nearest centre (ties to the lowest) and the exact distance."""
     n = len(vecs)
+    if n and len(centers) and is_low(metric, vecs.shape[1]):
+        found = _nearest_low(vecs, centers, metric)
+        if found:
+            return found
     best = np.zeros(n, dtype=np.int32)
     out = np.zeros(n)
     for s, e in chunks(n, len(centers)):

@@ -54,19 +54,13 @@ class Sketcher:
                 return
         at, d = kernels.nearest(x, self.vecs, self.metric)
         at = at.astype(np.int64)
-        old, founded = len(self.vecs), []
-        for j in np.flatnonzero(u < d / self.cutoff):
-            if founded:
-                to_new = self.metric.paired(np.broadcast_to(x[j], (len(founded), x.shape[1])), x[founded])
-                i = int(to_new.argmin())
-                if to_new[i] < d[j]:
-                    at[j], d[j] = old + i, to_new[i]
-                    if u[j] >= d[j] / self.cutoff:
-                        continue
-            at[j] = old + len(founded)
-            founded.append(j)
-        if founded:
-            rest = np.setdiff1d(np.arange(len(x)), founded)
+        old = len(self.vecs)
+        founded = self._founders(x, u, d)
+        if len(founded):
+            at[founded] = old + np.arange(len(founded))
+            rest = np.ones(len(x), bool)
+            rest[founded] = False
+            rest = np.flatnonzero(rest)
             if len(rest):
                 i, to_new = kernels.nearest(x[rest], x[founded], self.metric)
                 closer = to_new < d[rest]
@@ -80,6 +74,26 @@ class Sketcher:
         self.weights[hit] += gain[hit]
         self.vecs[hit] = sums / self.weights[hit, None]
 
+    def _founders(self, x, u, d) -> np.ndarray:
+        """Rows that found a centroid, in order: their number is below the distance to the nearest centroid, those
+        founded before them included, over the cutoff. Distances between the rows in question are taken at once."""
+        ask = np.flatnonzero(u < d / self.cutoff)
+        n = len(ask)
+        if n < 2:
+            return ask
+        if kernels.is_low(self.metric, x.shape[1]):
+            to = kernels.low_distances(x[ask], x[ask], self.metric)
+        else:  # rows that come later only
+            i, j = np.triu_indices(n, 1)
+            to = np.full((n, n), np.inf)
+            to[i, j] = kernels.paired_in_parts(self.metric, x, x, ask[j], ask[i], max(1, kernels.MATRIX_CELLS // max(1, x.shape[1])))
+        near, own, founded = d[ask], u[ask], []
+        for k in range(n):
+            if own[k] < near[k] / self.cutoff:
+                founded.append(k)
+                np.fmin(near, to[k], out=near)
+        return ask[founded]
+
     def _collapse(self) -> None:
         rng = np.random.default_rng([self.seed & 0xFFFFFFFF, self.key, self.collapses])
         self.collapses += 1

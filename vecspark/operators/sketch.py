@@ -22,6 +22,8 @@ from vecspark.schema import dimension
 
 #: Rows of one shard, about, when rows are sharded by content, and rows for each centroid there at least.
 SHARD_ROWS, ROWS_A_CENTROID = 1 << 16, 64
+#: Shards that one task sorts and sketches at most, unless there were more than 65,536 tasks.
+TASK_SHARDS = 16
 #: Rows whose distances tell a first cutoff.
 CUTOFF_SAMPLE = 1000
 #: Size of one group in a merge.
@@ -158,9 +160,10 @@ def _streamed(keyed: DataFrame, shards: int, kappa: int, cutoff: float, metric,
         if sk is not None:
             yield from _rows(sk, now).to_batches()
 
-    # with fewer shards than partitions some tasks stay idle; shards are numbered and dealt by number
-    tasks = max(1, min(shards, 4 * keyed.sparkSession.sparkContext.defaultParallelism, 1 << 16))
-    return (keyed.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "id", "u")
+    # shards are numbered and dealt by number: no pass over the rows to choose bounds, and tasks get equally many
+    lanes = 4 * keyed.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(shards, max(lanes, -(-shards // TASK_SHARDS)), 1 << 16))
+    return (keyed.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "id", "u")
             .select("shard", "vec", "weight", "u").mapInArrow(run, _SCHEMA))
 
 
@@ -245,8 +248,11 @@ def cluster_at_scale(points: DataFrame, k: int, *, kappa: int | None = None, cut
     if merge not in ("ball", "streaming", "union"):
         raise ValueError("merge must be 'ball', 'streaming' or 'union'")
     if kappa is None or merge == "streaming":
-        n = n if n is not None else points.count()
+        counted = n is None
+        n = points.count() if counted else n
         kappa = kappa or sketch_size(k, n)
+        if counted and sharding == "content" and shards is None:
+            shards = shard_count(n, kappa)
     sk = sketch(points, kappa, cutoff, metric=metric, sharding=sharding, shards=shards, seed=seed, **opts)
     if merge == "ball":
         return ball_kmeans(sk.centroids, k, max_iter, trim, seed=seed, seeding=seeding)
