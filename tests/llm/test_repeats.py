@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -267,3 +268,35 @@ def test_fingerprint_words(spark):
     rows = [(1, "A b\x0bC D e"), (2, "É é"), (3, None), (4, "")]
     got = {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(frame(spark, rows)).collect()}
     assert got == {i: fingerprint(t) for i, t in rows} and got[3] == got[4] == 0
+
+
+def test_verdicts_join_runs_that_touch():
+    """Windows that follow on each other are one run of their document, not a row or a list entry each."""
+    uid, start, size = suffix_dedup._verdicts(np.array([9, 4, 4, 4, 9, 4, 9]), np.array([5, 30, 7, 1, 1 << 40, 8, 6]),
+                                              np.array([1, 2, 1, 6, 1, 3, 23]))
+    assert uid.to_pylist() == [4, 9]
+    assert start.to_pylist() == [[1, 30], [5, 1 << 40]] and size.to_pylist() == [[10, 2], [24, 1]]
+    none = np.zeros(0, np.int64)
+    assert [x.to_pylist() for x in suffix_dedup._verdicts(none, none, none)] == [[], [], []]
+
+
+def test_marks_of_a_batch():
+    """Runs of each document stand together, whichever verdicts hold them, also in a slice and where there are none."""
+    verdict = pa.struct([("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+    late = pa.array([[{"starts": [90], "sizes": [9]}], [{"starts": [1, 5], "sizes": [2, 1]}, {"starts": [3], "sizes": [7]}], None, [],
+                     [{"starts": [8], "sizes": [4]}]], pa.list_(verdict))
+    at, starts, sizes = suffix_dedup._marks(late[1:])
+    assert at.tolist() == [0, 3, 3, 3, 4] and starts.tolist() == [1, 5, 3, 8] and sizes.tolist() == [2, 1, 7, 4]
+    at, starts, sizes = suffix_dedup._marks(late[2:4])
+    assert at.tolist() == [0, 0, 0] and not len(starts) and not len(sizes)
+
+
+def test_long_repeats_are_few_runs(spark):
+    """Text shared at several places by documents that differ around it; the verdicts folded in a task and those of buckets meet."""
+    rnd = random.Random(8)
+    part = lambda n: "".join(rnd.choice("abcdef é") for _ in range(n))
+    shared = [part(n) for n in (130, 400, 1500)]
+    rows = [(i, part(60) + shared[i % 3] + part(30) + shared[(i + 1) % 3][:300] + part(50)) for i in range(12)]
+    rows += [(20, shared[2] + shared[2]), (None, rows[3][1] + shared[0]), (20, shared[1])]
+    got = repeated_bytes(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_bytes(rows, 100)
