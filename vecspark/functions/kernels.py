@@ -33,12 +33,25 @@ def to_lists(mat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mat).ravel()))
 
 
+#: Rows whose coordinates are summed at once, so that they stay in a cache; fewer coordinates than this are summed one by one.
+SUM_ROWS, SUM_COLS = 512, 9
+
+
+def _summed(terms, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``terms(a, b)`` of each row, summed in index order."""
+    out = np.zeros(len(a))
+    for s in range(0, len(a), SUM_ROWS if a.shape[1] >= SUM_COLS else max(1, len(a))):
+        x, y, to = (v[s:s + SUM_ROWS] if a.shape[1] >= SUM_COLS else v for v in (a, b, out))
+        if a.shape[1] >= SUM_COLS and len(x) > 1:  # rows of a transposed matrix of more than one column are added one after the other
+            np.add.reduce(np.ascontiguousarray(terms(x, y).T), axis=0, out=to)
+        else:
+            for j in range(a.shape[1]):
+                to += terms(x[:, j], y[:, j])
+    return out
+
+
 def paired_sqeuclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    acc = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        t = a[:, j] - b[:, j]
-        acc += t * t
-    return acc
+    return _summed(lambda x, y: np.square(x - y), a, b)
 
 
 def paired_euclidean(a, b):
@@ -53,10 +66,7 @@ def paired_manhattan(a, b):
 
 
 def paired_dot(a, b):
-    acc = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        acc += a[:, j] * b[:, j]
-    return acc
+    return _summed(np.multiply, a, b)
 
 
 def paired_cosine(a, b):
@@ -101,7 +111,7 @@ def pair_slack(metric, q, r):
     return err if metric.slack is slack_sqeuclidean else np.sqrt(err)
 
 
-def paired_in_parts(metric, q, r, qi, ri, size: int = 1 << 18):
+def paired_in_parts(metric, q, r, qi, ri, size: int = 1 << 11):
     """Exact distances of the pairs, a bounded number of gathered rows at a time."""
     return np.concatenate([np.zeros(0), *(metric.paired(q[qi[a:a + size]], r[ri[a:a + size]]) for a in range(0, len(qi), size))])
 
@@ -150,7 +160,7 @@ class RefBlock:
         order = np.argsort(ids, kind="stable")
         ids, vecs = ids[order], vecs[order]
         n = len(ids)
-        self.n, self.squares = n, None
+        self.n, self.nearness = n, None
         if n and vecs.shape[1]:
             probe = vecs @ np.cos(np.arange(1, vecs.shape[1] + 1.0))
             # equal rows give nearly equal probes; only then is the exact fold worth it
@@ -191,16 +201,18 @@ class Squares:
     """Squared Euclidean distances in single precision, with a bound on their error, to choose pairs for exact distances.
 
     Both sides are taken about the references' mean and scaled by a power of two to at most 1; the differences keep
-    their relative precision. ``of`` says whether the values allow that. Results are in scaled units.
+    their relative precision. ``of`` says whether the values allow that. Results are in scaled units. ``blur`` is how far
+    the squares of the given values may lie from those that count.
     """
 
-    def __init__(self, refs: np.ndarray):
+    def __init__(self, refs: np.ndarray, blur: float = 0.0):
+        self.blur = blur
         self.refs, self.dim = refs, refs.shape[1]
         with np.errstate(all="ignore"):
             self.centre = refs.mean(axis=0) if len(refs) else np.zeros(self.dim)
             self.big = float(np.abs(refs - self.centre).max()) if refs.size else np.nan
         self.c = (2 * self.dim + 40) * 2.0 ** -24
-        self.scale = 0.0
+        self.scale, self.least = 0.0, 1e-30
 
     def of(self, queries: np.ndarray) -> bool:
         """Takes these queries; False if some value is not finite or beyond what squares can hold."""
@@ -211,7 +223,7 @@ class Squares:
             return False
         scale = 2.0 ** -np.frexp(big)[1]
         if scale != self.scale:
-            self.scale = scale
+            self.scale, self.least = scale, 1e-30 + self.blur * scale * scale
             r = (self.refs - self.centre) * scale
             self.r2 = (r * r).sum(1)
             self.right = np.column_stack([r, self.r2, np.ones(len(r))]).astype(np.float32)
@@ -224,7 +236,7 @@ class Squares:
         return self.left[s:e] @ self.right[a:b].T
 
     def err(self, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
-        return self.c * (self.q2[qi] + self.r2[ri]) + 1e-30
+        return self.c * (self.q2[qi] + self.r2[ri]) + self.least
 
 
 #: Blocks of fewer references are not worth it.
@@ -251,7 +263,7 @@ def _shortlist(sq: Squares, s: int, e: int, k: int) -> tuple[np.ndarray, np.ndar
             upper = d[rows, near.ravel()] + sq.err(s + rows, near.ravel())
             bar = upper.reshape(n, k).max(axis=1)
         # the least a pair's own error bound can allow it, before that bound is known
-        room = bar + sq.c * (sq.q2[s:e] + sq.r2[a:b].max()) + 1e-30
+        room = bar + sq.c * (sq.q2[s:e] + sq.r2[a:b].max()) + sq.least
         at = np.flatnonzero(d <= np.nextafter(room.astype(np.float32), np.float32(np.inf))[:, None])
         qi, ri = np.divmod(at, b - a)
         value = d.ravel()[at].astype(np.float64)
@@ -276,19 +288,61 @@ def _shortlist(sq: Squares, s: int, e: int, k: int) -> tuple[np.ndarray, np.ndar
     return qi[order], ri[order]
 
 
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and for each whether that is to be trusted."""
+    with np.errstate(all="ignore"):
+        length = np.sqrt((x * x).sum(1))
+        return x / length[:, None], (length > 1e-140) & (length < 1e140)
+
+
+class _Nearness:
+    """Which squares order the references of a block as a metric does, and those of them that may be among the k nearest.
+
+    Cosine distances are half the squares between unit vectors. A row of zeros or with a value that is not a number has none:
+    as a reference it comes after all others, as a query it has no shortlist.
+    """
+
+    def __init__(self, vecs: np.ndarray, metric):
+        self.at, self.squares, self.unit = None, None, metric.pairwise is pairwise_cosine
+        if self.unit:
+            refs, fine = _units(vecs)
+            if not (fine | (vecs == 0).all(axis=1) | np.isnan(vecs).any(axis=1)).all():
+                return
+            self.at = np.flatnonzero(fine)
+            vecs = refs[self.at]
+        elif metric.pairwise not in (pairwise_euclidean, pairwise_sqeuclidean):
+            return
+        if len(vecs) >= SINGLE_ROWS:
+            self.squares = Squares(vecs, 1e-14 * (vecs.shape[1] + 8) if self.unit else 0.0)
+
+    def of(self, queries: np.ndarray) -> np.ndarray:
+        """Takes these queries; for which of them squares will do."""
+        fine = np.full(len(queries), self.squares is not None)
+        if self.unit and self.squares is not None:
+            queries, fine = _units(queries)
+            queries[~fine] = 0.0
+        return fine & (self.squares is not None and self.squares.of(queries))
+
+    def shortlist(self, s: int, e: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As :func:`_shortlist`, for the queries taken."""
+        found = _shortlist(self.squares, s, e, k)
+        return found if found is None or self.at is None else (found[0], self.at[found[1]])
+
+
 def top_k(queries: np.ndarray, block: RefBlock, k: int, metric):
     """k nearest rows of the block for each query row, ties to the lower id."""
     parts = []
     u = block.vecs
     if len(queries) and len(u):
         kk = min(k, len(u))
-        square = metric.pairwise in (pairwise_euclidean, pairwise_sqeuclidean) and len(u) >= SINGLE_ROWS
-        if square and block.squares is None:
-            block.squares = Squares(u)
-        square = square and block.squares.of(queries)
+        if block.nearness is None:
+            block.nearness = _Nearness(u, metric)
+        fine, short = block.nearness.of(queries), True
         for a, b in ((a, min(a + SQUARE_ROWS, len(queries))) for a in range(0, len(queries), SQUARE_ROWS)):
-            found = _shortlist(block.squares, a, b, kk) if square else None
-            square = found is not None
+            found = None
+            if short and fine[a:b].all() and kk <= len(block.nearness.squares.refs):
+                found = block.nearness.shortlist(a, b, kk)
+                short = found is not None
             # without a shortlist, or too long a one, doubles choose
             for s, e in [(a, b)] if found else ((a + x, a + y) for x, y in chunks(b - a, len(u))):
                 q = queries[s:e]
