@@ -71,8 +71,8 @@ def norm(v, p: int = 2) -> Column:
 def normalize(v) -> Column:
     """Unit vector; the zero vector stays as it is."""
     v = _col(v)
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    # as an element of an array the length is taken once, not for each coordinate
+    return F.transform(F.array(norm(v)), lambda length: F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v))[0]
 
 
 def add(a, b) -> Column:
