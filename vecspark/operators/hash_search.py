@@ -24,8 +24,9 @@ BITS = 64
 RAISE_BELOW = 32
 #: Only buckets with more members than this may raise the limit.
 RAISE_MEMBERS = 10
-#: How readily a limit is raised, and by how many bits in one look.
-RAISE, RAISE_AT_ONCE = 0.9, 4
+#: How readily a limit is raised, and by how many bits in one look: a look at squares costs the same for any number of bits,
+#: one that takes exact distances does not.
+RAISE, RAISE_AT_ONCE, RAISE_EXACT = 0.9, RAISE_BELOW, 4
 #: Steps of the distance scale on which a bucket's lower quartile is read.
 QUARTILE_STEPS = 32
 #: Queries of one block: each may bring a few rows of every bit distance.
@@ -64,8 +65,11 @@ class CountBits(PairJob):
         return {"query_id": key[:, 0], "hamming": key[:, 1], "n": n}
 
 
-#: Queries and references of one matrix where steps are told.
-STEP_ROWS, STEP_COLS = 256, 4096
+#: Queries and references of one matrix of bit distances, and pairs of such queries held beyond which fewer queries are taken at once.
+STEP_ROWS, STEP_COLS, HELD = 64, 4096, 1 << 20
+#: Parts of a step that single-precision squares tell apart: 2 to this.
+PART_BITS = 8
+PARTS = 1 << PART_BITS
 
 ROWS = "query_id bigint, hamming int, step int, n bigint, least double, neighbor_id bigint, distance double"
 _INTS = ("query_id", "hamming", "step", "n", "neighbor_id")
@@ -100,12 +104,14 @@ class Levels(PairJob):
     ``depth`` references of the block. The limit of a query over all references lies no higher, so whatever is
     left out here is beyond it. With a ``reach`` counts are told by ``step``, the place of the distance on the scale
     0 .. 2 x reach, with the least distance there, and only neighbours no farther than the query's ``bar`` come out.
+    ``told`` has the step to tell for each step, where several need not be told apart.
     Rows of two kinds come out: counts (``n`` > 0), and neighbours (``n`` = 0).
     """
 
     k: int = 1
     metric: Metric | None = None
     depth: int | None = None
+    told: np.ndarray | None = None
     q_most = ASK_ROWS
 
     def prepare(self, refs):
@@ -114,67 +120,135 @@ class Levels(PairJob):
 
     def run(self, queries, refs):
         out, n = [_rows()], len(refs["id"])
-        if "reach" in queries and n and self.metric.pairwise is kernels.pairwise_euclidean and (queries["reach"] > 0).all():
+        if "reach" in queries and n and takes_squares(self.metric) and (queries["reach"] > 0).all():
             if "_squares" not in refs:
                 refs["_squares"] = kernels.Squares(refs["vec"])
             if refs["_squares"].of(queries["vec"]):
                 return PairJob.merge(self, out + [self.stepped({c: v[s:s + STEP_ROWS] for c, v in queries.items()}, refs, s)
                                                   for s in range(0, len(queries["id"]), STEP_ROWS)])
-        for s, e in kernels.chunks(len(queries["id"]), 4 * max(1, n)):
-            part = {c: v[s:e] for c, v in queries.items()}
-            level = kernels.hamming_matrix(part["hash"], refs["hash"])
-            if part["low"].any() or (part["high"] < BITS).any():
-                level = np.where((level >= part["low"][:, None]) & (level <= part["high"][:, None]), level, np.uint8(255))
-            limit = np.full(e - s, BITS, np.uint8)
-            if self.depth is not None and self.depth <= n:
-                limit = np.minimum(limit, np.partition(level, self.depth - 1, axis=1)[:, self.depth - 1])
-            qi, ri = np.nonzero(level <= limit[:, None])
-            out.append(self.scored(part, refs, qi, ri, level[qi, ri].astype(np.int64)))
+        rows = STEP_ROWS if self.depth is not None and self.depth <= n else 1
+        for s in range(0, len(queries["id"]), max(rows, kernels.MATRIX_CELLS // (4 * max(1, n)))):
+            part = {c: v[s:s + max(rows, kernels.MATRIX_CELLS // (4 * max(1, n)))] for c, v in queries.items()}
+            found = self.covering(part, refs)
+            if found:
+                out.append(self.scored(part, refs, *found))
+                continue
+            for a, b in kernels.chunks(len(part["id"]), 4 * max(1, n)):
+                few = {c: v[a:b] for c, v in part.items()}
+                out.append(self.scored(few, refs, *self.covering(few, refs, held=np.inf)))
         return PairJob.merge(self, out)
 
+    def covering(self, queries, refs, held=HELD):
+        """Pairs (query, reference) and their bit distances, those that count: up to the bit distance that covers ``depth``
+        references. What covers them falls from one stretch of references to the next. None if more than ``held`` pairs come up."""
+        n, m = len(queries["id"]), len(refs["id"])
+        low, limit = queries["low"].astype(np.uint8)[:, None], queries["high"].astype(np.uint8)
+        depth = self.depth if self.depth is not None and self.depth <= m else None
+        seen, parts, total = np.zeros((n, BITS + 1), np.int64), [], 0
+        for a in range(0, m, STEP_COLS):
+            level = kernels.hamming_matrix(queries["hash"], refs["hash"][a:a + STEP_COLS])
+            if low.any():
+                level[level < low] = 255
+            if depth is not None and not a and depth <= level.shape[1]:
+                limit = np.minimum(limit, np.partition(level, depth - 1, axis=1)[:, depth - 1])
+            qi, ri = np.divmod(np.flatnonzero(level <= limit[:, None]), level.shape[1])
+            h = level[qi, ri]
+            parts.append((qi, a + ri, h))
+            total += len(qi)
+            if total > held:
+                return None
+            if depth is not None:
+                seen += np.bincount(qi * (BITS + 1) + h, minlength=seen.size).reshape(seen.shape)
+                covers = np.cumsum(seen, axis=1) >= depth
+                limit = np.where(covers[:, -1], np.minimum(limit, covers.argmax(axis=1)), limit).astype(np.uint8)
+        if not parts:
+            return (np.zeros(0, np.int64),) * 3
+        qi, ri, h = (np.concatenate(x) for x in zip(*parts))
+        keep = h <= limit[qi]
+        return qi[keep], ri[keep], h[keep].astype(np.int64)
+
     def stepped(self, queries, refs, s):
         """The rows of some queries, from ``s`` on, with a reach: single-precision squares tell most steps, exact distances those
-        near an edge, the least of each bit distance and the neighbours."""
+        near an edge, the least of each bit distance and the neighbours. All pairs of a matrix are counted, by bit distance and
+        step; a list is made only of those that need a closer look."""
         sq, n = refs["_squares"], len(queries["id"])
-        low, high = queries["low"].astype(np.uint8), queries["high"].astype(np.uint8)
-        wide, steps = int((high - low).max()) + 1, QUARTILE_STEPS + 1
+        low, span = queries["low"].astype(np.uint8)[:, None], (queries["high"] - queries["low"]).astype(np.uint8)[:, None]
+        wide, steps = int(span.max()) + 2, QUARTILE_STEPS + 1  # bit distances from a query's low on, and one place for all others
+        asked = np.arange(wide) <= span
         per_step = QUARTILE_STEPS / (2 * queries["reach"] * sq.scale)
-        bar = (queries["bar"] * sq.scale) ** 2 * (1 + 1e-9)
+        scale = np.minimum(per_step * PARTS, 1e37).astype(np.float32)[:, None]
+        bar, q2 = (queries["bar"] * sq.scale) ** 2 * (1 + 1e-9), sq.q2[s:s + n]
         counts, most = np.zeros(n * wide * steps, np.int64), np.full(n * wide, np.inf)
+        rows, others = (np.arange(n) * wide * steps)[:, None], np.full((1, STEP_COLS), wide - 1, np.uint8)
+        # matrices that are used again
+        places, bits, roots = (np.empty((n, STEP_COLS), t) for t in (np.int64, np.uint64, np.float32))
+        asked_hash, hashes = queries["hash"].view(np.uint64)[:, None], refs["hash"].view(np.uint64)
         near, least = [], []
         exact = lambda qi, ri: kernels.paired_in_parts(self.metric, queries["vec"], refs["vec"], qi, ri)
+
+        def bounds(some):
+            """Some places of the matrix as pairs: query, reference, place among the bit distances, bounds of the square."""
+            qi, ri = np.divmod(some, b - a)
+            x, err = d2.ravel()[some].astype(np.float64), sq.err(s + qi, a + ri)
+            return qi, a + ri, qi * wide + level.ravel()[some], np.maximum(x - err, 0.0), x + err
+
         for a in range(0, len(refs["id"]), STEP_COLS):
             b = min(len(refs["id"]), a + STEP_COLS)
-            level = kernels.hamming_matrix(queries["hash"], refs["hash"][a:b]).astype(np.uint8) - low[:, None]
-            qi, ri = np.divmod(np.flatnonzero(level <= (high - low)[:, None]), b - a)
-            if not len(qi):
-                continue
-            key = qi * wide + level[qi, ri]
-            d2 = sq.block(s, s + n, a, b)[qi, ri].astype(np.float64)
-            ri += a
-            err = sq.err(s + qi, ri)
-            lower, upper = np.maximum(d2 - err, 0.0), d2 + err
-            step, above = (np.minimum(np.sqrt(x) * per_step[qi] * y, QUARTILE_STEPS).astype(np.int64) for x, y in ((lower, 1 - 1e-9), (upper, 1 + 1e-9)))
-            edge = np.flatnonzero(step != above)
-            d = exact(qi[edge], ri[edge])
-            step[edge] = np.minimum(np.floor(d / (2 * queries["reach"][qi[edge]]) * QUARTILE_STEPS), QUARTILE_STEPS)
-            counts += np.bincount(key * steps + step, minlength=len(counts))
-            np.minimum.at(most, key, upper)
-            may = np.flatnonzero(lower <= most[key])
-            least.append((key[may], qi[may], ri[may], lower[may]))
-            may = np.flatnonzero(lower <= bar[qi])
-            near.append((key[may], qi[may], ri[may]))
-        if not least:
-            return _rows()
+            level = np.bitwise_count(np.bitwise_xor(asked_hash, hashes[a:b], out=bits[:, :b - a]))
+            level -= low
+            inside = level <= span
+            np.minimum(level, others[:, :b - a], out=level)
+            d2 = sq.block(s, s + n, a, b)
+            part = np.maximum(d2, np.float32(0), out=roots[:, :b - a])
+            np.sqrt(part, out=part)
+            part *= scale
+            if 2 * (q2.max() + sq.r2[a:b].max()) * per_step.max() ** 2 > QUARTILE_STEPS ** 2:
+                np.minimum(part, np.float32(QUARTILE_STEPS * PARTS + PARTS // 2), out=part)
+            part = part.astype(np.uint16)
+            key = level.astype(np.uint16)
+            key *= np.uint16(steps)
+            key += part >> np.uint16(PART_BITS)
+            key = np.add(rows, key, out=places[:, :b - a])
+            counts += np.bincount(key.ravel(), minlength=len(counts))
+            # a square that is off by e is off by no more than e as a root, in steps, wherever an edge lies; and what single precision rounds
+            off = np.ceil(PARTS * (sq.c * (q2 + sq.r2[a:b].max()) + 1e-30) * per_step ** 2 + 0.05) + 1
+            off = np.fmin(off, PARTS // 2).astype(np.uint16)[:, None]
+            part += off
+            part &= np.uint16(PARTS - 1)
+            edge = np.flatnonzero((part <= 2 * off) & inside)
+            if len(edge):
+                qi, ri, at, lower, upper = bounds(edge)
+                step, above = (np.minimum(np.sqrt(x) * per_step[qi] * y, QUARTILE_STEPS).astype(np.int64) for x, y in ((lower, 1 - 1e-9), (upper, 1 + 1e-9)))
+                unsure = np.flatnonzero(step != above)
+                d = exact(qi[unsure], ri[unsure])
+                step[unsure] = np.minimum(np.floor(d / (2 * queries["reach"][qi[unsure]]) * QUARTILE_STEPS), QUARTILE_STEPS)
+                was, now = key[qi, ri - a], at * steps + step
+                moved = was != now
+                np.subtract.at(counts, was[moved], 1)
+                np.add.at(counts, now[moved], 1)
+                key[qi, ri - a] = now
+            # the least of a bit distance lies in the first step that has any
+            first = (counts.reshape(n, wide, steps) > 0).argmax(axis=2)
+            may = (np.arange(steps) <= first[:, :, None]) & asked[:, :, None]
+            qi, ri, at, lower, upper = bounds(np.flatnonzero(np.take(may.ravel(), key)))
+            np.minimum.at(most, at, upper)
+            may = lower <= most[at]
+            least.append((at[may], qi[may], ri[may], lower[may]))
+            room = (bar + sq.c * (q2 + sq.r2[a:b].max()) + 1e-30).astype(np.float32)
+            qi, ri, at, lower, _ = bounds(np.flatnonzero((d2 <= np.nextafter(room, np.float32(np.inf))[:, None]) & inside))
+            may = lower <= bar[qi]
+            near.append((at[may], qi[may], ri[may]))
         key, qi, ri, lower = (np.concatenate(x) for x in zip(*least))
         may = lower <= most[key]
         key, d = key[may], exact(qi[may], ri[may])
         most[:] = np.inf
         np.minimum.at(most, key, d)
-        at = np.flatnonzero(counts)
-        key, step = np.divmod(at, steps)
-        first = np.append(True, np.diff(key) != 0)  # the bucket's least lies in its first step
-        told = _rows(query_id=queries["id"][key // wide], hamming=low[key // wide] + key % wide, step=step, n=counts[at],
+        counts = np.where(asked[:, :, None], counts.reshape(n, wide, steps), 0).reshape(-1, steps)
+        if self.told is not None:
+            counts = np.stack([counts[:, self.told == t].sum(axis=1) for t in range(steps)], axis=1)
+        key, step = np.nonzero(counts)
+        first = np.append(True, np.diff(key) != 0)[:len(key)]  # the bucket's least lies in its first step
+        bits = _rows(query_id=queries["id"][key // wide], hamming=queries["low"][key // wide] + key % wide, step=step, n=counts[key, step],
                      least=np.where(first, most[key], np.inf))
         key, qi, ri = (np.concatenate(x) for x in zip(*near))
         d = exact(qi, ri)
@@ -182,8 +256,8 @@ class Levels(PairJob):
         key, qi, ri, d = key[may], qi[may], ri[may], d[may]
         order = np.lexsort((refs["id"][ri], d, key))
         best = order[_first_of_each(_runs(key[order]), len(order), self.k)]
-        hits = _rows(query_id=queries["id"][qi[best]], hamming=low[qi[best]] + key[best] % wide, neighbor_id=refs["id"][ri[best]], distance=d[best])
-        return {c: np.concatenate([told[c], hits[c]]) for c in told}
+        hits = _rows(query_id=queries["id"][qi[best]], hamming=queries["low"][qi[best]] + key[best] % wide, neighbor_id=refs["id"][ri[best]], distance=d[best])
+        return {c: np.concatenate([bits[c], hits[c]]) for c in bits}
 
     def scored(self, queries, refs, qi, ri, level):
         """Counts and nearest rows of the pairs (qi, ri)."""
@@ -196,12 +270,13 @@ class Levels(PairJob):
             with np.errstate(divide="ignore", invalid="ignore"):
                 step = np.minimum(np.floor(d / (2 * reach) * QUARTILE_STEPS), QUARTILE_STEPS)
             step = np.where(reach > 0, step, QUARTILE_STEPS).astype(np.int64)
+            step = step if self.told is None else np.where(step < 0, step, self.told[np.maximum(step, 0)])
         key = qi * (BITS + 1) + level
-        order = np.lexsort((d, step, key))
+        # references are in the order of their ids, and a step grows with the distance
+        order = np.lexsort((ri, d, key))
         starts = _runs(key[order], step[order])
         at = order[starts]
         counts = _rows(query_id=queries["id"][qi[at]], hamming=level[at], step=step[at], n=np.diff(np.append(starts, len(d))), least=d[at])
-        order = np.lexsort((refs["id"][ri], d, key))
         best = order[_first_of_each(_runs(key[order]), len(order), self.k)]
         near = _rows(query_id=queries["id"][qi[best]], hamming=level[best], neighbor_id=refs["id"][ri[best]], distance=d[best])
         return {c: np.concatenate([counts[c], near[c]]) for c in near}
@@ -233,11 +308,28 @@ class Levels(PairJob):
         return {x: np.concatenate([counts[x][keep], near[x][some]]) for x in o}
 
 
-def _looked(queries: DataFrame, refs: DataFrame, k: int, metric: Metric, dim: int, layout: str, depth: int | None = None) -> DataFrame:
+def takes_squares(metric: Metric | None) -> bool:
+    """Whether a look with a reach tells steps from squares."""
+    return metric.pairwise is kernels.pairwise_euclidean
+
+
+def told_steps(strategy: float) -> np.ndarray | None:
+    """For each step the one to tell. A lower quartile in a step so low, or so high, that ``_risen`` decides alike whatever the least
+    distance of the bucket is, which lies no higher than that step, goes as the lowest or the highest."""
+    if not 0 <= strategy <= 1:
+        return None
+    t, half = np.arange(QUARTILE_STEPS + 1), QUARTILE_STEPS / 2
+    surely = strategy * t + (1 - strategy) * (t + 1) < half * (1 - 1e-9)
+    never = strategy * t > half * (1 + 1e-9)
+    return np.where(surely, 0, np.where(never, QUARTILE_STEPS, t))
+
+
+def _looked(queries: DataFrame, refs: DataFrame, k: int, metric: Metric, dim: int, layout: str, depth: int | None = None,
+            told: np.ndarray | None = None) -> DataFrame:
     """Rows of :class:`Levels`, stored; ``queries`` carry (id, vec, hash, low, high) and perhaps reach. Every block of references
     is looked at once."""
     columns = ["id", "vec", "hash", "low", "high"] + [c for c in ("reach", "bar") if c in queries.columns]
-    job = Levels(columns, ["id", "vec", "hash"], ROWS, k=k, metric=metric, depth=depth)
+    job = Levels(columns, ["id", "vec", "hash"], ROWS, k=k, metric=metric, depth=depth, told=told)
     out, _ = pair_blocks(queries, refs, job, dim, layout=layout)
     return materialize(out)
 
@@ -302,8 +394,8 @@ def _risen(sums: DataFrame, now: DataFrame, strategy: float) -> DataFrame:
             .withColumn("open", (F.col("cutoff") == F.col("high")) & (F.col("high") < RAISE_BELOW - 1)))
 
 
-def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strategy: float, look) -> Looked:
-    """Widens the limits, ``RAISE_AT_ONCE`` bits in one look, for as long as some query's limit still grows."""
+def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strategy: float, at_once: int, look) -> Looked:
+    """Widens the limits, ``at_once`` bits in one look, for as long as some query's limit still grows."""
     # a first look also brings rows beyond the limit, not all of them; later looks bring them whole
     held = found.rows.join(found.limits, "query_id").filter("hamming <= cutoff").select(found.rows.columns)
     reach = top_k_per_query(held.filter("n = 0"), search_size, MERGE_LANES).groupBy(F.col("query_id").alias("id")).agg(
@@ -318,7 +410,7 @@ def _raised(found: Looked, queries: DataFrame, search_size: int, k: int, strateg
         if rising.isEmpty():
             return Looked(rows, limits)
         rising = materialize(rising.withColumn("low", F.col("cutoff") + 1)
-                             .withColumn("high", F.least(F.col("cutoff") + RAISE_AT_ONCE, F.lit(RAISE_BELOW - 1))))
+                             .withColumn("high", F.least(F.col("cutoff") + at_once, F.lit(RAISE_BELOW - 1))))
         more = look(rising)
         now = materialize(_risen(more, rising, strategy).select("id", "vec", "hash", "cutoff", "reach", "bar", "open"))
         limits = limits.unionByName(now.filter("NOT open").select(F.col("id").alias("query_id"), "cutoff"))
@@ -346,7 +438,9 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, search_size: int, basis
         looked = _looked(q, rows, keep, metric, dim, layout, search_size)
         found = Looked(looked, bit_limits(_counts(looked), search_size))
     if raising:
-        found = _raised(found, q, search_size, k, raise_limit, lambda x: _looked(x, rows, k, metric, dim, "blocks" if layout == "cells" else layout))
+        at_once = RAISE_AT_ONCE if takes_squares(metric) else min(RAISE_AT_ONCE, RAISE_EXACT)
+        found = _raised(found, q, search_size, k, raise_limit, at_once, lambda x: _looked(
+            x, rows, k, metric, dim, "blocks" if layout == "cells" else layout, told=told_steps(raise_limit)))
     return found
 
 
@@ -368,8 +462,8 @@ def knn_lsh(queries: DataFrame, refs: DataFrame | None, k: int, search_size: int
 
     The bit limit of a query is the least one that covers ``search_size`` references; rows beyond it never count. One look at
     the references finds the limit and the rows within it: a block tells counts, and the nearest rows of each bit distance that
-    may matter. ``raise_limit`` widens the limit while the next bucket still looks promising (see :func:`_risen`), a
-    few bits in one more look; None or a negative value never does.
+    may matter. ``raise_limit`` widens the limit while the next bucket still looks promising (see :func:`_risen`), in
+    one more look; None or a negative value never does.
 
     ``index`` (see :func:`build_band_index`) keeps the references' hashes, and ``refs`` is not read then. ``layout="cells"`` goes
     through its bands, which suits many queries; results do not depend on the layout.
