@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecspark import session
 from vecspark.functions import kernels
-from vecspark.functions.sketcher import BATCH, Sketcher
+from vecspark.functions.sketcher import Fed, Sketcher
 from vecspark.functions.uniform import random_order, uniform
 from vecspark.functions.vectors import get_metric
 from vecspark.operators.kmeans import ball_kmeans, with_weight
@@ -63,7 +63,7 @@ class Sketch:
 
 
 def _rows(sk: Sketcher, shard: int) -> pa.Table:
-    if isinstance(sk, _Fed):
+    if isinstance(sk, Fed):
         sk.finish()
     m = len(sk.weights)
     out = []
@@ -154,7 +154,7 @@ def _streamed(keyed: DataFrame, shards: int, kappa: int, cutoff: float, metric,
                 if shard[s] != now:
                     if sk is not None:
                         yield from _rows(sk, now).to_batches()
-                    now, sk = int(shard[s]), _Fed(kappa, cutoff, metric, key=int(shard[s]), **opts)
+                    now, sk = int(shard[s]), Fed(kappa, cutoff, metric, key=int(shard[s]), **opts)
                 part = b.slice(s, e - s)
                 sk.feed(kernels.to_matrix(part.column(1)), part.column(2).to_numpy(), part.column(3).to_numpy())
         if sk is not None:
@@ -167,28 +167,6 @@ def _streamed(keyed: DataFrame, shards: int, kappa: int, cutoff: float, metric,
             .select("shard", "vec", "weight", "u").mapInArrow(run, _SCHEMA))
 
 
-class _Fed(Sketcher):
-    """A sketcher that cuts its own batches, so that they do not depend on those in which rows arrive."""
-
-    def __init__(self, *args, **opts):
-        super().__init__(*args, **opts)
-        self.waiting, self.n = [], 0
-
-    def feed(self, *rows: np.ndarray) -> None:
-        self.waiting.append(rows)
-        self.n += len(rows[1])
-        if self.n >= BATCH:
-            x = [np.concatenate(c) for c in zip(*self.waiting)]
-            whole = self.n - self.n % BATCH
-            self.add(*(c[:whole] for c in x))
-            self.waiting, self.n = [tuple(c[whole:] for c in x)], self.n - whole
-
-    def finish(self) -> None:
-        if self.n:
-            self.add(*(np.concatenate(c) for c in zip(*self.waiting)))
-            self.waiting, self.n = [], 0
-
-
 def _grouped(keyed: DataFrame, kappa: int, cutoff: float, metric, opts: dict) -> DataFrame:
     """Sketch every group of ``(shard, id, vec, weight, u)`` in id order; groups are of bounded size."""
     def run(rows: pa.Table) -> pa.Table:

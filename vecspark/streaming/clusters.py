@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vecspark.functions.sketcher import Sketcher
+from vecspark.functions import kernels
+from vecspark.functions.sketcher import Fed
 from vecspark.functions.uniform import uniform
 from vecspark.functions.vectors import get_metric
 from vecspark.operators.search import centroid_arrays, nearest_column
 
 STATE = ("vecs array<double>, weights array<double>, n_seen bigint, kappa int, cutoff double, "
          "collapses int")
-#: Shards of a stream: rows of one micro-batch and shard are sorted in one task, so a batch should be bounded (see the source's
-#: maxBytesPerTrigger) by about this many times what a task can hold.
+#: Shards of a stream: rows of one micro-batch and shard are sorted in one task, which holds a run of them and puts others on its
+#: own disk.
 SHARDS = 64
+#: Bytes of one sorted run, and rows of a run that are read back at once.
+RUN_BYTES, READ_ROWS = 64 << 20, 1 << 13
+#: What a sorted run says of each row, besides its vector.
+KEYS = ["id", "u", "no", "weight"]
 #: Snapshots kept: the current one, and the one before it for whoever still reads it and for a batch that is replayed.
 KEPT = 2
 OUTPUT = ("shard int, version bigint, no int, weight double, vec array<double>, n_seen bigint, "
@@ -45,14 +52,15 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
 
     def absorb(key, frames, state: GroupState):
         (shard,) = key
-        sk = Sketcher(kappa, cutoff, m, key=int(shard), **opts)
+        sk = Fed(kappa, cutoff, m, key=int(shard), **opts)
         if state.exists:
             vecs, weights, sk.n_seen, sk.kappa, sk.cutoff, sk.collapses = state.get
             sk.weights = np.array(weights, dtype=float)
             sk.vecs = np.array(vecs, dtype=float).reshape(len(sk.weights), -1)
-        rows = pd.concat(list(frames)).sort_values(["id", "u"], kind="stable")
-        sk.add(np.stack(rows["vec"].to_numpy()).astype(float), rows["weight"].to_numpy(float),
-               rows["u"].to_numpy(float))
+        with tempfile.TemporaryDirectory() as folder:
+            for vecs, weights, u in _in_order(frames, folder):
+                sk.feed(vecs, weights, u)
+        sk.finish()
         state.update((sk.vecs.ravel().tolist(), sk.weights.tolist(), int(sk.n_seen), int(sk.kappa),
                       float(sk.cutoff), int(sk.collapses)))
         yield pd.DataFrame({"shard": int(shard), "version": int(sk.n_seen), "no": range(len(sk.weights)),
@@ -63,6 +71,75 @@ def cluster_stream(stream: DataFrame, kappa: int, cutoff: float = 1e-5, *, shard
         absorb, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _sorted_run(parts: list[tuple]) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows ``(id, u, no, weight)`` of some parts in the order of id, u and arrival, and their vectors."""
+    keys = pd.concat([k for k, _ in parts], ignore_index=True)
+    vecs = np.concatenate([v for _, v in parts])
+    keys = keys.sort_values(["id", "u", "no"])
+    return keys.reset_index(drop=True), vecs[keys.index.to_numpy()]
+
+
+def _in_order(frames, folder: str):
+    """Vectors, weights and draws of all rows in the order of id and draw, in pieces. What exceeds a run is sorted run by run,
+    put on disk and merged from there, a few rows of each run at a time."""
+    parts, size, runs, n = [], 0, [], 0
+
+    def put():
+        keys, vecs = _sorted_run(parts)
+        columns = [pa.array(keys[c], from_pandas=True) for c in KEYS] + [kernels.to_lists(vecs)]
+        rows = pa.Table.from_arrays(columns, names=[*KEYS, "vec"])
+        name = f"{folder}/{len(runs)}"
+        with pa.OSFile(name, "wb") as f, pa.ipc.new_file(f, rows.schema) as out:
+            out.write_table(rows, max_chunksize=READ_ROWS)
+        runs.append(name)
+        parts.clear()
+
+    for rows in frames:
+        if not len(rows):
+            continue
+        vecs = np.stack(rows["vec"].to_numpy()).astype(float)
+        if vecs.ndim != 2 or parts and vecs.shape[1] != parts[0][1].shape[1]:
+            raise ValueError("a vector is null, or vectors are of different lengths")
+        parts.append((rows.assign(no=np.arange(n, n + len(rows)))[KEYS], vecs))
+        n += len(rows)
+        size += vecs.nbytes + 32 * len(vecs)
+        if size >= RUN_BYTES:
+            put()
+            size = 0
+    if not runs:
+        if parts:
+            keys, vecs = _sorted_run(parts)
+            yield vecs, keys["weight"].to_numpy(float), keys["u"].to_numpy(float)
+        return
+    if parts:
+        put()
+    yield from _merged(runs)
+
+
+def _merged(runs: list[str]):
+    """The rows of sorted runs in order. Rows up to the first one that is the last read of a run with more to come are sure."""
+    files = [pa.ipc.open_file(pa.memory_map(name)) for name in runs]
+    at, ask, held = [0] * len(files), range(len(files)), None
+    while True:
+        parts = [] if held is None else [held]
+        for r in ask:
+            rows = files[r].get_batch(at[r])
+            at[r] += 1
+            keys = pd.DataFrame({c: rows.column(c).to_pandas() for c in KEYS})
+            keys["run"] = np.full(len(keys), -1)
+            if at[r] < files[r].num_record_batches:
+                keys.loc[len(keys) - 1, "run"] = r
+            parts.append((keys, kernels.to_matrix(rows.column("vec"))))
+        keys, vecs = _sorted_run(parts)
+        last = np.flatnonzero(keys["run"].to_numpy() >= 0)
+        sure = last[0] + 1 if len(last) else len(keys)
+        if sure:
+            yield vecs[:sure], keys["weight"].to_numpy(float)[:sure], keys["u"].to_numpy(float)[:sure]
+        if not len(last):
+            return
+        ask, held = [int(keys["run"].iloc[last[0]])], (keys.iloc[sure:], vecs[sure:])
+
+
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete snapshots: those whose writer has left its mark."""
     sc = spark.sparkContext
