@@ -24,7 +24,7 @@ STATE = ("vecs array<double>, weights array<double>, n_seen bigint, kappa int, c
 #: own disk.
 SHARDS = 64
 #: Bytes of one sorted run, and rows of a run that are read back at once.
-RUN_BYTES, READ_ROWS = 64 << 20, 1 << 13
+RUN_BYTES, READ_ROWS = 32 << 20, 1 << 13
 #: What a sorted run says of each row, besides its vector.
 KEYS = ["id", "u", "no", "weight"]
 #: Snapshots kept: the current one, and the one before it for whoever still reads it and for a batch that is replayed.
@@ -118,7 +118,7 @@ def _in_order(frames, folder: str):
 
 def _merged(runs: list[str]):
     """The rows of sorted runs in order. Rows up to the first one that is the last read of a run with more to come are sure."""
-    files = [pa.ipc.open_file(pa.memory_map(name)) for name in runs]
+    files = [pa.ipc.open_file(pa.OSFile(name, "rb")) for name in runs]
     at, ask, held = [0] * len(files), range(len(files)), None
     while True:
         parts = [] if held is None else [held]
